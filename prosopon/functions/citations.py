@@ -41,10 +41,12 @@ def citation_items(raw: Column) -> Column:
 
 def citation_list(raw: Column) -> Column:
     """struct(items array<struct<raw>>, websites_accessed_on)."""
-    raw = t.or_empty(raw)
-    return F.struct(
-        F.transform(citation_items(raw), lambda s: F.struct(s.alias("raw"))).alias("items"),
-        accessed_on(raw).alias("websites_accessed_on"),
+    return t.bind(
+        t.or_empty(raw),
+        lambda r: F.struct(
+            F.transform(citation_items(r), lambda s: F.struct(s.alias("raw"))).alias("items"),
+            accessed_on(r).alias("websites_accessed_on"),
+        ),
     )
 
 
@@ -62,12 +64,16 @@ def citation_authors(text: Column, marker: str) -> Column:
 
 def author_list(authors: Column, fallback: str) -> Column:
     """Authors split on " and " / "&" only, never on commas; the dictionary itself when there are none."""
-    raw = t.strip(t.or_empty(authors))
-    names = F.filter(
-        F.transform(F.split(raw, rf"(?i){S}+and{S}+|{S}*&{S}*"), t.strip), lambda s: s != ""
-    )
-    return (
-        F.when(raw == "", F.array(F.lit(fallback))).when(F.size(names) == 0, F.array(raw)).otherwise(names)
+
+    def names(raw: Column) -> Column:
+        parts = F.transform(F.split(raw, rf"(?i){S}+and{S}+|{S}*&{S}*"), t.strip)
+        return t.bind(
+            F.filter(parts, lambda s: s != ""), lambda found: F.when(F.size(found) == 0, F.array(raw)).otherwise(found)
+        )
+
+    return t.bind(
+        t.strip(t.or_empty(authors)),
+        lambda raw: F.when(raw == "", F.array(F.lit(fallback))).otherwise(names(raw)),
     )
 
 
@@ -80,14 +86,17 @@ def publication_date(version: Column) -> Column:
 
     The text is not checked against the calendar ("31 February" stays); use try_to_date for a checked value.
     """
-    label = version_label(version)
-    day, month, year = (F.regexp_extract(label, DAY_MONTH_YEAR, i) for i in (1, 2, 3))
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month))
-    lone_year = F.regexp_extract(label, rf"{t.WORD_START}(\d{{4}}){t.WORD_END}", 1)
-    return F.when(
-        number > 0,
-        F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")),
-    ).when(lone_year != "", F.concat(lone_year, F.lit("-01-01")))
+
+    def iso(label: Column) -> Column:
+        day, month, year = (F.regexp_extract(label, DAY_MONTH_YEAR, i) for i in (1, 2, 3))
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month))
+        lone_year = F.regexp_extract(label, rf"{t.WORD_START}(\d{{4}}){t.WORD_END}", 1)
+        return F.when(
+            number > 0,
+            F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")),
+        ).when(lone_year != "", F.concat(lone_year, F.lit("-01-01")))
+
+    return t.bind(version_label(version), iso)
 
 
 def checked_date(version: Column) -> Column:
@@ -96,25 +105,30 @@ def checked_date(version: Column) -> Column:
 
 def image_credit(source: Column) -> Column:
     """struct(text, href, label): the credit before its first URL, the URL made absolute, and its host."""
-    found = F.regexp_extract(t.or_empty(source), URL, 1)
-    raw = F.regexp_replace(found, r"[).,;]+\z", "")
-    href = F.when(F.startswith(raw, F.lit("http")), raw).otherwise(F.concat(F.lit("https://"), raw))
-    host = F.regexp_replace(F.lower(F.try_parse_url(href, F.lit("HOST"))), r"^www\.", "")
-    lead = F.substring(source, F.lit(1), F.instr(source, found) - 1)
-    return F.when(
-        found == "",
-        F.struct(
-            t.or_empty(source).alias("text"),
-            F.lit(None).cast("string").alias("href"),
-            F.lit(None).cast("string").alias("label"),
-        ),
-    ).otherwise(
-        F.struct(
-            t.strip(F.regexp_replace(lead, rf"(?:{S}|[/–—-])+\z", "")).alias("text"),
-            href.alias("href"),
-            F.coalesce(host, raw).alias("label"),
+    none = F.lit(None).cast("string")
+
+    def parts(credit: Column) -> Column:
+        found, raw = credit["found"], credit["raw"]
+        href = F.when(F.startswith(raw, F.lit("http")), raw).otherwise(F.concat(F.lit("https://"), raw))
+        host = F.regexp_replace(F.lower(F.try_parse_url(href, F.lit("HOST"))), r"^www\.", "")
+        lead = F.substring(credit["source"], F.lit(1), F.instr(credit["source"], found) - 1)
+        return F.when(
+            found == "", F.struct(credit["source"].alias("text"), none.alias("href"), none.alias("label"))
+        ).otherwise(
+            F.struct(
+                t.strip(F.regexp_replace(lead, rf"(?:{S}|[/–—-])+\z", "")).alias("text"),
+                href.alias("href"),
+                F.coalesce(host, raw).alias("label"),
+            )
         )
-    )
+
+    def located(source: Column) -> Column:
+        found = F.regexp_extract(source, URL, 1)
+        return F.struct(
+            source.alias("source"), found.alias("found"), F.regexp_replace(found, r"[).,;]+\z", "").alias("raw")
+        )
+
+    return t.bind(t.bind(t.or_empty(source), located), parts)
 
 
 def credit_line(line: Column) -> Column:

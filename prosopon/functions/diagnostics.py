@@ -51,6 +51,8 @@ def errors(diagnostics: Column) -> Column:
 
 def buckets(diagnostics: Column) -> Column:
     """struct(error, warn, info) counts."""
-    return F.struct(
-        *[F.size(F.filter(diagnostics, lambda d, s=s: d["severity"] == s)).alias(s) for s in ("error", "warn", "info")]
-    )
+
+    def count(severity: str) -> Column:
+        return F.size(F.filter(diagnostics, lambda d: d["severity"] == severity)).alias(severity)
+
+    return F.struct(count("error"), count("warn"), count("info"))

@@ -20,7 +20,6 @@ PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "do",
 
 def surname_case(c: Column) -> Column:
     """`VAN DER BERG-O’NEIL` → `van der Berg-O’Neil`; a particle keeps lower case unless it ends the name."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"[^\s\-'’]+|[\s\-'’]+"), F.lit(0))
 
     def cased(tokens: Column) -> Column:
         last = F.size(tokens) - 1
@@ -34,27 +33,30 @@ def surname_case(c: Column) -> Column:
             .otherwise(t.capitalise_first(token)),
         )
 
-    return F.array_join(cased(tokens), "")
+    return F.array_join(t.bind(F.regexp_extract_all(F.lower(c), F.lit(r"[^\s\-'’]+|[\s\-'’]+"), F.lit(0)), cased), "")
 
 
 def parse_name(intro: Column) -> Column:
     """struct(last_name, first_name, known_as, nee), NULL when the line has no name."""
-    last = surname_case(t.strip(t.squash(F.regexp_replace(F.regexp_extract(intro, NAME, 1), r"[\[\]]", " "))))
-    first = t.strip(F.regexp_extract(intro, NAME, 2))
-    paren = t.strip(F.regexp_extract(intro, NAME, 3))
-    is_nee, is_known = paren.rlike(NEE), paren.rlike(KNOWN_AS)
-    return F.when(
-        intro.rlike(NAME),
-        F.struct(
-            last.alias("last_name"),
-            first.alias("first_name"),
-            F.when(paren == "", None)
-            .when(is_nee, None)
-            .when(is_known, t.strip(F.regexp_extract(paren, KNOWN_AS, 1)))
-            .otherwise(paren)
-            .alias("known_as"),
-            F.when(is_nee, t.strip(F.regexp_extract(paren, NEE, 1))).alias("nee"),
-        ),
+
+    def fields(line: Column) -> Column:
+        last = t.strip(t.squash(F.regexp_replace(F.regexp_extract(line, NAME, 1), r"[\[\]]", " ")))
+        paren = t.strip(F.regexp_extract(line, NAME, 3))
+        return F.struct(
+            surname_case(last).alias("last_name"),
+            t.strip(F.regexp_extract(line, NAME, 2)).alias("first_name"),
+            t.bind(paren, _known_as).alias("known_as"),
+            F.when(paren.rlike(NEE), t.strip(F.regexp_extract(paren, NEE, 1))).alias("nee"),
+        )
+
+    return t.bind(intro, lambda line: F.when(line.rlike(NAME), fields(line)))
+
+
+def _known_as(paren: Column) -> Column:
+    return (
+        F.when((paren == "") | paren.rlike(NEE), None)
+        .when(paren.rlike(KNOWN_AS), t.strip(F.regexp_extract(paren, KNOWN_AS, 1)))
+        .otherwise(paren)
     )
 
 
@@ -63,23 +65,23 @@ def summary(intro: Column) -> Column:
 
 
 def life(intro: Column) -> Column:
-    sentence = t.strip(t.extract(intro, LIFE))
-    return F.when(F.length(sentence) > 1, t.capitalise_first(sentence)).otherwise(sentence)
+    return t.bind(
+        t.strip(t.extract(intro, LIFE)),
+        lambda sentence: F.when(F.length(sentence) > 1, t.capitalise_first(sentence)).otherwise(sentence),
+    )
 
 
 def alias_suffix(known_as: Column, name: Column, nee: Column) -> Column:
     """` (alias)` / ` (née alias)` / empty; known-as beats née, and an alias already in the name is dropped."""
     haystack = F.concat(F.lit(" "), t.strip(t.squash(F.lower(t.or_empty(name)))), F.lit(" "))
+    known, maiden = t.strip(t.or_empty(known_as)), t.strip(t.or_empty(nee))
 
-    def redundant(alias: Column) -> Column:
-        return F.contains(haystack, F.concat(F.lit(" "), t.squash(F.lower(alias)), F.lit(" ")))
+    def shown(alias: Column, prefix: str) -> Column:
+        word = F.concat(F.lit(" "), t.squash(F.lower(alias)), F.lit(" "))
+        return F.when(F.contains(haystack, word), F.lit("")).otherwise(F.concat(F.lit(f" ({prefix}"), alias, F.lit(")")))
 
-    known, maiden = t.strip(t.or_empty(known_as)), t.strip(t.or_empty(nee))
-    return (
-        F.when(known != "", F.when(redundant(known), F.lit("")).otherwise(F.concat(F.lit(" ("), known, F.lit(")"))))
-        .when(maiden != "", F.when(redundant(maiden), F.lit("")).otherwise(F.concat(F.lit(" (née "), maiden, F.lit(")"))))
-        .otherwise(F.lit(""))
-    )
+    maiden_part = t.bind(maiden, lambda m: F.when(m == "", F.lit("")).otherwise(shown(m, "née ")))
+    return t.bind(known, lambda k: F.when(k == "", maiden_part).otherwise(shown(k, "")))
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -88,8 +90,21 @@ def full_name(first: Column, last: Column) -> Column:
 
 def listing_name(first: Column, last: Column, known_as: Column, nee: Column) -> Column:
     """`LAST First (alias)`."""
-    return F.concat(
-        F.upper(t.or_empty(last)), F.lit(" "), t.or_empty(first), alias_suffix(known_as, full_name(first, last), nee)
+    return _with_alias(
+        lambda given, family: F.concat(F.upper(family), F.lit(" "), given), first, last, known_as, nee
+    )
+
+
+def _with_alias(shape, first: Column, last: Column, known_as: Column, nee: Column) -> Column:
+    """A name form followed by the alias suffix, each input mentioned once."""
+    parts = F.struct(
+        t.or_empty(first).alias("first"), t.or_empty(last).alias("last"), known_as.alias("known_as"), nee.alias("nee")
+    )
+    return t.bind(
+        parts,
+        lambda n: F.concat(
+            shape(n["first"], n["last"]), alias_suffix(n["known_as"], full_name(n["first"], n["last"]), n["nee"])
+        ),
     )
 
 
@@ -99,7 +114,7 @@ def entry_title(first: Column, last: Column) -> Column:
 
 
 def display_name(first: Column, last: Column, known_as: Column, nee: Column) -> Column:
-    return F.concat(entry_title(first, last), alias_suffix(known_as, full_name(first, last), nee))
+    return _with_alias(entry_title, first, last, known_as, nee)
 
 
 def deposit_title(first: Column, last: Column) -> Column:

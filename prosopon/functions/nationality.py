@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosopon.functions import text as t
+
 MAX_FORMS = 2000
 
 
@@ -44,11 +46,15 @@ def nationality(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
     countries: dict[str, str] = {}
     for demonym, country in forms:
         countries.setdefault(demonym, country)
-    found = F.regexp_extract(text, alternation(list(countries)), 0)
+    pattern = alternation(list(countries))
     lookup = F.create_map(*[F.lit(x) for pair in countries.items() for x in pair])
-    return F.struct(
-        as_written(text, found).alias("nationality"),
-        F.when(found != "", F.element_at(lookup, found)).alias("country"),
+    matched = t.bind(text, lambda s: F.struct(s.alias("text"), F.regexp_extract(s, pattern, 0).alias("found")))
+    return t.bind(
+        matched,
+        lambda m: F.struct(
+            as_written(m["text"], m["found"]).alias("nationality"),
+            F.when(m["found"] != "", F.element_at(lookup, m["found"])).alias("country"),
+        ),
     )
 
 

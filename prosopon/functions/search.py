@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prosopon.functions.text import fold_accents
+from prosopon.functions.text import bind, fold_accents
 
 
 def _subsequence(letters: str) -> str:
@@ -38,21 +38,23 @@ def rank(value: Column, query: str) -> Column:
     """7 same, 6 same but for case, 5 starts with, 4 a word starts with, 3 contains, 2 acronym contains,
     1 letters in order, 0 none. Accents never matter; a blank query ranks every value."""
     asked = fold_query(query)
-    lowered_query = asked.lower()
-    plain = fold_accents(F.coalesce(value, F.lit("")))
-    low = F.lower(plain)
-    ladder = (
-        F.when(plain == asked, 7)
-        .when(low == lowered_query, 6)
-        .when(F.startswith(low, F.lit(lowered_query)), 5)
-        .when(F.contains(low, F.lit(" " + lowered_query)), 4)
-        .when(F.contains(low, F.lit(lowered_query)), 3)
-    )
-    if len(lowered_query) > 1:
-        ladder = ladder.when(F.contains(acronym(low), F.lit(lowered_query)), 2).when(
-            low.rlike(_subsequence(lowered_query)), 1
+    lowered = asked.lower()
+
+    def ladder(v: Column) -> Column:
+        plain, low = v["plain"], v["low"]
+        steps = (
+            F.when(plain == asked, 7)
+            .when(low == lowered, 6)
+            .when(F.startswith(low, F.lit(lowered)), 5)
+            .when(F.contains(low, F.lit(" " + lowered)), 4)
+            .when(F.contains(low, F.lit(lowered)), 3)
         )
-    return ladder.otherwise(0)
+        if len(lowered) > 1:
+            steps = steps.when(F.contains(acronym(low), F.lit(lowered)), 2).when(low.rlike(_subsequence(lowered)), 1)
+        return steps.otherwise(0)
+
+    folded = fold_accents(F.coalesce(value, F.lit("")))
+    return bind(bind(folded, lambda p: F.struct(p.alias("plain"), F.lower(p).alias("low"))), ladder)
 
 
 def contains_ignoring_case(value: Column, query: str) -> Column:

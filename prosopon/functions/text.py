@@ -7,6 +7,7 @@ plain Java ``\\s`` and SQL ``trim`` miss. Word boundaries are spelled out over A
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,15 @@ WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it.
+
+    Catalyst copies an expression to every place that mentions it when it moves a filter below a projection;
+    a lambda variable keeps such copies from multiplying.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 

@@ -187,17 +187,16 @@ def roles_table(bios: DataFrame) -> DataFrame:
 
 def citations_table(bios: DataFrame) -> DataFrame:
     """One row per citation of each section."""
-    listed = F.concat(
-        *[
-            F.transform(
-                F.col(s)["items"],
-                lambda item, i, s=s: F.struct(
-                    F.lit(s).alias("section"), i.alias("item_index"), item["raw"].alias("raw"),
-                    F.col(s)["websites_accessed_on"].alias("websites_accessed_on"),
-                    citations.presentation(F.col(s)["items"]).alias("presentation"),
-                ),
-            )
-            for s in SECTIONS
-        ]
-    )
+    def section(name: str) -> Column:
+        data = F.col(name)
+        return F.transform(
+            data["items"],
+            lambda item, i: F.struct(
+                F.lit(name).alias("section"), i.alias("item_index"), item["raw"].alias("raw"),
+                data["websites_accessed_on"].alias("websites_accessed_on"),
+                citations.presentation(data["items"]).alias("presentation"),
+            ),
+        )
+
+    listed = F.concat(*[section(s) for s in SECTIONS])
     return unnest(bios.select("doc_id", listed.alias("c")), "c", "doc_id").select("doc_id", "value.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fields",)
+MODULES = ("fields", "listings")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
