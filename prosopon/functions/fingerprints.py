@@ -13,10 +13,8 @@ def sha(c: Column) -> Column:
 
 
 def canonical_roles(roles: Column) -> Column:
-    return F.transform(
-        F.coalesce(roles, F.array().cast("array<struct<title:string,abbreviation:string,organisation:string>>")),
-        lambda r: F.struct(*[or_empty(r[k]).alias(k) for k in ("title", "abbreviation", "organisation")]),
-    )
+    kept = F.transform(roles, lambda r: F.struct(*[or_empty(r[k]).alias(k) for k in ("title", "abbreviation", "organisation")]))
+    return F.coalesce(kept, F.array().cast("array<struct<title:string,abbreviation:string,organisation:string>>"))
 
 
 def content_json(html: Column, summary: Column, life: Column, version: Column, authors: Column, nationality: Column, roles: Column) -> Column:

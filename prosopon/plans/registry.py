@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fields", "listings")
+MODULES = ("fields", "listings", "joins", "versions", "corpus")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -7,10 +7,13 @@ costs no more than any other: rows are combined before the shuffle and no list i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosopon.functions import roles as role_functions
+from prosopon.operators.extract import extract_all
 from prosopon.profile import Profile
 from prosopon.sources import schemas
 
@@ -259,17 +262,31 @@ def attachments() -> Column:
     return F.filter(F.array(stub, photo), lambda a: a.isNotNull())
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _planned(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The lazy DataFrame of this kind, put together once per application; only the plan is kept, no rows."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_id, blocks, attachments`, one row per customer."""
-    doc_id = F.concat(F.lit("entry-"), F.col("c_custkey").cast("string"))
-    return people(spark, sf_dir).select(
-        doc_id.alias("doc_id"),
-        blocks().cast(schemas.BLOCKS).alias("blocks"),
-        attachments().cast(schemas.ATTACHMENTS).alias("attachments"),
-    )
 
+    def build() -> DataFrame:
+        doc_id = F.concat(F.lit("entry-"), F.col("c_custkey").cast("string"))
+        return people(spark, sf_dir).select(
+            doc_id.alias("doc_id"),
+            blocks().cast(schemas.BLOCKS).alias("blocks"),
+            attachments().cast(schemas.ATTACHMENTS).alias("attachments"),
+        )
 
-def bios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from prosopon.operators.extract import extract_all
+    return _planned("documents", spark, sf_dir, build)
 
-    return extract_all(documents(spark, sf_dir), PROFILE, FORMS)
+
+def bios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracted biographies of these documents."""
+    return _planned("bios", spark, sf_dir, lambda: extract_all(documents(spark, sf_dir), PROFILE, FORMS))
