@@ -276,14 +276,14 @@ def subject_faces(spark, sf_dir):
 
 
 _CROP = (
-    f"WITH {_BOXES}, src AS (SELECT image_id, x, y, width, height, 1000 + (o_totalprice::BIGINT % 2000) AS src_w, 900 + o_custkey % 1200 AS src_h FROM face JOIN orders ON image_id = o_orderkey), "
+    f"WITH {_BOXES}, src AS (SELECT image_id, x, y, width, height, 1000 + (floor(o_totalprice)::BIGINT % 2000) AS src_w, 900 + o_custkey % 1200 AS src_h FROM face JOIN orders ON image_id = o_orderkey), "
     "scaled AS (SELECT *, least(1.0::DOUBLE, 1200.0::DOUBLE / greatest(src_w, src_h)) AS s FROM src), "
-    "head AS (SELECT *, width / s * 1.5 / 0.7 AS want, ((x / s - width / s * 0.25) + (x / s + width / s + width / s * 0.25)) / 2 AS cx, y / s - height / s * 0.4 AS ht FROM scaled), "
+    "head AS (SELECT *, width / s * 1.5::DOUBLE / 0.7::DOUBLE AS want, ((x / s - width / s * 0.25) + (x / s + width / s + width / s * 0.25)) / 2 AS cx, y / s - height / s * 0.4::DOUBLE AS ht FROM scaled), "
     "fit AS (SELECT *, least(want, src_w) AS w1 FROM head), "
-    "fit2 AS (SELECT *, CASE WHEN w1 / 0.8 > src_h THEN src_h ELSE w1 / 0.8 END AS h2, CASE WHEN w1 / 0.8 > src_h THEN src_h * 0.8 ELSE w1 END AS w2 FROM fit), "
+    "fit2 AS (SELECT *, CASE WHEN w1 / 0.8::DOUBLE > src_h THEN src_h ELSE w1 / 0.8::DOUBLE END AS h2, CASE WHEN w1 / 0.8::DOUBLE > src_h THEN src_h * 0.8::DOUBLE ELSE w1 END AS w2 FROM fit), "
     "fit3 AS (SELECT *, floor(w2)::BIGINT AS crop_w, floor(h2)::BIGINT AS crop_h FROM fit2) "
     "SELECT image_id, src_w, src_h, crop_w, crop_h, greatest(0, least(src_w - crop_w, floor(cx - crop_w / 2 + 0.5)::BIGINT)) AS crop_left, "
-    "greatest(0, least(src_h - crop_h, floor(ht - crop_h * 0.08 + 0.5)::BIGINT)) AS crop_top, least(800, crop_w) AS out_w, floor(least(800, crop_w) / 0.8 + 0.5)::BIGINT AS out_h, "
+    "greatest(0, least(src_h - crop_h, floor(ht - crop_h * 0.08::DOUBLE + 0.5)::BIGINT)) AS crop_top, least(800, crop_w) AS out_w, floor(least(800, crop_w) / 0.8::DOUBLE + 0.5)::BIGINT AS out_h, "
     "floor(src_w * s + 0.5)::BIGINT AS detect_w, floor(src_h * s + 0.5)::BIGINT AS detect_h FROM fit3"
 )
 
@@ -293,7 +293,7 @@ def crop_rectangles(spark, sf_dir):
     """Crop and output size around each subject."""
     faces = portraits.subject_faces(boxes(spark, sf_dir), subjects(spark, sf_dir))
     sources = synth.read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("image_id"), (1000 + F.round("o_totalprice", 0).cast("bigint") % 2000).alias("src_w"), (900 + F.col("o_custkey") % 1200).alias("src_h")
+        F.col("o_orderkey").alias("image_id"), (1000 + F.floor("o_totalprice") % 2000).alias("src_w"), (900 + F.col("o_custkey") % 1200).alias("src_h")
     )
     cropped = portraits.crop_rectangles(faces.join(sources, "image_id"))
     size = portraits.detection_size(F.col("src_w"), F.col("src_h"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fields", "listings", "joins", "versions", "corpus")
+MODULES = ("fields", "listings", "joins", "versions", "corpus", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
