@@ -111,7 +111,12 @@ ACCENTED, UNACCENTED = _accent_table()
 
 
 def fold_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"\p{Mn}", "")
+    return bind(
+        c,
+        lambda s: F.when(
+            s.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(s, ACCENTED, UNACCENTED), r"\p{Mn}", "")
+        ).otherwise(s),
+    )
 
 
 def locale_key(c: Column) -> Column:

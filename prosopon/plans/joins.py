@@ -96,7 +96,7 @@ _SPOTS = " UNION ALL ".join(
 def earliest_terms(spark, sf_dir):
     """First dictionary term in each whole document: earliest, then longest, by an equi-join."""
     terms = spark.createDataFrame([(i, w) for i, w in enumerate(_TERMS)], "ordinal int, term string")
-    return enrich.earliest_mention(synth.read(spark, sf_dir, "documents"), "doc_id", "text", terms).withColumnRenamed("at", "spot")
+    return enrich.earliest_mention(synth.texts(spark, sf_dir), "doc_id", "text", terms).withColumnRenamed("at", "spot")
 
 
 @query(

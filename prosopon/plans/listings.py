@@ -160,5 +160,5 @@ def title_search(spark, sf_dir):
 )
 def document_ranks(spark, sf_dir):
     """How the whole texts of the corpus rank against a query, by language and source."""
-    docs = synth.read(spark, sf_dir, "documents")
+    docs = synth.texts(spark, sf_dir)
     return docs.groupBy("lang", "source", search.rank(F.col("text"), "license").alias("rank")).agg(F.count("*").alias("documents"))

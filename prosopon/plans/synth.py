@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from prosopon.functions import roles as role_functions
 from prosopon.operators.extract import extract_all
 from prosopon.profile import Profile
+from prosopon.session import spread
 from prosopon.sources import schemas
 
 # Nation key → (country, feminine form, masculine form, spelling used in the texts).
@@ -52,6 +53,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A text table for heavy work per row."""
+    return spread(read(spark, sf_dir, table))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the facts the documents are written from."""
     day = F.col("o_orderdate")
@@ -73,9 +79,11 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max(day).alias("last_order"), *per_status, *per_priority)
     )
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # The facts are already partitioned by customer. A broadcast would leave the heavy work that follows to the
+    # few splits of the customer scan, so the join goes by partition.
     joined = (
         read(spark, sf_dir, "customer")
-        .join(facts, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(facts.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")
         .join(nation.select("n_nationkey", "r_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     )
     stem = F.concat(F.lit("ka"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))

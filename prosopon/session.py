@@ -15,6 +15,8 @@ def build_session(app: str = "prosopon", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Extraction takes about a millisecond per row: a partition of few bytes is still a lot of work.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
@@ -56,3 +58,12 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores, before heavy work per row.
+
+    A scan with at least as many splits as cores, which is every large one, passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
