@@ -110,7 +110,9 @@ def with_images(entries: DataFrame, images: DataFrame, key: str = "slug") -> Dat
     base = F.element_at(F.split(F.col("path"), "/"), -1)
     known = images.select(nfc(base).alias("_name"), "width", "height")
     wanted = F.coalesce(t.empty_to_null(F.col("image_portrait_fn")), t.empty_to_null(F.col("image_fn")))
-    return entries.withColumn("_name", nfc(wanted)).join(known, "_name", "left").drop("_name")
+    # Entries without an image get a key of their own, so that they do not all meet in one partition.
+    own = F.concat(F.lit("\0"), F.col(key).cast("string"))
+    return entries.withColumn("_name", F.coalesce(nfc(wanted), own)).join(known, "_name", "left").drop("_name")
 
 
 def active_images(extracted: DataFrame, overrides: DataFrame, key: str = "slug") -> DataFrame:
@@ -141,7 +143,11 @@ def link_audit(links: DataFrame, probes: DataFrame) -> DataFrame:
         answer = F.when(~F.col("failed"), citations.http_verdict(F.col("http_status")))
         return probes.where(F.col("method") == method).select(F.col("href").alias("_href"), answer.alias(f"_{method.lower()}"))
 
-    audited = links.withColumn("_href", t.decode_ampersand(F.col("link")))
+    # Entries without a link get a key of their own, so that they do not all meet in one partition.
+    own = F.concat(F.lit("\0"), F.col("entry"))
+    audited = links.withColumn(
+        "_href", F.when(t.or_empty(F.col("link")) == "", own).otherwise(t.decode_ampersand(F.col("link")))
+    )
     for method in ("HEAD", "GET"):
         audited = audited.join(verdict(method), "_href", "left")
     status = F.when(t.or_empty(F.col("link")) == "", "no link").otherwise(F.coalesce("_head", "_get", F.lit("ERROR")))
@@ -174,7 +180,8 @@ def attribution_audit(entries: DataFrame, credits: DataFrame) -> DataFrame:
         F.count("*").alias("credits"), F.min("name").alias("first_name")
     )
     state = F.when(F.col("credits").isNull(), "uncredited").when(F.col("entries").isNull(), "unmatched").otherwise("credited")
-    return held.join(named, "surname", "full").withColumn("state", state)
+    met = held.join(named, "surname", "full").withColumn("state", state)
+    return met.na.fill(0, ["entries", "credits"])
 
 
 def only(entries: DataFrame, wanted: DataFrame, key: str = "slug") -> tuple[DataFrame, DataFrame]:

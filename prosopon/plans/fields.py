@@ -95,7 +95,7 @@ def office_holders(spark, sf_dir):
     )
 
 
-@query(oracle.people("SELECT coalesce(ord, 'none') AS ordinal_text, count(*) AS roles, sum(y2 - y1 + 1) AS years FROM held GROUP BY ALL"))
+@query(oracle.people("SELECT coalesce(ord, 'none') AS ordinal_text, count(*) AS roles, sum(y2 - y1 + 1)::BIGINT AS years FROM held GROUP BY ALL"))
 def roles_by_ordinal(spark, sf_dir):
     table = extract.roles_table(synth.bios(spark, sf_dir)).where(F.col("role_index") >= 0)
     return table.groupBy(F.coalesce("ordinal_text", F.lit("none")).alias("ordinal_text")).agg(

@@ -9,6 +9,8 @@ from prosopon.operators import enrich
 from prosopon.plans import oracle, synth
 from prosopon.plans.catalog import registrar
 from prosopon.plans.synth import PROFILE
+from prosopon.session import cut_lineage, new_folder
+from prosopon.sinks import exports
 
 CATALOG, query = registrar()
 
@@ -112,8 +114,8 @@ def earliest_terms_in_one_pass(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 800 WHEN 'MACHINERY' THEN 1200 END AS width, "
-    "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1000 + c_nationkey END AS height, nfc_normalize('é' || c_custkey || '.jpg') AS image FROM customer"
+    "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 800 WHEN 'MACHINERY' THEN 1200 ELSE 0 END AS width, "
+    "CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1000 + c_nationkey ELSE 0 END AS height, nfc_normalize('é' || c_custkey || '.jpg') AS image FROM customer"
 )
 def portrait_lookup(spark, sf_dir):
     """Images found by normalised name: decomposed accents on one side, composed on the other."""
@@ -131,7 +133,7 @@ def portrait_lookup(spark, sf_dir):
         (F.col("c_nationkey") + 1000).alias("height"),
     )
     joined = enrich.with_images(entries, images, "c_custkey")
-    return joined.select("c_custkey", "width", "height", enrich.nfc(F.col("image_fn")).alias("image"))
+    return joined.select("c_custkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")], enrich.nfc(F.col("image_fn")).alias("image"))
 
 
 @query(
@@ -199,6 +201,17 @@ def link_status_tally(spark, sf_dir):
     return audit.link_tally(_audited(spark, sf_dir))
 
 
+@query(
+    oracle.people(f"SELECT doc_id AS entry, image_source AS full_text, {_STATUS} AS status FROM fields")
+)
+def link_audit_files(spark, sf_dir):
+    """The audit written as quoted CSV and read again; empty cells come back as NULL."""
+    folder = new_folder(spark, "audit")
+    exports.write_csv_audit(cut_lineage(_audited(spark, sf_dir), "audited"), folder)
+    back = spark.read.schema("entry string, full_text string, link string, status string").option("header", True)
+    return back.option("escape", '"').option("lineSep", "\r\n").csv(folder).select("entry", "full_text", "status")
+
+
 def credit_lines(spark, sf_dir):
     """A credit line per entry with orders of its own: who wrote it, and what else they are credited with."""
     p = synth.people(spark, sf_dir)
@@ -228,7 +241,7 @@ def contributors_per_entry(spark, sf_dir):
 
 @query(
     oracle.people(
-        "SELECT surname, e AS entries, first_slug, c AS credits, first_name, CASE WHEN c IS NULL THEN 'uncredited' WHEN e IS NULL THEN 'unmatched' ELSE 'credited' END AS state "
+        "SELECT surname, coalesce(e, 0) AS entries, first_slug, coalesce(c, 0) AS credits, first_name, CASE WHEN c IS NULL THEN 'uncredited' WHEN e IS NULL THEN 'unmatched' ELSE 'credited' END AS state "
         "FROM (SELECT coalesce(replace(replace(upper(strip_accents(last_name)), '’', ' '), '-', ' '), NULL) AS surname, count(*) AS e, min(doc_id) AS first_slug FROM fields WHERE named GROUP BY 1) "
         "FULL JOIN (SELECT upper(entry) AS surname, count(*) AS c, min(name) AS first_name FROM credits GROUP BY 1) USING (surname)",
         _CREDITS,

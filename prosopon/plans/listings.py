@@ -77,7 +77,7 @@ _LIST_KEY = "lower(organisation) DESC, slug, role_index"
 
 @query(
     oracle.people(
-        f"SELECT {ALL}, position, position > 1 AND slug = previous AS continuation, sum(CASE WHEN slug = previous THEN 0 ELSE 1 END) OVER (ORDER BY position) AS run "
+        f"SELECT {ALL}, position, position > 1 AND slug = previous AS continuation, sum(CASE WHEN slug = previous THEN 0 ELSE 1 END) OVER (ORDER BY position)::BIGINT AS run "
         f"FROM (SELECT {ALL}, row_number() OVER (ORDER BY {_LIST_KEY}) AS position, lag(slug) OVER (ORDER BY {_LIST_KEY}) AS previous FROM listing)"
     ).replace("position > 1 AND slug = previous", "coalesce(slug = previous, false)")
 )

@@ -9,6 +9,9 @@ from prosopon.operators import ordering, versioning
 from prosopon.plans import oracle, synth
 from prosopon.plans.catalog import registrar
 from prosopon.plans.synth import PROFILE
+from prosopon.session import new_folder
+from prosopon.sinks import exports
+from prosopon.sources import keyvalue
 
 CATALOG, query = registrar()
 
@@ -90,12 +93,33 @@ def deposit_json(spark, sf_dir):
     )
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS record_id FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey ELSE -1 END AS record_id FROM orders")
 def record_ids(spark, sf_dir):
     """Record numbers out of deposit addresses."""
     tail = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("depositions/"), F.col("o_custkey").cast("string"))).otherwise("records")
     url = F.concat(F.lit("https://deposit.example/api/deposit/"), tail)
-    return synth.read(spark, sf_dir, "orders").select("o_orderkey", metadata.record_id(url).alias("record_id"))
+    return synth.read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(metadata.record_id(url), F.lit(-1)).alias("record_id"))
+
+
+@query(
+    oracle.people(
+        "SELECT doc_id AS slug, coalesce(last_name, '') AS last_name, coalesce(roles_text, '[]') AS roles, content_hash FROM hashed", *_FEED_CTES
+    )
+)
+def feed_files(spark, sf_dir):
+    """The feed written as sorted JSON lines and read again."""
+    folder = new_folder(spark, "feed")
+    exports.write_feed(feed(spark, sf_dir), folder)
+    return keyvalue.read_feed(spark, folder).select("slug", "last_name", F.to_json("roles").alias("roles"), "content_hash")
+
+
+@query(oracle.people("SELECT doc_id AS id, summary, sha256(html) AS digest FROM pages_of"))
+def stored_entries(spark, sf_dir):
+    """The keyed entry table written and read again."""
+    folder = new_folder(spark, "entries")
+    bios = synth.bios(spark, sf_dir).withColumnRenamed("doc_id", "id").withColumn("digest", F.sha2("html", 256))
+    exports.write_store(bios, folder)
+    return spark.read.schema("id string, summary string, digest string").parquet(folder)
 
 
 # --- plans over the document table: labelled documents are the ones already published --------------------
@@ -200,6 +224,28 @@ def merged_state(spark, sf_dir):
     return merged.select("slug", "record_id", "concept_doi", "version_doi", "content_hash", "version")
 
 
+@query(
+    f"SELECT 'doc-' || d.doc_id AS slug, CASE WHEN {_NEW} THEN d.doc_id + 500000 ELSE d.doc_id END AS record_id FROM {_DOCS} WHERE l.doc_id IS NOT NULL OR lang <> 'fr'"
+)
+def state_files(spark, sf_dir):
+    """State published before and after a run; readers get the newest complete version."""
+    folder = new_folder(spark, "state")
+    before = document_state(spark, sf_dir).drop("quality", "toxic")
+    exports.publish_state(before, folder, 1)
+    known = keyvalue.read_state(spark, exports.current_state_folder(spark, folder))
+    exports.publish_state(versioning.merge_outcomes(known, _outcomes(spark, sf_dir), "sandbox"), folder, 2)
+    return keyvalue.read_state(spark, exports.current_state_folder(spark, folder)).select("slug", "record_id")
+
+
+@query(f"SELECT 'doc-' || d.doc_id AS slug, {_DOC_HASH} AS digest FROM {_DOCS}")
+def manifest_files(spark, sf_dir):
+    """The render manifest written and read again."""
+    folder = new_folder(spark, "manifest")
+    current = document_feed(spark, sf_dir).select("slug", F.col("content_hash").alias("digest"))
+    written = exports.write_manifest(current, folder, 1)
+    return spark.read.schema("slug string, digest string").json(written)
+
+
 @query(
     f"SELECT count(*) FILTER (lang <> 'fr') AS succeeded, count(*) FILTER (lang = 'fr') AS failed, max((lang = 'fr')::INT) AS exit_status FROM {_DOCS} WHERE l.doc_id IS NULL OR quality = 0"
 )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,39 +20,24 @@ def write_feed(feed: DataFrame, path: str) -> None:
     feed.orderBy("slug").write.mode("overwrite").json(path)
 
 
-def _pointer(spark: SparkSession, path: str):
-    """(file system, pointer file) through the session's own Hadoop configuration."""
-    jvm = spark.sparkContext._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    return pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), pointer
-
-
-def publish_state(state: DataFrame, path: str, version: str) -> str:
-    """Write a new key-sorted version folder, then move the pointer to it.
+def publish_state(state: DataFrame, path: str, version: int) -> str:
+    """Write a key-sorted table as a new version folder; versions count upwards.
 
-    Readers follow the pointer, so they see the old table or the new one and never a half-written one.
+    A version exists for readers once Spark has committed it (its success marker is written last), so they see
+    the old table or the new one and never a half-written one, and a run that is repeated replaces its own
+    version.
     """
-    spark = state.sparkSession
-    folder = f"{path}/version={version}"
+    folder = f"{path}/version={version:012d}"
     state.orderBy("slug").write.mode("overwrite").json(folder)
-    fs, pointer = _pointer(spark, path)
-    stage = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
-    out = fs.create(stage, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(stage, pointer)
     return folder
 
 
 def current_state_folder(spark: SparkSession, path: str) -> str | None:
-    """Folder the pointer names, or None before the first publication."""
-    fs, pointer = _pointer(spark, path)
-    if not fs.exists(pointer):
-        return None
-    version = json.loads(spark.read.text(pointer.toString(), wholetext=True).first()[0])["version"]
-    return f"{path}/version={version}"
+    """Newest committed version folder, None before the first publication."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    committed = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marker) or []
+    versions = sorted(status.getPath().getParent().getName() for status in committed)
+    return f"{path}/{versions[-1]}" if versions else None
 
 
 def write_csv_audit(rows: DataFrame, path: str) -> None:
@@ -98,6 +81,6 @@ def write_images(bios: DataFrame, path: str) -> None:
     image_export(bios).write.mode("overwrite").parquet(path)
 
 
-def write_manifest(plan: DataFrame, path: str, version: str) -> str:
+def write_manifest(plan: DataFrame, path: str, version: int) -> str:
     """Slug → digest of everything that is rendered now; published like the state."""
     return publish_state(plan.select("slug", "digest"), path, version)

@@ -146,9 +146,9 @@ def test_feed_and_csv_and_state_sinks(spark, tmp_path):
     place = str(tmp_path / "state")
     assert exports.current_state_folder(spark, place) is None
     state = spark.createDataFrame([("z", 1, "h"), ("y", 2, "h")], "slug string, record_id bigint, content_hash string")
-    exports.publish_state(state, place, "1")
-    exports.publish_state(state.where("slug = 'y'"), place, "2")
-    assert exports.current_state_folder(spark, place) == f"{place}/version=2"
+    exports.publish_state(state, place, 1)
+    exports.publish_state(state.where("slug = 'y'"), place, 2)
+    assert exports.current_state_folder(spark, place) == f"{place}/version=000000000002"
     assert [r.slug for r in keyvalue.read_state(spark, exports.current_state_folder(spark, place)).collect()] == ["y"]
     assert keyvalue.read_state(spark, f"{place}/none").count() == 0
 
