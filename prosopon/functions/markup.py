@@ -92,7 +92,8 @@ BLOCK_TAGS = "p|h[1-6]|li|ul|ol|div|article|section|nav|header|footer|aside|main
 
 def html_pieces(html: Column) -> Column:
     """The page cut before every block-level tag, keeping the pieces that open a paragraph, heading or item."""
-    marked = F.regexp_replace(strip_hidden(html), rf"(?i)<(/?)({BLOCK_TAGS})([\s>/])", "\u0001<$1$2$3")
+    unmarked = F.translate(strip_hidden(html), "\u0001", "")
+    marked = F.regexp_replace(unmarked, rf"(?i)<(/?)({BLOCK_TAGS})([\s>/])", "\u0001<$1$2$3")
     return F.filter(F.split(marked, "\u0001"), lambda piece: piece.rlike(r"(?i)^<(?:p|h[1-6]|li)[\s>/]"))
 
 

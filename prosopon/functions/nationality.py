@@ -1,8 +1,8 @@
 """Nationality by dictionary: the demonym that appears first wins, the longest one at equal position.
 
 A longest-first alternation finds exactly that in one pass over the text, and the country follows from a
-literal map, so a dictionary of bounded size costs no join at all. Larger dictionaries go through
-`operators.enrich.earliest_mention`, an equi-join that needs no bound.
+literal map, so a dictionary of bounded size costs no join at all. `operators.enrich.nationalities` takes
+dictionaries of any size and goes over to an equi-join beyond the bound.
 """
 
 from __future__ import annotations
@@ -18,20 +18,20 @@ from prosopon.functions import text as t
 MAX_FORMS = 2000
 
 
-def load_forms(demonyms: DataFrame) -> list[tuple[str, str]]:
+def load_forms(demonyms: DataFrame, bound: int = MAX_FORMS) -> list[tuple[str, str]]:
     """(demonym, country) pairs of UN members in dictionary order, feminine before masculine form.
 
-    Raises when the dictionary outgrows the bound of the alternation.
+    Raises OverflowError when the dictionary outgrows the bound of the alternation.
     """
     rows = (
         demonyms.where(F.col("un_member") & (F.coalesce(F.col("demonym"), F.lit("")) != ""))
         .orderBy("ordinal", "form")
         .select("demonym", "country")
-        .limit(MAX_FORMS + 1)
+        .limit(bound + 1)
         .collect()
     )
-    if len(rows) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} demonyms; use operators.enrich.earliest_mention")
+    if len(rows) > bound:
+        raise OverflowError(f"more than {bound} demonyms; operators.enrich.nationalities handles any number")
     return [(r.demonym, r.country) for r in rows]
 
 

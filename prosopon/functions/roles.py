@@ -28,37 +28,36 @@ S = t.WS
 RANGE = rf"\d{{4}}{S}*[-–]{S}*\d{{4}}"
 MONTHS_YEAR = rf"[A-Z][a-z]+{S}*[-–]{S}*[A-Z][a-z]+{S}+\d{{4}}"
 ROLE_END = rf"(?:{RANGE}|(?:in{S}+\d{{4}}|{MONTHS_YEAR}|\d{{4}})(?={S}+and{S}+|,{S}+|{S}*\z))"
-RANGE_AT_END = rf"(\d{{4}}){S}*[-–]{S}*(\d{{4}})\z"
-YEARS_TAIL = rf"{S}*\(?{S}*(?:{RANGE}|in{S}+\d{{4}}|{MONTHS_YEAR}|\d{{4}}){S}*\)?{S}*\z"
 CONNECTOR = rf"(?i)^{S}*(?:and|,|;){S}+"
-ORDINAL = rf"(?is)^.*{t.WORD_START}({'|'.join(ORDINALS)}){t.WORD_END}"
+LAST_ORDINAL = rf"(?is)^.*{t.WORD_START}(?=[{''.join(sorted({o[0] for o in ORDINALS}))}])({'|'.join(ORDINALS)}){t.WORD_END}"
 OF_TO = rf"{S}+(?:of|to){S}+"
 ABBREVIATION = rf"{S}*\(((?=(?:[^()]*[A-Z]){{2}})[A-Za-z]+(?:{S}+[A-Za-z]+)*)\)"
-MARK = "\u0001"
+YEARS, MARK = "\u0002", "\u0001"
 
 
 def role_pieces(summary: Column) -> Column:
-    """Text up to and including each year token; what follows the last token is dropped."""
-    pieces = F.split(F.regexp_replace(summary, ROLE_END, "$0" + MARK), MARK)
-    return F.transform(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece, i: F.when(i == 0, piece).otherwise(F.regexp_replace(piece, CONNECTOR, "")),
+    """Text up to and including each year token, the token set off by a mark; the rest is dropped."""
+    unmarked = F.translate(summary, YEARS + MARK, "")
+    pieces = F.split(F.regexp_replace(unmarked, ROLE_END, f"{YEARS}$0{MARK}"), MARK)
+    return t.bind(
+        pieces,
+        lambda found: F.transform(
+            F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))),
+            lambda piece, i: F.when(i == 0, piece).otherwise(F.regexp_replace(piece, CONNECTOR, "")),
+        ),
     )
 
 
-def clean_piece(piece: Column) -> Column:
-    """Office text: year tail, stray punctuation and a leading connector removed."""
-    body = t.strip(F.regexp_replace(F.regexp_replace(piece, YEARS_TAIL, ""), rf"[,;]+{S}*\z", ""))
-    return t.strip(F.regexp_replace(F.regexp_replace(body, rf"^(?:{S}|[,;()])+", ""), rf"(?i)^(?:and|or){S}+", ""))
-
-
-def start_year(piece: Column) -> Column:
-    in_range = F.regexp_extract(piece, RANGE_AT_END, 1)
-    return F.when(in_range != "", in_range).otherwise(F.regexp_extract(piece, r"(\d{4})\z", 1)).cast("int")
+def office_text(piece: Column) -> Column:
+    """What precedes the year token, without an opening parenthesis, stray punctuation and a leading connector."""
+    before = t.rstrip(F.substring_index(piece, YEARS, 1))
+    bare = F.rtrim(t.rstrip(F.regexp_replace(before, r"\(\z", "")), F.lit(",;"))
+    return t.strip(F.regexp_replace(F.ltrim(t.rstrip(bare), F.lit(t.SPACE_CHARS + ",;()")), rf"(?i)^(?:and|or){S}+", ""))
 
 
-def end_year(piece: Column) -> Column:
-    return F.regexp_extract(piece, r"(\d{4})\z", 1).cast("int")
+def year_digits(piece: Column) -> Column:
+    """The four or eight digits of the year token."""
+    return F.regexp_replace(F.substring_index(piece, YEARS, -1), "[^0-9]", "")
 
 
 def skip_preamble(office: Column) -> Column:
@@ -68,16 +67,23 @@ def skip_preamble(office: Column) -> Column:
     return t.lstrip(F.substring(office, skipped + 1, F.length(office)))
 
 
-def after_ordinal(office: Column, ordinal: Column) -> Column:
-    return F.when(ordinal != "", t.lstrip(F.regexp_replace(office, ORDINAL, ""))).otherwise(skip_preamble(office))
+def ordinal_and_rest(office: Column) -> Column:
+    """[ordinal, rest] around the last ordinal, or [office] without one."""
+    return F.split(F.regexp_replace(office, LAST_ORDINAL, f"$1{MARK}"), MARK)
 
 
 def pull_abbreviation(name: Column) -> Column:
     """struct(name, abbr): first parenthesised letters-only token with two capitals, taken out of the name."""
-    abbr = t.empty_to_null(F.regexp_extract(name, ABBREVIATION, 1))
-    without = F.array_join(F.split(name, ABBREVIATION, 2), "")
-    tidy = t.strip(F.regexp_replace(F.regexp_replace(without, rf"{S}{{2,}}", " "), rf"{S}+([,;.])", "$1"))
-    return F.struct(F.when(abbr.isNull(), name).otherwise(tidy).alias("name"), abbr.alias("abbr"))
+    plain = F.struct(name.alias("name"), F.lit(None).cast("string").alias("abbr"))
+
+    def pulled(halves: Column) -> Column:
+        without = F.array_join(halves, "")
+        tidy = t.strip(F.regexp_replace(F.regexp_replace(without, rf"{S}{{2,}}", " "), rf"{S}+([,;.])", "$1"))
+        return F.when(F.size(halves) < 2, plain).otherwise(
+            F.struct(tidy.alias("name"), F.regexp_extract(name, ABBREVIATION, 1).alias("abbr"))
+        )
+
+    return F.when(~F.contains(name, F.lit("(")), plain).otherwise(t.bind(F.split(name, ABBREVIATION, 2), pulled))
 
 
 def institution_of(title: Column, field: int) -> Column:
@@ -93,24 +99,19 @@ def parse_roles(summary: Column) -> Column:
     """array<struct<ordinal_text,title,organisation,abbreviation,start_year,end_year>>, in text order."""
     pieces = F.transform(
         role_pieces(summary),
-        lambda p: F.struct(clean_piece(p).alias("office"), start_year(p).alias("start"), end_year(p).alias("end")),
-    )
-    numbered = F.transform(
-        pieces,
-        lambda x: F.struct(
-            x["office"].alias("office"),
-            F.lower(F.regexp_extract(x["office"], ORDINAL, 1)).alias("ordinal"),
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-        ),
+        lambda p: F.struct(ordinal_and_rest(office_text(p)).alias("office"), year_digits(p).alias("digits")),
     )
     offices = F.transform(
-        numbered,
+        pieces,
         lambda x: F.struct(
-            F.split(after_ordinal(x["office"], x["ordinal"]), rf"{OF_TO}(?:the{S}+)?", 2).alias("halves"),
-            x["ordinal"].alias("ordinal"),
-            x["start"].alias("start"),
-            x["end"].alias("end"),
+            F.split(
+                F.when(F.size(x["office"]) > 1, t.lstrip(x["office"][1])).otherwise(skip_preamble(x["office"][0])),
+                rf"{OF_TO}(?:the{S}+)?",
+                2,
+            ).alias("halves"),
+            F.when(F.size(x["office"]) > 1, F.lower(x["office"][0])).alias("ordinal"),
+            F.left(x["digits"], F.lit(4)).cast("int").alias("start"),
+            F.right(x["digits"], F.lit(4)).cast("int").alias("end"),
         ),
     )
     named = F.transform(
@@ -126,7 +127,7 @@ def parse_roles(summary: Column) -> Column:
     parts = F.transform(
         named,
         lambda x: F.struct(
-            t.empty_to_null(x["ordinal"]).alias("ordinal_text"),
+            x["ordinal"].alias("ordinal_text"),
             F.when(F.size(x["halves"]) > 1, t.strip(F.element_at(x["halves"], 1)))
             .otherwise(t.strip(x["pulled"]["name"]))
             .alias("title"),

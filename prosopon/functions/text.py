@@ -35,6 +35,10 @@ def lstrip(c: Column) -> Column:
     return F.ltrim(c, F.lit(SPACE_CHARS))
 
 
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACE_CHARS))
+
+
 def squash(c: Column) -> Column:
     """Runs of whitespace become one space."""
     return F.regexp_replace(c, WS + "+", " ")

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from prosopon.functions import citations
 from prosopon.functions import text as t
+from prosopon.functions.nationality import MAX_FORMS, as_written, load_forms, nationality
 from prosopon.profile import Profile
 
 # Fixed value: prefix of test identifiers.
@@ -102,6 +103,25 @@ def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms:
     return hits.groupBy(id_column).agg(F.min_by(F.struct("term", "at", "ordinal"), order).alias("m")).select(id_column, "m.*")
 
 
+def nationalities(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame, max_forms: int = MAX_FORMS) -> DataFrame:
+    """(id, nationality, country) of each text, NULL where no demonym occurs.
+
+    A dictionary within the bound goes into one alternation and needs no join; a larger one is looked up by
+    `earliest_mention`. Both give the same rows.
+    """
+    members = demonyms.where(F.col("un_member") & (t.or_empty(F.col("demonym")) != ""))
+    try:
+        forms = load_forms(demonyms, max_forms)
+    except OverflowError:
+        words = members.select((F.col("ordinal") * 2 + (F.col("form") == "m").cast("int")).alias("ordinal"), F.col("demonym").alias("term"), "country")
+        found = earliest_mention(texts, id_column, text_column, words.select("ordinal", "term"))
+        named = found.join(words.select("ordinal", "country"), "ordinal").select(id_column, "term", "country")
+        met = texts.join(named, id_column, "left")
+        return met.select(id_column, as_written(F.col(text_column), F.col("term")).alias("nationality"), "country")
+    origin = nationality(F.col(text_column), forms)
+    return texts.select(id_column, origin.alias("o")).select(id_column, "o.nationality", "o.country")
+
+
 def with_images(entries: DataFrame, images: DataFrame, key: str = "slug") -> DataFrame:
     """Image dimensions by NFC base name, the portrait crop before the original.
 

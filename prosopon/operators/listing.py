@@ -6,7 +6,9 @@ person in the current order) needs no grouping at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosopon.functions import names, roles, search
@@ -141,22 +143,24 @@ def list_groups(rows: DataFrame, column_id: str = "fullName", descending: bool =
     return ordering.with_runs(rows, sort_order(column_id, descending), "slug")
 
 
-def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str], k: int, max_queries: int = 500) -> DataFrame:
+def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str], k: int, max_queries: int = 100) -> DataFrame:
     """The k best matches of each query over a corpus.
 
-    The query list is a parameter of checked size, ranked inside each row; only matches leave it. The row
+    The queries are ranked inside each row, at most `max_queries` per pass; only matches leave it. The row
     number is limited to k, which Spark applies per input partition before the shuffle, so a query that matches
     the whole corpus still moves only k rows per task.
     """
-    from pyspark.sql import Window
-
-    if len(queries) > max_queries:
-        raise ValueError(f"at most {max_queries} queries per batch")
-    ranked = F.array(*[F.struct(F.lit(q).alias("query"), search.rank(F.col(text_column), q).alias("rank")) for q in queries])
-    hits = (
-        docs.select(id_column, text_column, F.explode_outer(F.filter(ranked, lambda x: x["rank"] > 0)).alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(F.col("hit.query").alias("query"), F.col("hit.rank").alias("rank"), id_column, text_column)
-    )
+    text = F.col(text_column)
+
+    def hits_of(batch: list[str]) -> DataFrame:
+        ranked = F.array(*[F.struct(F.lit(q).alias("query"), search.rank(text, q).alias("rank")) for q in batch])
+        return (
+            docs.select(id_column, text_column, F.explode_outer(F.filter(ranked, lambda x: x["rank"] > 0)).alias("hit"))
+            .where(F.col("hit").isNotNull())
+            .select(F.col("hit.query").alias("query"), F.col("hit.rank").alias("rank"), id_column, text_column)
+        )
+
+    batches = [queries[i : i + max_queries] for i in range(0, len(queries), max_queries)]
+    hits = reduce(DataFrame.unionByName, map(hits_of, batches))
     best = Window.partitionBy("query").orderBy(F.col("rank").desc(), F.col(id_column))
     return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)

@@ -83,7 +83,7 @@ def role_rows(spark, sf_dir):
 def role_pieces(spark, sf_dir):
     """The summary cut behind each year token, connectors dropped."""
     pieces = _anchored(spark, sf_dir).select("doc_id", roles.role_pieces(names.summary(F.col("intro"))).alias("p"))
-    return pieces.where(F.size("p") > 1).select("doc_id", F.size("p").alias("pieces"), F.element_at("p", -1).alias("last_piece"))
+    return pieces.where(F.size("p") > 1).select("doc_id", F.size("p").alias("pieces"), F.replace(F.element_at("p", -1), F.lit(roles.YEARS), F.lit("")).alias("last_piece"))
 
 
 @query(oracle.people("SELECT title, org AS organisation, abbr AS abbreviation, count(*) AS holders, min(y1) AS first_year, max(y2) AS last_year FROM held GROUP BY ALL"))

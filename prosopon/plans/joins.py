@@ -152,6 +152,20 @@ def active_images(spark, sf_dir):
     return enrich.active_images(shown.where(F.col("extension").isNotNull()), overrides)
 
 
+@query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
+def nationalities_by_join(spark, sf_dir):
+    """Nationalities from the dictionary table by equi-join, as for a dictionary beyond any bound."""
+    summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    return enrich.nationalities(cut_lineage(summaries, "summaries"), "doc_id", "summary", synth.demonyms(spark), max_forms=10)
+
+
+@query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
+def nationalities_by_dictionary(spark, sf_dir):
+    """The same from the dictionary table through one alternation."""
+    summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    return enrich.nationalities(summaries, "doc_id", "summary", synth.demonyms(spark))
+
+
 def probes(spark, sf_dir):
     """Latest link probe results per image credit; what they answer depends on the nation."""
     nk = F.col("c_nationkey") % 5

@@ -68,9 +68,11 @@ def test_listing(people):
             listing.query_listing(people, **bad)
 
 
-def test_batch_search_bounds_its_queries(spark, people):
-    with pytest.raises(ValueError):
-        listing.batch_search(people, "doc_id", "last_name", ["q"] * 501, 1)
+def test_batch_search_in_several_passes(people):
+    queries = ["z", "lund", "bow", "q", "m"]
+    one = listing.batch_search(people, "doc_id", "last_name", queries, 2)
+    many = listing.batch_search(people, "doc_id", "last_name", queries, 2, max_queries=2)
+    assert sorted(one.collect()) == sorted(many.collect()) and one.count() == 4
 
 
 def test_earliest_mention_matches_brute_force(spark):
