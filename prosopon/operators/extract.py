@@ -132,8 +132,8 @@ def _diagnostics() -> Column:
     )
 
 
-def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, str]]) -> DataFrame:
-    """`doc_id, blocks, attachments[, ...]` → one bio per document.
+def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, str]], carried: Sequence[str] = ()) -> DataFrame:
+    """`doc_id, blocks, attachments[, ...]` → one bio per document, with the columns named in `carried`.
 
     An undecodable document keeps its row: no values, one diagnostic.
     """
@@ -144,6 +144,7 @@ def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, st
     unreadable = dia.collect(dia.report("document_unreadable", F.col("problem").isNotNull()))
     return staged.select(
         "doc_id",
+        *carried,
         F.col("name.first_name").alias("first_name"),
         F.col("name.last_name").alias("last_name"),
         F.col("name.known_as").alias("known_as"),

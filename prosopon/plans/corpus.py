@@ -12,6 +12,7 @@ from prosopon.plans import oracle, synth
 from prosopon.plans.catalog import registrar
 from prosopon.sinks import exports
 from prosopon.sources import corpus, docx, keyvalue
+from prosopon.sources.docx import write_docx
 
 CATALOG, query = registrar()
 
@@ -48,7 +49,7 @@ def _as_docx(batches):
     import pandas as pd
 
     for batch in batches:
-        files = [docx.write_docx(text.split("\n")) for text in batch["text"]]
+        files = [write_docx(text.split("\n")) for text in batch["text"]]
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "content": files})
 
 

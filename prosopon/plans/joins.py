@@ -167,15 +167,15 @@ def nationalities_by_dictionary(spark, sf_dir):
 
 
 def probes(spark, sf_dir):
-    """Latest link probe results per image credit; what they answer depends on the nation."""
-    nk = F.col("c_nationkey") % 5
+    """Latest link probe results per image credit; what they answer depends on the segment."""
+    segment = F.col("c_mktsegment")
     href = F.concat(F.lit("https://www.pics"), F.col("c_nationkey").cast("string"), F.lit(".example/p/"), "k", F.lit("?a=1&b=2"))
-    heads = _entries(spark, sf_dir).where(nk < 4).select(
-        href.alias("href"), F.lit("HEAD").alias("method"),
-        F.when(nk == 0, 200).when(nk == 1, 404).when(nk == 2, 403).alias("http_status"), (nk == 3).alias("failed"),
-    )
-    gets = _entries(spark, sf_dir).where(nk.isin(2, 3)).select(
-        href.alias("href"), F.lit("GET").alias("method"), F.when(nk == 2, 301).otherwise(404).alias("http_status"), F.lit(False).alias("failed")
+    answer = F.when(segment == "BUILDING", 200).when(segment == "FURNITURE", 404).when(segment == "HOUSEHOLD", 403)
+    heads = _entries(spark, sf_dir).where(segment != "AUTOMOBILE").select(
+        href.alias("href"), F.lit("HEAD").alias("method"), answer.alias("http_status"), (segment == "MACHINERY").alias("failed")
+    )
+    gets = _entries(spark, sf_dir).where(segment.isin("HOUSEHOLD", "MACHINERY")).select(
+        href.alias("href"), F.lit("GET").alias("method"), F.when(segment == "HOUSEHOLD", 301).otherwise(404).alias("http_status"), F.lit(False).alias("failed")
     )
     return heads.unionByName(gets)
 
@@ -189,7 +189,7 @@ def _audited(spark, sf_dir):
     return enrich.link_audit(links, probes(spark, sf_dir))
 
 
-_STATUS = "CASE WHEN NOT has_source THEN 'no link' WHEN nk % 5 IN (0, 2) THEN 'OK' WHEN nk % 5 IN (1, 3) THEN '404' ELSE 'ERROR' END"
+_STATUS = "CASE WHEN NOT has_source THEN 'no link' WHEN seg IN ('BUILDING', 'HOUSEHOLD') THEN 'OK' WHEN seg IN ('FURNITURE', 'MACHINERY') THEN '404' ELSE 'ERROR' END"
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from prosopon.functions import fingerprints
 from prosopon.operators import versioning
-from prosopon.plans import synth, versions
+from prosopon.operators.extract import extract_all
+from prosopon.plans import oracle, synth, versions
 from prosopon.plans.catalog import registrar
 from prosopon.session import new_folder
 from prosopon.streaming import ingest, store
@@ -86,6 +87,29 @@ def document_store(spark, sf_dir):
     return store.current(spark, place).select("id", "digest")
 
 
+@query(oracle.people("SELECT doc_id AS id, last_name, summary, nationality, len(archive_items) AS n_archives FROM fields WHERE seg <> 'FURNITURE'"))
+def streamed_biographies(spark, sf_dir):
+    """Documents extracted as they arrive; a later stream takes some of them out again."""
+    place = new_folder(spark, "biographies")
+    carried = ("path", "digest", "deleted", "at")
+    schema = store.with_payload("last_name string, summary string, nationality string, n_archives int")
+    arrivals = synth.written(synth.people(spark, sf_dir, table_stream(spark, sf_dir, "customer"))).select(
+        F.col("doc_id").alias("id"), F.concat("doc_id", F.lit(".docx")).alias("path"), F.sha2(F.to_json("blocks"), 256).alias("digest"),
+        F.lit(False).alias("deleted"), F.lit("2024-01-01").cast("timestamp").alias("at"), "blocks", "attachments",
+    )
+
+    def fill(changed):
+        bios = extract_all(changed.withColumnRenamed("id", "doc_id"), synth.PROFILE, synth.FORMS, carried)
+        return bios.select(F.col("doc_id").alias("id"), *carried, "last_name", "summary", "nationality", F.size("archives.items").alias("n_archives"))
+
+    store.run_available(arrivals, store.upsert(place, schema, fill=fill), new_folder(spark, "biographies-checkpoint"))
+    gone = table_stream(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'").select(
+        F.concat(F.lit("entry-"), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("path"), F.lit("2024-01-02").cast("timestamp").alias("at")
+    )
+    store.run_available(ingest.tombstones(gone), store.upsert(place, schema, offset=1000), new_folder(spark, "biographies-checkpoint"))
+    return store.current(spark, place, schema).select("id", "last_name", "summary", "nationality", "n_archives")
+
+
 @query(
     "SELECT 'doc-' || d.doc_id AS slug, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 THEN 'newversion' ELSE 'skip' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )

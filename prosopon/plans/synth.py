@@ -58,8 +58,8 @@ def texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
     return spread(read(spark, sf_dir, table))
 
 
-def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with the facts the documents are written from."""
+def people(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+    """One row per customer with the facts the documents are written from; `customers` may be a stream."""
     day = F.col("o_orderdate")
     per_status = [
         agg
@@ -82,7 +82,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The facts are already partitioned by customer. A broadcast would leave the heavy work that follows to the
     # few splits of the customer scan, so the join goes by partition.
     joined = (
-        read(spark, sf_dir, "customer")
+        (read(spark, sf_dir, "customer") if customers is None else customers)
         .join(facts.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")
         .join(nation.select("n_nationkey", "r_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     )
@@ -284,15 +284,15 @@ def _planned(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[], Da
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_id, blocks, attachments`, one row per customer."""
 
-    def build() -> DataFrame:
-        doc_id = F.concat(F.lit("entry-"), F.col("c_custkey").cast("string"))
-        return people(spark, sf_dir).select(
-            doc_id.alias("doc_id"),
-            blocks().cast(schemas.BLOCKS).alias("blocks"),
-            attachments().cast(schemas.ATTACHMENTS).alias("attachments"),
-        )
+    return _planned("documents", spark, sf_dir, lambda: written(people(spark, sf_dir)))
+
 
-    return _planned("documents", spark, sf_dir, build)
+def written(persons: DataFrame) -> DataFrame:
+    return persons.select(
+        F.concat(F.lit("entry-"), F.col("c_custkey").cast("string")).alias("doc_id"),
+        blocks().cast(schemas.BLOCKS).alias("blocks"),
+        attachments().cast(schemas.ATTACHMENTS).alias("attachments"),
+    )
 
 
 def bios(spark: SparkSession, sf_dir: str) -> DataFrame:

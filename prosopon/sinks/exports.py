@@ -16,8 +16,8 @@ def write_store(entries: DataFrame, path: str) -> None:
 
 
 def write_feed(feed: DataFrame, path: str) -> None:
-    """JSON lines in slug order; the order is a range sort, so it stays distributed."""
-    feed.orderBy("slug").write.mode("overwrite").json(path)
+    """JSON lines in the slugs' locale order; the order is a range sort, so it stays distributed."""
+    feed.orderBy(F.collate("slug", "UNICODE")).write.mode("overwrite").json(path)
 
 
 def publish_state(state: DataFrame, path: str, version: int) -> str:
@@ -42,7 +42,7 @@ def current_state_folder(spark: SparkSession, path: str) -> str | None:
 
 def write_csv_audit(rows: DataFrame, path: str) -> None:
     """Every cell quoted, doubled quotes, CRLF line ends, a header; sorted by entry."""
-    rows.orderBy("entry").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option(
+    rows.orderBy(F.collate("entry", "UNICODE")).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option(
         "lineSep", "\r\n"
     ).option("emptyValue", "").csv(path)
 
@@ -58,8 +58,8 @@ def write_csv_audit_with_bom(rows: DataFrame, path: str) -> None:
         return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
     header = BOM + ",".join(f'"{n}"' for n in names)
-    lines = rows.select(F.col("entry").alias("_key"), F.concat_ws(",", *[cell(c) for c in names]).alias("value"))
-    first = rows.sparkSession.createDataFrame([(header,)], "value string").select(F.lit("").alias("_key"), "value")
+    lines = rows.select(F.collate("entry", "UNICODE").alias("_key"), F.concat_ws(",", *[cell(c) for c in names]).alias("value"))
+    first = rows.sparkSession.createDataFrame([(header,)], "value string").select(F.collate(F.lit(""), "UNICODE").alias("_key"), "value")
     ordered = first.withColumn("_rank", F.lit(0)).unionByName(lines.withColumn("_rank", F.lit(1))).orderBy("_rank", "_key")
     ordered.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape as xml_escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from prosopon.sources import schemas
 
@@ -110,18 +112,22 @@ def write_docx(lines: list[str], images: dict[str, bytes] | None = None) -> byte
     return out.getvalue()
 
 
+def _decoded(content: bytes) -> tuple:
+    try:
+        return (*read_docx(content), None)
+    except (zipfile.BadZipFile, zlib.error, KeyError, ET.ParseError, ValueError, TypeError, OSError) as err:
+        return [], [], f"{type(err).__name__}: {err}"
+
+
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for doc_id, content in zip(batch["doc_id"], batch["content"]):
-            try:
-                blocks, attachments = read_docx(content)
-                rows.append((doc_id, blocks, attachments, None))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, TypeError, OSError) as err:
-                rows.append((doc_id, [], [], f"{type(err).__name__}: {err}"))
-        yield pd.DataFrame(rows, columns=["doc_id", "blocks", "attachments", "problem"])
-
-
-def decode(files: DataFrame) -> DataFrame:
-    """(doc_id, content) → documents."""
-    return files.select("doc_id", "content").mapInPandas(_decode_batches, schemas.DOCUMENTS)
+        parts = pd.DataFrame([_decoded(c) for c in batch["content"]], columns=["blocks", "attachments", "problem"], index=batch.index)
+        yield batch.drop(columns="content").join(parts)
+
+
+def decode(files: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, content) → documents; the columns named in `carried` come along."""
+    kept = files.select("doc_id", *carried, "content")
+    documents = StructType.fromDDL(schemas.DOCUMENTS).fields
+    out = StructType([f for f in kept.schema.fields if f.name != "content"] + [f for f in documents if f.name != "doc_id"])
+    return kept.mapInPandas(_decode_batches, out)

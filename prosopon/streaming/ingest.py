@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.sources import corpus
+from prosopon.operators.extract import extract_all
+from prosopon.profile import Profile
+from prosopon.sources import corpus, docx
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,6 +34,25 @@ def file_changes(files: DataFrame) -> DataFrame:
     )
 
 
+def files_with_content(files: DataFrame) -> DataFrame:
+    """Change rows that still carry the file, for `store.upsert(..., fill=...)`."""
+    return files.select(
+        F.col("doc_id").alias("id"), F.col("relative_path").alias("path"), "digest", F.lit(False).alias("deleted"),
+        F.col("modificationTime").alias("at"), "content",
+    )
+
+
+def extraction(profile: Profile, forms: Sequence[tuple[str, str]]) -> Callable[[DataFrame], DataFrame]:
+    """`fill` function that decodes and extracts the files a batch really changes."""
+    carried = ("path", "digest", "deleted", "at")
+
+    def fill(changed: DataFrame) -> DataFrame:
+        documents = docx.decode(changed.withColumnRenamed("id", "doc_id"), carried)
+        return extract_all(documents, profile, forms, carried).withColumnRenamed("doc_id", "id")
+
+    return fill
+
+
 def tombstones(deletions: DataFrame) -> DataFrame:
     """Change rows for deleted paths, which a file stream never reports; `deletions` is (path, at)."""
     return deletions.select(

@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 LOG_COLUMNS = "id string, path string, digest string, deleted boolean, at timestamp"
 
 
+def with_payload(columns: str) -> str:
+    """Schema of a store whose entries carry more columns."""
+    return f"{LOG_COLUMNS}, {columns}"
+
+
+def _shaped(batch: DataFrame, schema: str) -> DataFrame:
+    """The store's columns; those that the batch lacks (tombstones carry no data) are NULL."""
+    wanted = batch.sparkSession.createDataFrame([], schema).schema
+    return batch.select(
+        *[(F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    )
+
+
 def _log(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """All changes so far; no rows before the first batch."""
     try:
@@ -58,13 +71,22 @@ def changes(batch: DataFrame, known: DataFrame) -> DataFrame:
     return by_id.select("c.*").unionByName(kept)
 
 
-def upsert(store: str, schema: str = LOG_COLUMNS, offset: int = 0) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function that appends a batch's changes; `offset` separates streams that share a store."""
+def upsert(store: str, schema: str = LOG_COLUMNS, offset: int = 0, fill: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function that appends a batch's changes; `offset` separates streams that share a store.
+
+    What has changed is found from ids and digests alone. `fill` then makes the full rows, so the costly work is
+    done for new content only.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         number = offset + batch_id
         known = current(batch.sparkSession, store, schema, before=number)
-        changes(batch, known).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        changed = changes(_shaped(batch, LOG_COLUMNS), known)
+        if fill is not None:
+            keys = ["id", "path", "at"]
+            fresh = batch.join(changed.where(~F.col("deleted")).select(*keys), keys, "left_semi")
+            changed = fill(fresh).unionByName(changed.where("deleted"), allowMissingColumns=True)
+        _shaped(changed, schema).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return write
 

@@ -5,6 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from prosopon.functions import diagnostics
+from prosopon.plans.synth import FORMS, PROFILE
 from prosopon.sources import docx
 from prosopon.streaming import ingest, store
 
@@ -43,6 +45,28 @@ def test_file_changes_reach_the_store(spark, tmp_path):
     assert table(spark, compacted) == table(spark, place)
 
 
+def test_changed_files_are_extracted(spark, tmp_path):
+    base, place, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
+    base.mkdir()
+    schema = store.with_payload("last_name string, body string, diagnostics " + diagnostics.SCHEMA)
+    vitals = "VOS, Jan, Danish poet and first Head of the Sea Office 1920-1925, was born 2 May 1880"
+
+    def work_off():
+        stream = ingest.files_with_content(ingest.file_stream(spark, str(base)))
+        write = store.upsert(place, schema, fill=ingest.extraction(PROFILE, FORMS))
+        store.run_available(stream, write, mark)
+        return {r.id: r for r in store.current(spark, place, schema).collect()}
+
+    (base / "Vos-J 2020.docx").write_bytes(docx.write_docx([vitals, "", "His life"], {"p.png": b"x"}))
+    (base / "Bad 2020.docx").write_bytes(b"broken")
+    out = work_off()
+    assert out["vos-j-2020"].last_name == "Vos" and out["vos-j-2020"].body == "<p>His life</p>"
+    assert [d.code for d in out["bad-2020"].diagnostics] == ["document_unreadable"]
+    (base / "Lie-T 2021.docx").write_bytes(docx.write_docx([vitals.replace("VOS", "LIE")]))
+    out = work_off()
+    assert {k: v.last_name for k, v in out.items()} == {"vos-j-2020": "Vos", "bad-2020": None, "lie-t-2021": "Lie"}
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "id string, path string, digest string, deleted boolean, at int").withColumn("at", F.timestamp_seconds("at"))
 
