@@ -72,19 +72,24 @@ def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms:
     """First dictionary term in each text: earliest position, then longest, then dictionary order.
 
     `terms` is (ordinal, term). Every substring whose length occurs among the terms is looked up by an
-    equi-join, so neither side has to be small. Candidates are thinned by first letter before they are built,
+    equi-join, so neither side has to be small. Candidates are thinned by their first letters before they are built,
     and the best one per text is found by an aggregate that combines before the shuffle.
     """
     measures = terms.agg(
         F.sort_array(F.collect_set(F.length("term"))).alias("lengths"),
-        F.collect_set(F.substring("term", 1, 1)).alias("heads"),
+        F.collect_set(F.substring("term", 1, 2)).alias("heads"),
     ).first()
+    head = min(2, min(measures["lengths"], default=1))
     lengths = F.array(*[F.lit(n) for n in measures["lengths"]])
-    heads = list(measures["heads"])
+    heads = sorted({h[:head] for h in measures["heads"]})
 
     def candidates(chars: Column) -> Column:
         """Substrings that could be a term; `chars` is an array, since a position in a string costs its length."""
-        flagged = F.transform(chars, lambda c, i: F.when(c.isin(heads), i + 1))
+        def starts(c: Column, i: Column) -> Column:
+            begin = F.concat(c, t.or_empty(F.get(chars, i + 1))) if head > 1 else c
+            return F.when(begin.isin(heads), i + 1)
+
+        flagged = F.transform(chars, starts)
         return F.flatten(
             F.transform(
                 F.filter(flagged, lambda i: i.isNotNull()),

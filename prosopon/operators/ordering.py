@@ -73,7 +73,7 @@ def with_runs(df: DataFrame, order: list[Column], key: str) -> DataFrame:
         .withColumn("run", F.col("_run_offset") + F.col("_starts"))
         .withColumn(
             "continuation",
-            F.when(in_range == 0, F.col("_joins")).otherwise(F.col("_previous") == F.col(key)),
+            F.when(in_range == 0, F.col("_joins")).otherwise(F.coalesce(F.col("_previous") == F.col(key), F.lit(False))),
         )
         .drop("_seq", "_part", "_previous", "_starts", "_joins", "_row_offset", "_run_offset")
     )

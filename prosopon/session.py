@@ -63,7 +63,8 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small scan over all cores, before heavy work per row.
 
-    A scan with at least as many splits as cores, which is every large one, passes unchanged.
+    A few splits may hold a single row group, which one task reads. A scan with several splits per core, which is
+    every large one, passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
