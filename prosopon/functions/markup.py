@@ -26,9 +26,9 @@ def render_span(span: Column) -> Column:
     return html
 
 
-def render_block(block: Column) -> Column:
-    """Tables arrive rendered; other blocks are built from their spans."""
-    inner = F.array_join(F.transform(block["spans"], render_span), "")
+def render_block(block: Column, spans: Column | None = None) -> Column:
+    """Tables arrive rendered; other blocks are built from their spans, or from those given instead."""
+    inner = F.array_join(F.transform(block["spans"] if spans is None else spans, render_span), "")
     kind = block["kind"]
     return (
         F.when(block["html"].isNotNull(), block["html"])
@@ -39,19 +39,10 @@ def render_block(block: Column) -> Column:
     )
 
 
-def is_blank_html(html: Column) -> Column:
-    return t.strip(F.regexp_replace(html, "<[^>]*>", "")) == ""
-
-
 def render_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, render_block), "")
 
 
-def render_body(blocks: Column) -> Column:
-    """Blocks without any text are left out."""
-    return F.array_join(F.filter(F.transform(blocks, render_block), lambda h: ~is_blank_html(h)), "")
-
-
 def clean_base(base: str) -> str:
     return "" if base == "/" else re.sub(r"/$", "", base)
 

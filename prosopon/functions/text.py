@@ -39,6 +39,11 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(SPACE_CHARS))
 
 
+def has_text(c: Column) -> Column:
+    """Whether anything but whitespace is there; stops at the first such character."""
+    return F.coalesce(c.rlike(WS.replace("[", "[^", 1)), F.lit(False))
+
+
 def squash(c: Column) -> Column:
     """Runs of whitespace become one space."""
     return F.regexp_replace(c, WS + "+", " ")

@@ -70,17 +70,36 @@ def intro_notes(blocks: Column) -> Column:
     return F.when(F.col("source_claimed"), F.concat(leading, media)).otherwise(leading)
 
 
+def section_heads(profile: Profile) -> list[tuple[Column, str]]:
+    return [(F.col(f"{name}_at"), label) for name, label in zip(SECTIONS, profile.section_labels)]
+
+
 def sections(docs: DataFrame, profile: Profile) -> DataFrame:
-    """Start, end and raw text per labelled section; heads lose their label one after the other."""
-    for name, label in zip(SECTIONS, profile.section_labels):
-        start, end = F.col(f"{name}_at"), F.col(f"{name}_end")
-        docs = (
-            docs.withColumn(f"{name}_at", seg.first_index(F.col("blocks"), seg.starts_with(label)))
-            .withColumn("blocks", seg.without_label(F.col("blocks"), start, label))
-            .withColumn(f"{name}_end", seg.section_end(F.col("blocks"), start))
-            .withColumn(f"{name}_raw", seg.section_text(F.col("blocks"), start, end, label))
-        )
-    return docs
+    """Start, end and raw text per labelled section.
+
+    Sections are taken in order; the head of an earlier one has lost its label when the end of a later one is
+    looked for.
+    """
+    blocks, heads = F.col("blocks"), section_heads(profile)
+    labels = dict(zip(SECTIONS, profile.section_labels))
+    starts = {f"{s}_at": seg.first_index(blocks, seg.starts_with(labels[s])) for s in SECTIONS}
+    ends = {f"{s}_end": seg.section_end(blocks, F.col(f"{s}_at"), heads[:n]) for n, s in enumerate(SECTIONS)}
+    raw = {
+        f"{s}_raw": seg.section_text(blocks, F.col(f"{s}_at"), F.col(f"{s}_end"), labels[s]) for s in SECTIONS
+    }
+    return docs.withColumns(starts).withColumns(ends).withColumns(raw)
+
+
+def rendered(profile: Profile) -> Column:
+    """HTML of every block, section heads without their labels."""
+    heads = section_heads(profile)
+    return F.transform("blocks", lambda b, i: markup.render_block(b, seg.spans_shown(b, i, heads)))
+
+
+def residual(html: Column) -> Column:
+    """The rendered blocks that no extractor used and that hold any text."""
+    blocks = F.col("blocks")
+    return F.filter(html, lambda h, i: ~claimed(i) & t.has_text(F.get(blocks, i)["text"]))
 
 
 def claimed(i: Column) -> Column:
@@ -139,8 +158,7 @@ def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, st
     """
     readable = docs if "problem" in docs.columns else docs.withColumn("problem", F.lit(None).cast("string"))
     staged = vitals(sections(labelled_fields(anchors(readable, profile), profile), profile), forms)
-    staged = staged.withColumn("attachment", seg.first_attachment(F.col("attachments")))
-    residual = F.filter(F.col("blocks"), lambda b, i: ~claimed(i))
+    staged = staged.withColumns({"attachment": seg.first_attachment(F.col("attachments")), "rendered": rendered(profile)})
     unreadable = dia.collect(dia.report("document_unreadable", F.col("problem").isNotNull()))
     return staged.select(
         "doc_id",
@@ -160,8 +178,8 @@ def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, st
         "version",
         "authors",
         *[citations.citation_list(F.col(f"{s}_raw")).alias(s) for s in SECTIONS],
-        markup.render_body(residual).alias("body"),
-        markup.render_blocks(F.col("blocks")).alias("html"),
+        F.array_join(residual(F.col("rendered")), "").alias("body"),
+        F.array_join("rendered", "").alias("html"),
         F.when(F.col("problem").isNotNull(), unreadable).otherwise(_diagnostics()).alias("diagnostics"),
     )
 

@@ -98,14 +98,12 @@ def grid(bios: DataFrame, query: str = "", column_id: str = "fullName", descendi
     """One row per person: the first of the person's matching rows in the current order."""
     name = _column(column_id)
     people = person_rows(bios)
-    own = {"role", "organisation", "years"}
-
-    def value(row: Column, column: str) -> Column:
-        return row[column] if column in own else F.col(column)
-
+    own = ("role", "organisation", "years")
     rows = F.col("rows")
     if query:
-        rows = F.filter("rows", lambda r: best_rank(query, *[value(r, c) for c in COLUMNS.values()]) > 0)
+        # What belongs to the person is ranked once, not once per role.
+        people = people.withColumn("by_person", best_rank(query, F.col("slug"), F.col("name"), F.col("nationality")) > 0)
+        rows = F.filter("rows", lambda r: F.col("by_person") | (best_rank(query, *[r[c] for c in own]) > 0))
     sign = -1 if descending else 1
 
     def keyed(row: Column) -> Column:

@@ -62,7 +62,7 @@ def run_end(blocks: Column, after: Column, stops: Predicate) -> Column:
 
 
 def _blank_or_other(block: Column) -> Column:
-    return ~F.coalesce(is_paragraph(block), F.lit(False)) | (t.strip(t.or_empty(block["text"])) == "")
+    return ~F.coalesce(is_paragraph(block), F.lit(False)) | ~t.has_text(block["text"])
 
 
 def intro_end(blocks: Column) -> Column:
@@ -78,24 +78,35 @@ def notes_between(blocks: Column, first: Column, end: Column) -> Column:
 
 def source_notes_end(blocks: Column, source: Column, limit: int) -> Column:
     """End of the run behind the source line: a blank, another kind of block or an over-long text stops it."""
-    return run_end(blocks, source, lambda b: _blank_or_other(b) | (F.length(t.strip(b["text"])) > limit))
+    def too_long(b: Column) -> Column:
+        return (F.length(b["text"]) > limit) & (F.length(t.strip(b["text"])) > limit)
 
+    return run_end(blocks, source, lambda b: _blank_or_other(b) | too_long(b))
 
-def section_end(blocks: Column, start: Column) -> Column:
-    return run_end(blocks, start, lead_bold)
 
+Heads = list[tuple[Column, str]]
 
-def without_label(blocks: Column, start: Column, label: str) -> Column:
-    """The section head loses its label and colon spans; this is also what the full HTML shows."""
 
-    def drop(block: Column) -> Column:
+def spans_shown(block: Column, i: Column, heads: Heads) -> Column:
+    """The block's spans; a section head (index, label) is without its label and colon spans.
+
+    This is what the full HTML shows, and what later sections see of the heads found before them.
+    """
+    spans = block["spans"]
+    for at, label in heads:
         kept = F.filter(block["spans"], lambda s: ~t.strip(t.or_empty(s["text"])).isin(label, ":"))
-        return F.struct(
-            block["kind"].alias("kind"), block["level"].alias("level"), block["text"].alias("text"),
-            kept.alias("spans"), block["html"].alias("html"),
-        )
+        spans = F.when(i == at, kept).otherwise(spans)
+    return spans
+
 
-    return F.transform(blocks, lambda b, i: F.when(i == start, drop(b)).otherwise(b))
+def section_end(blocks: Column, start: Column, heads: Heads) -> Column:
+    """Index of the next block behind `start` that leads with bold text, given the heads known by then."""
+
+    def leads_bold(b: Column, i: Column) -> Column:
+        return F.coalesce(F.get(spans_shown(b, i, heads), F.lit(0))["bold"], F.lit(False))
+
+    stop = F.concat(flags(blocks, lambda b, i: (i > start) & leads_bold(b, i)), F.array(F.lit(True)))
+    return (F.array_position(stop, F.lit(True)) - 1).cast("int")
 
 
 def section_text(blocks: Column, start: Column, end: Column, label: str) -> Column:
