@@ -20,10 +20,13 @@ def wrap(tag: str | Column, inner: Column) -> Column:
 
 
 def render_span(span: Column) -> Column:
-    html = escape(t.or_empty(span["text"]))
-    for flag, tag in (("bold", "strong"), ("italic", "em"), ("underline", "u")):
-        html = F.when(F.coalesce(span[flag], F.lit(False)), wrap(tag, html)).otherwise(html)
-    return html
+    """The escaped text inside its style tags, underline outermost and bold innermost."""
+    tags = (("underline", "u"), ("italic", "em"), ("bold", "strong"))
+
+    def each(form: str, order) -> list[Column]:
+        return [F.when(span[flag], F.lit(form.format(tag))).otherwise("") for flag, tag in order]
+
+    return F.concat(*each("<{}>", tags), escape(t.or_empty(span["text"])), *each("</{}>", reversed(tags)))
 
 
 def render_block(block: Column, spans: Column | None = None) -> Column:
@@ -40,7 +43,7 @@ def render_block(block: Column, spans: Column | None = None) -> Column:
 
 
 def render_blocks(blocks: Column) -> Column:
-    return F.array_join(F.transform(blocks, render_block), "")
+    return F.array_join(F.transform(blocks, lambda b: render_block(b)), "")
 
 
 def clean_base(base: str) -> str:
