@@ -249,7 +249,7 @@ def author_rows(spark, sf_dir):
 
 @query(
     oracle.people(
-        "SELECT doc_id, image_source, CASE WHEN has_source THEN 'Photograph by H. Palmer' ELSE '' END AS text, "
+        "SELECT doc_id, image_source, CASE WHEN has_source THEN 'Photograph by K. Stone' ELSE '' END AS text, "
         "CASE WHEN has_source THEN 'https://www.pics' || nk || '.example/p/' || k || '?a=1&b=2' END AS href, "
         "CASE WHEN has_source THEN 'pics' || nk || '.example' END AS label FROM fields"
     )

@@ -76,7 +76,7 @@ people AS (
   FROM clauses),
 fields AS (
   SELECT *,
-    CASE WHEN has_source THEN 'Photograph by H. Palmer – https://www.pics' || nk || '.example/p/' || k || '?a=1&b=2).' END AS image_source,
+    CASE WHEN has_source THEN 'Photograph by K. Stone – https://www.pics' || nk || '.example/p/' || k || '?a=1&b=2).' END AS image_source,
     CASE WHEN has_citation THEN writer END AS authors, CASE WHEN has_version THEN ver END AS version,
     list_filter([CASE WHEN seg = 'BUILDING' THEN 'Name changed in ' || region || '.' END,
       CASE WHEN has_source AND seg = 'FURNITURE' THEN 'On film: see the newsreel' END], lambda x: x IS NOT NULL) AS notes,
@@ -103,7 +103,7 @@ listing AS (
 shown AS (
   SELECT *, '<p>' || intro || '</p>' AS h_intro,
     CASE WHEN seg = 'BUILDING' THEN '<p><em> Name changed in ' || region || '. </em></p>' ELSE '' END AS h_note,
-    CASE WHEN has_source THEN '<p>Source: Photograph by H. Palmer – https://www.pics' || nk || '.example/p/' || k || '?a=1&#x26;b=2).</p>' ELSE '' END AS h_source,
+    CASE WHEN has_source THEN '<p>Source: Photograph by K. Stone – https://www.pics' || nk || '.example/p/' || k || '?a=1&#x26;b=2).</p>' ELSE '' END AS h_source,
     CASE WHEN seg = 'FURNITURE' THEN '<p>On film: see the newsreel</p>' ELSE '' END AS h_media,
     '<h2>Biography</h2><p>Life &#x26; work in ' || region || ' &#x3C;<em><strong>' || k || '</strong></em><u>> </u></p>'
       || CASE WHEN seg = 'MACHINERY' THEN '<p>' || repeat('{synth.LONG_TEXT}', 15) || '</p>' ELSE '' END || '<li>Post ' || k || '</li>' AS h_life,

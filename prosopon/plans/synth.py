@@ -238,7 +238,7 @@ def blocks() -> Column:
         blank,
         F.when(
             F.col("F_n") > 2,
-            block("paragraph", (F.concat(lit("Source: Photograph by H. Palmer – https://www.pics"), F.col("c_nationkey").cast("string"),
+            block("paragraph", (F.concat(lit("Source: Photograph by K. Stone – https://www.pics"), F.col("c_nationkey").cast("string"),
                                          lit(".example/p/"), key, lit("?a=1&b=2).")), "")),
         ),
         F.when(segment == "FURNITURE", block("paragraph", (lit("On film: see the newsreel"), ""))),

@@ -165,6 +165,6 @@ def test_rank_ladder(apply):
 def test_locale_order(spark):
     from prosopon.functions.text import locale_key
 
-    words = ["Mbox", "M’Bow", "Mbaz", "de Larosière", "Delaware", "Änne", "anna", "ann b"]
+    words = ["Mbox", "M’Bow", "Mbaz", "de Lamérie", "Delaware", "Änne", "anna", "ann b"]
     df = spark.createDataFrame([(w,) for w in words], "w string").orderBy(locale_key(F.col("w")))
-    assert [r.w for r in df.collect()] == ["anna", "ann b", "Änne", "de Larosière", "Delaware", "Mbaz", "M’Bow", "Mbox"]
+    assert [r.w for r in df.collect()] == ["anna", "ann b", "Änne", "de Lamérie", "Delaware", "Mbaz", "M’Bow", "Mbox"]
