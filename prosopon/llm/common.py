@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches):
         for batch, columns in work(batches):
-            own = [pa.array(c, type=t.type) for c, t in zip(columns, arrow, strict=True)]
+            own = [c if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + own, names=kept + arrow.names)
 
     return df.mapInArrow(run, T.StructType(keep + list(new)))
@@ -62,14 +63,14 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def steps(texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """(start, end) of stretches of `texts` (bytes or str) that together hold about `limit` at most."""
+def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of a text column that together hold about `limit` bytes at most."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + (size or 0) > limit:
             yield start, i
             start, held = i, 0
-        held += len(text)
+        held += size or 0
     if start < len(texts):
         yield start, len(texts)
 

@@ -5,12 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.llm import mixing, sharding
+from prosopon.llm import decontaminate, mixing, sharding, simhash
 from prosopon.llm.common import table
 from prosopon.plans.catalog import registrar
 
 CATALOG, query = registrar()
 
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS words FROM documents),
+i AS (SELECT item_id, {WORDS_SQL} AS words FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT *, least(13, len(words)) AS size FROM i WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, size, array_to_string(words[p : p + size - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS p FROM n)),
+g AS (SELECT doc_id, size, p, array_to_string(words[p : p + size - 1], ' ') AS gram
+    FROM (SELECT d.doc_id, d.words, s.size, unnest(range(1, len(d.words) - s.size + 2)) AS p FROM d, (SELECT DISTINCT size FROM n) s)),
+m AS (SELECT g.doc_id, g.p, g.size, w.item_id FROM g JOIN w USING (size, gram)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query(CONTAMINATION_SQL)
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.search(docs.select("doc_id", "text"), items)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
+
+
 MIX_WEIGHTS, MIX_SHARE, MIX_CAP, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
 
 MIX_SQL = rf"""
