@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.llm import decontaminate, mixing, sharding, simhash
+from prosopon.llm import decontaminate, langid, mixing, sharding, simhash, toxicity
 from prosopon.llm.common import table
 from prosopon.plans.catalog import registrar
 
@@ -45,6 +45,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
 
 
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    part = langid.fold(F.col("doc_id"), 5)
+    lexicon = toxicity.learn(toxicity.labelled(docs, labels, part != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon)
+    return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 MIX_WEIGHTS, MIX_SHARE, MIX_CAP, MIX_SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
 
 MIX_SQL = rf"""
@@ -78,5 +87,11 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {name: run for name, (run, _) in CATALOG.items()}
 ORACLES = {name: sql for name, (_, sql) in CATALOG.items() if sql is not None}
