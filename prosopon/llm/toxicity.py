@@ -4,7 +4,8 @@ Folding undoes disguise: accents and look-alike letters become plain letters, an
 stand for. Entries are whole words and word beginnings. `learn` weighs them from labelled texts: every entry's
 texts are counted on the executors, and those that are significantly tied to the label (likelihood ratio) are kept with their log odds.
 Phrases of an entry and a neighbouring word that are significantly harmless become exceptions: a match inside one counts nothing.
-A text's weight is the sum over its matched words of the best entry's weight, divided by 1 + ln(1 + words); a logistic curve fitted to a
+A text's weight is the sum over its different matched words of the best entry's weight, times 1 + ln(how often), divided by
+1 + ln(1 + words); an entry weighs the lower end of a 90 % interval around its log odds. A logistic curve fitted to a
 histogram of all learned texts turns it into a score from 0 to 1.
 
 Defined results: a null, empty or blank text has weight 0; without labels, or with labels of one kind only, the lexicon is empty and every
@@ -26,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosopon.llm.common import map_batches, steps
+from prosopon.session import cut_lineage
 
 #: Word beginnings of these lengths are entries, beside whole words.
 BEGINNINGS = range(4, 9)
 #: Entries kept at most: those of the highest likelihood ratio. It bounds what is broadcast.
 LEXICON = 20_000
-SIGNIFICANT = 25.0
+#: An entry counts if it is in LEAST_TEXTS texts with the label, if PRECISION of its texts have it, and if chance alone would give its
+#: likelihood ratio to one in exp(MARGIN / 2) lexicons: the bar rises with the number of entries tried.
+LEAST_TEXTS, PRECISION, MARGIN = 3, 0.8, 14.0
 BINS, BIN_WIDTH = 2048, 0.02
 
 #: Letters that look like a Latin letter.
@@ -95,7 +99,11 @@ class Lexicon:
             word = line[start:stop]
             if f"{before} {word}" not in self.exceptions and f"{word} {after}" not in self.exceptions:
                 found.append((before, word, after, weight))
-        return sum(x[3] for x in found) / (1 + math.log1p(len(words))), found
+        times: dict[str, int] = {}
+        for _, word, _, _ in found:
+            times[word] = times.get(word, 0) + 1
+        total = sum({word: weight * (1 + math.log(times[word])) for _, word, _, weight in found}.values())
+        return total / (1 + math.log1p(len(words))), found
 
     def score(self, raw: float) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * raw + self.level))))
@@ -144,8 +152,12 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", lexicon
         return {e for w in set(words_of(fold(text))) for e in entries_of(w)}
 
     tied = ratio(F.col("a"), F.col("b"), positive, negative)
-    odds = F.log((F.col("a") + 0.5) / (positive - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (negative - F.col("b") + 0.5))
-    kept = counted(rows, entries).withColumn("g", tied).where((F.col("g") >= SIGNIFICANT) & (F.col("a") > F.col("b"))).withColumn("odds", odds)
+    doubt = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    odds = F.log((F.col("a") + 0.5) / (positive - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (negative - F.col("b") + 0.5)) - 1.64 * doubt
+    tried = cut_lineage(counted(rows, entries).where(F.col("a") >= LEAST_TEXTS), "entries")
+    bar = 2 * math.log(max(1, tried.count())) + MARGIN
+    precise = F.col("a") >= PRECISION * (F.col("a") + F.col("b"))
+    kept = tried.withColumn("g", tied).where((F.col("g") >= bar) & precise).withColumn("odds", odds)
     found = Lexicon({r.entry: r.odds for r in kept.orderBy(F.desc("g"), "entry").limit(lexicon).collect()})
     shared = rows.sparkSession.sparkContext.broadcast(found)
     made: list = []
@@ -158,7 +170,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", lexicon
     def phrases(text):
         return {p for before, word, after, _ in matches(text)[1] for p in (f"{before} {word}", f"{word} {after}")}
 
-    harmless = counted(rows, phrases).withColumn("g", tied).where(F.col("g") <= -SIGNIFICANT)
+    harmless = counted(rows, phrases).withColumn("g", tied).where(F.col("g") <= -bar)
     found.exceptions = frozenset(r.entry for r in harmless.orderBy("g", "entry").limit(lexicon).collect())
     final = rows.sparkSession.sparkContext.broadcast(found)
     ready: list = []
