@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.llm import ann, chat, decontaminate, langid, mixing, sharding, simhash, toxicity
+from prosopon.llm import ann, chat, decontaminate, langid, mixing, passages, sharding, simhash, toxicity
 from prosopon.llm.common import table
 from prosopon.plans.catalog import registrar
 
@@ -76,6 +76,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3)
 
 
+@query()
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
