@@ -34,8 +34,9 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, before: DataFrame, **columns: Column) -> DataFrame:
     """The input row's columns and `columns`, which replace input columns of the same name."""
+    made = df.select("row", F.struct(*(c.alias(n) for n, c in columns.items())).alias("made"))
     kept = [F.col("row").getField(c).alias(c) for c in before.columns if c not in columns]
-    return df.select(*kept, *(c.alias(n) for n, c in columns.items()))
+    return made.select(*kept, *(F.col("made").getField(n).alias(n) for n in columns))
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]], added: str) -> DataFrame:

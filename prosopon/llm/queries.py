@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.llm import ann, chat, decontaminate, langid, mixing, passages, sharding, simhash, toxicity
+from prosopon.llm import ann, chat, decontaminate, langid, mixing, passages, pii, sharding, simhash, toxicity
 from prosopon.llm.common import table
 from prosopon.plans.catalog import registrar
 
@@ -40,6 +40,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PII_KEY = "op2"
+
+
+@query()
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @query()
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
