@@ -27,9 +27,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(trimmed, f"[{SPACE}]*+[^{SPACE}]++", "x")), F.lit(0)).cast("long")
 
 
-def packed(df: DataFrame, **columns: Column) -> DataFrame:
-    """`row`, the whole input row, beside columns of our own: extra columns cannot clash with them."""
-    return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
+def packed(df: DataFrame, keep: list[str] | None = None, /, **columns: Column) -> DataFrame:
+    """`row`, the whole input row or its columns `keep`, beside columns of our own: extra columns cannot clash with them."""
+    return df.select(F.struct(*(["*"] if keep is None else keep)).alias("row"), *(c.alias(n) for n, c in columns.items()))
 
 
 def unpacked(df: DataFrame, before: DataFrame, **columns: Column) -> DataFrame:

@@ -105,8 +105,8 @@ def pack(ranges: dict[int, tuple[int, int]], bounds: list[Bound], shards: int) -
     return shard, first
 
 
-def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with size, text_crc32, shard and slot (gapless from 0 in its shard)."""
+def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`docs` with size, text_crc32, shard and slot (gapless from 0 in its shard); only the columns `keep`, if given, are carried along."""
     hashes = {"text_hash": F.xxhash64(text), "id_hash": F.xxhash64(doc_id), "size": text_size(F.col(text))}
     rows = cut_lineage(docs.select(*(c.alias(n) for n, c in hashes.items())), "shard")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -126,7 +126,8 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         bounds = sorted({*bounds, *more})
     owner, first = pack(sums, bounds, shards)
     lookup = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), F.col("range"))
-    wide = packed(docs, **hashes, crc=F.crc32(text), id=F.col(doc_id)).withColumn("range", range_of(bounds))
+    carried = docs if keep is None else docs.select(*keep)
+    wide = packed(docs, keep, **hashes, crc=F.crc32(text), id=F.col(doc_id)).withColumn("range", range_of(bounds))
     order = Window.partitionBy("range").orderBy("text_hash", "id_hash", "id")
     slot = lookup(first) + F.row_number().over(order) - 1
-    return unpacked(wide.withColumn("slot", slot), docs, size=F.col("size"), text_crc32=F.col("crc"), shard=lookup(owner).cast("int"), slot=F.col("slot"))
+    return unpacked(wide.withColumn("slot", slot), carried, size=F.col("size"), text_crc32=F.col("crc"), shard=lookup(owner).cast("int"), slot=F.col("slot"))
