@@ -33,8 +33,6 @@ LEAST, SHINGLE, SIMILARITY = 25, 5, 0.8
 BANDS, ROWS = 6, 2
 LONG, REACH, WINDOW = 50, 5, 16
 TILE = 256
-#: Values that a broadcast filter distinguishes; the filter never has more rows than that.
-FILTER_VALUES = 1 << 18
 
 RANDOM = np.random.default_rng(5)
 BYTE_VALUES = RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -196,13 +194,6 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return _per_step(docs, emit, "digest bigint, shingles array<bigint>")
 
 
-def prefiltered(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows that may have a value of `wanted` (one column of the same name): fewer rows to shuffle, never too few."""
-    value = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_VALUES)).cast("int")
-    values = wanted.select(value(column).alias("value")).distinct()
-    return rows.join(F.broadcast(values), value(column) == F.col("value"), "left_semi")
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
@@ -245,11 +236,10 @@ def links(docs: DataFrame, found: DataFrame, least: float) -> DataFrame:
     keyed = distinct.select("digest", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("top"), F.count("*").alias("n"))
     buckets = cut_lineage(buckets.where("hub <> top").select("key", "hub", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "buckets")
-    members = cut_lineage(prefiltered(keyed, "key", buckets.select("key")).join(buckets, "key"), "members")
+    members = cut_lineage(keyed.join(buckets, "key"), "members")
     wanted = members.select("digest").distinct().join(distinct.select("digest", "doc"), "digest").groupBy("doc").agg(F.collect_set("digest").alias("wanted"))
     wanted = cut_lineage(wanted, "wanted")
-    read = prefiltered(docs, "doc", wanted.select("doc")).join(wanted, "doc")
-    sets = cut_lineage(shingle_sets(read).dropDuplicates(["digest"]), "shingles")
+    sets = cut_lineage(shingle_sets(docs.join(wanted, "doc")).dropDuplicates(["digest"]), "shingles")
     star = members.where("digest <> hub").select("digest", "hub").distinct()
     star = star.join(sets, "digest").join(sets.select(F.col("digest").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
     both = F.size(F.array_intersect("shingles", "hub_shingles"))
