@@ -148,5 +148,6 @@ def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str
     found = near_duplicates(docs, radius, shingle, doc_id, text)
     kept = cut_lineage(found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("kept_id")), "kept")
     repeated = kept.groupBy("kept_id").count().where("count > 1").limit(1).count()
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept.kept_id), "left_semi")
+    # The list of kept ids grows with the documents: one plan for every size, none that depends on its being small.
+    rows = docs.join(kept.hint("merge"), docs[doc_id].eqNullSafe(kept.kept_id), "left_semi")
     return rows.dropDuplicates([doc_id]) if repeated else rows
