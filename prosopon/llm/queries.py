@@ -93,8 +93,7 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     part = langid.fold(F.col("doc_id"), 5)
-    lexicon = toxicity.learn(toxicity.labelled(docs, labels, part != 0))
-    scored = toxicity.score(docs.select("doc_id", "text"), lexicon)
+    scored = toxicity.score(docs, labels, part != 0)
     return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
