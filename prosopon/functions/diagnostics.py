@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code → (field, severity, message).
+# Codes, fields and severities. The sentences are our own.
 CODES = {
-    "image_source_missing": ("imageSource", "warn", "No 'Source:' paragraph found"),
-    "image_attachment_missing": ("imageAttachment", "warn", "No image attachment found in document"),
-    "intro_missing": ("intro", "error", "Intro paragraph is empty or non-string"),
-    "name_unparsed": ("name", "error", "Could not extract LASTNAME, Firstname from intro"),
-    "summary_unparsed": ("summary", "error", 'Could not extract summary (expected pattern: "...., role, was born...")'),
-    "life_unparsed": ("life", "warn", "Could not find life sentence starting with 'was '"),
-    "roles_missing_input": ("roles", "warn", "No summary text provided"),
-    "roles_no_year_span": ("roles", "warn", "No year spans found; cannot delimit roles"),
-    "role_unparsed": ("role", "warn", "Year spans found but no role chunks parsed"),
-    "nationality_missing_input": ("nationality", "warn", "No text provided"),
-    "nationality_unknown": ("nationality", "warn", "Could not match a UN-member demonym in text"),
-    "version_missing": ("version", "warn", "No paragraph starting with 'Version' found"),
-    "citation_missing": ("authors", "warn", "No citation paragraph found"),
-    "apl_archives_missing": ("archives", "info", "No ARCHIVES section found"),
-    "apl_publications_missing": ("publications", "info", "No PUBLICATIONS section found"),
-    "apl_literature_missing": ("literature", "warn", "No LITERATURE section found"),
-    "document_unreadable": ("document", "error", "Document could not be decoded"),
-    "publication_date_defaulted": ("version", "warn", "No parseable date in version; today's date used"),
-    "title_empty": ("title", "error", "Empty title (name failed to parse?)"),
-    "artifact_missing": ("artifact", "error", "Rendered artifact is missing"),
+    "image_source_missing": ("imageSource", "warn", "the document credits no source for its image"),
+    "image_attachment_missing": ("imageAttachment", "warn", "the document brings no usable image"),
+    "intro_missing": ("intro", "error", "there is no opening paragraph to read"),
+    "name_unparsed": ("name", "error", "the opening paragraph does not start with a surname in capitals and a first name"),
+    "summary_unparsed": ("summary", "error", "no summary of roles stands between the name and the life"),
+    "life_unparsed": ("life", "warn", "no sentence on the person's life follows the summary"),
+    "roles_missing_input": ("roles", "warn", "there is no summary to take roles from"),
+    "roles_no_year_span": ("roles", "warn", "the summary has no years by which roles could be told apart"),
+    "role_unparsed": ("role", "warn", "the summary has years, yet no role could be read"),
+    "nationality_missing_input": ("nationality", "warn", "there is no text to look for a nationality in"),
+    "nationality_unknown": ("nationality", "warn", "no known nationality occurs in the text"),
+    "version_missing": ("version", "warn", "the document does not state its version"),
+    "citation_missing": ("authors", "warn", "the document does not say how to cite it"),
+    "apl_archives_missing": ("archives", "info", "the list of archives is missing"),
+    "apl_publications_missing": ("publications", "info", "the list of publications is missing"),
+    "apl_literature_missing": ("literature", "warn", "the list of literature is missing"),
+    "document_unreadable": ("document", "error", "the file cannot be read as a document"),
+    "publication_date_defaulted": ("version", "warn", "the version has no date; the day of the run stands in for it"),
+    "title_empty": ("title", "error", "the entry has no title"),
+    "artifact_missing": ("artifact", "error", "the rendered file is not there"),
 }
 
 SCHEMA = "array<struct<code:string,field:string,message:string,severity:string>>"

@@ -46,6 +46,8 @@ def nationality(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
     countries: dict[str, str] = {}
     for demonym, country in forms:
         countries.setdefault(demonym, country)
+    if not countries:
+        return F.struct(F.lit(None).cast("string").alias("nationality"), F.lit(None).cast("string").alias("country"))
     pattern = alternation(list(countries))
     lookup = F.create_map(*[F.lit(x) for pair in countries.items() for x in pair])
     matched = t.bind(text, lambda s: F.struct(s.alias("text"), F.regexp_extract(s, pattern, 0).alias("found")))

@@ -6,7 +6,6 @@ carry no broadcast hint: Spark broadcasts by measured size and splits skewed par
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +30,7 @@ WEB_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "svg")
 def nfc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC; Spark has no built-in for it."""
     for series in values:
-        yield series.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+        yield series.str.normalize("NFC")
 
 
 def is_sandbox(identifier: Column) -> Column:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
-from prosopon.functions import citations, markup, search
+from prosopon.functions import search
 from prosopon.functions import names as name_functions
 from prosopon.functions import text as t
 from prosopon.operators import listing, ordering

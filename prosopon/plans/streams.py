@@ -35,7 +35,7 @@ _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 def event_bursts(spark, sf_dir):
     """Bursts of each user's events, written once the watermark has passed their end."""
     target = new_folder(spark, "bursts")
-    stream = ingest.bursts(table_stream(spark, sf_dir, "events"), "ts", "30 minutes", "user_id")
+    stream = ingest.bursts(table_stream(spark, sf_dir, "events"), "ts", "30 minutes", "user_id", watermark="1 hour")
     ingest.write_available(stream, target, new_folder(spark, "bursts-checkpoint"))
     done = spark.read.schema("user_id bigint, started timestamp, ended timestamp, events bigint").parquet(target)
     return _stamped(done)
@@ -44,7 +44,7 @@ def event_bursts(spark, sf_dir):
 @query(f"WITH {_SESSIONS} SELECT user_id, {_STAMP.format('started')} AS started, {_STAMP.format('ended')} AS ended, events FROM sessions")
 def event_bursts_in_batch(spark, sf_dir):
     """The same definition over the finished table: every burst, none still open."""
-    return _stamped(ingest.bursts(synth.read(spark, sf_dir, "events"), "ts", "30 minutes", "user_id"))
+    return _stamped(ingest.bursts(synth.read(spark, sf_dir, "events"), "ts", "30 minutes", "user_id", watermark="1 hour"))
 
 
 def _stamped(sessions):
@@ -58,7 +58,7 @@ def first_deliveries(spark, sf_dir):
     target = new_folder(spark, "deliveries")
     columns = ["event_id", "ts", "user_id", "event_type"]
     twice = table_stream(spark, sf_dir, "events").select(*columns).unionByName(table_stream(spark, sf_dir, "events").select(*columns))
-    kept = ingest.first_deliveries(twice, "ts", "event_id").select("event_id", "user_id", "event_type")
+    kept = ingest.first_deliveries(twice, "ts", "event_id", watermark="1 hour").select("event_id", "user_id", "event_type")
     ingest.write_available(kept, target, new_folder(spark, "deliveries-checkpoint"))
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(target)
 
@@ -83,7 +83,7 @@ def document_store(spark, sf_dir):
     revised = F.when(F.col("quality") == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
     later = docs.join(labels, "doc_id").select(*rows(revised, F.col("toxic") == 1, "2024-01-02"))
     store.run_available(arrivals, store.upsert(place), new_folder(spark, "store-checkpoint"))
-    store.run_available(later, store.upsert(place, offset=1000), new_folder(spark, "store-checkpoint"))
+    store.run_available(later, store.upsert(place, stream="later"), new_folder(spark, "store-checkpoint"))
     return store.current(spark, place).select("id", "digest")
 
 
@@ -106,7 +106,7 @@ def streamed_biographies(spark, sf_dir):
     gone = table_stream(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'").select(
         F.concat(F.lit("entry-"), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("path"), F.lit("2024-01-02").cast("timestamp").alias("at")
     )
-    store.run_available(ingest.tombstones(gone), store.upsert(place, schema, offset=1000), new_folder(spark, "biographies-checkpoint"))
+    store.run_available(ingest.tombstones(gone), store.upsert(place, schema, stream="deletions"), new_folder(spark, "biographies-checkpoint"))
     return store.current(spark, place, schema).select("id", "last_name", "summary", "nationality", "n_archives")
 
 
@@ -114,14 +114,15 @@ def streamed_biographies(spark, sf_dir):
     "SELECT 'doc-' || d.doc_id AS slug, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 THEN 'newversion' ELSE 'skip' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
 def streamed_decisions(spark, sf_dir):
-    """Each arriving document decided against the persisted state."""
+    """Each arriving document decided against the persisted state; a second delivery decides nothing."""
     place = new_folder(spark, "decisions")
     signature = fingerprints.sha(F.to_json(F.struct("text", "lang", "source")))
     stream = table_stream(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), signature.alias("content_hash"))
 
     def plan(batch, state):
-        return versioning.version_plan(batch, state, synth.PROFILE).select("slug", "action")
+        return versioning.version_plan(batch, state, synth.PROFILE).select("slug", "content_hash", "state_hash", "action")
 
     write = ingest.decisions(lambda session: versions.document_state(session, sf_dir), plan, place)
-    store.run_available(stream, write, new_folder(spark, "decisions-checkpoint"))
-    return spark.read.schema("slug string, action string, batch bigint").parquet(place).select("slug", "action")
+    for first in (0, 1_000_000):  # the same rows, in batches of other numbers
+        store.run_available(stream, lambda batch, number, first=first: write(batch, first + number), new_folder(spark, "decisions-checkpoint"))
+    return ingest.decided(spark, place).select("slug", "action")

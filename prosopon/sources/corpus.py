@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosopon.functions import markup
@@ -108,13 +108,17 @@ def attachments_table(documents: DataFrame) -> DataFrame:
 
 
 def heading_anchors(documents: DataFrame, kinds: tuple[str, ...] = ("heading",)) -> DataFrame:
-    """Anchor per heading: its slug, then `-1`, `-2` ... for repeats within the page.
-
-    A page comes from one row, so the repeats of one slug in it are few compared with the corpus.
-    """
+    """Anchor per heading: its slug, or the first of `-1`, `-2` ... that no earlier heading of the page has taken."""
     blocks = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("idx"), b["kind"].alias("kind"), b["text"].alias("text"))), lambda b: b["kind"].isin(list(kinds)))
     named = F.transform(blocks, lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), t.slugify(b["text"]).alias("slug")))
-    rows = documents.select("doc_id", F.explode_outer(named).alias("h")).where(F.col("h").isNotNull()).select("doc_id", "h.*")
-    earlier = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("idx")) - 1
-    suffix = F.when(earlier > 0, F.concat(F.lit("-"), earlier.cast("string"))).otherwise("")
-    return rows.select("doc_id", "idx", "text", F.concat("slug", suffix).alias("anchor"))
+
+    def anchored(taken, h):
+        anchors = F.transform(taken, lambda x: x["anchor"])
+        numbered = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.concat(h["slug"], F.lit("-"), k.cast("string")))
+        free = F.get(F.filter(numbered, lambda x: ~F.array_contains(anchors, x)), F.lit(0))
+        anchor = F.when(F.array_contains(anchors, h["slug"]), free).otherwise(h["slug"])
+        return F.concat(taken, F.array(F.struct(h["idx"].alias("idx"), h["text"].alias("text"), anchor.alias("anchor"))))
+
+    none = F.array().cast("array<struct<idx:int,text:string,anchor:string>>")
+    rows = documents.select("doc_id", F.explode_outer(F.aggregate(named, none, anchored)).alias("h"))
+    return rows.where(F.col("h").isNotNull()).select("doc_id", "h.*")

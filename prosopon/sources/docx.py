@@ -7,8 +7,8 @@ images with the standard library. A file that cannot be read becomes a row with
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-import zlib
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape as xml_escape
@@ -21,6 +21,9 @@ from prosopon.sources import schemas
 
 # Names in the Office Open XML format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+RELATIONS = "word/_rels/document.xml.rels"
 MEDIA = "word/media/"
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml"}
 
@@ -30,9 +33,27 @@ def _is_on(properties: ET.Element | None, name: str) -> bool:
     return node is not None and node.get(W + "val", "true") not in ("0", "false", "none")
 
 
+def _runs(node: ET.Element) -> Iterator[ET.Element]:
+    """Runs in document order; of alternative contents only the first choice counts."""
+    for child in node:
+        if child.tag != FALLBACK:
+            if child.tag == W + "r":
+                yield child
+            yield from _runs(child)
+
+
+def _blocks(node: ET.Element) -> Iterator[ET.Element]:
+    """Paragraphs and tables, also inside content controls, tracked insertions and other wrappers."""
+    for child in node:
+        if child.tag in (W + "p", W + "tbl"):
+            yield child
+        elif child.tag != FALLBACK:
+            yield from _blocks(child)
+
+
 def _spans(paragraph: ET.Element) -> list[dict]:
     spans = []
-    for run in paragraph.iter(W + "r"):
+    for run in _runs(paragraph):
         text = "".join(
             "\t" if node.tag == W + "tab" else "\n" if node.tag in (W + "br", W + "cr") else node.text or ""
             for node in run
@@ -73,25 +94,38 @@ def _table(node: ET.Element) -> dict:
     for row in node.findall(W + "tr"):
         cells = []
         for cell in row.findall(W + "tc"):
-            paragraphs = [_spans(p) for p in cell.findall(W + "p")]
-            cells.append("<td>" + "".join(f"<p>{''.join(map(_span_html, p))}</p>" for p in paragraphs) + "</td>")
-            texts.extend(s["text"] for p in paragraphs for s in p)
+            parts = []
+            for block in _blocks(cell):
+                inner = _table(block) if block.tag == W + "tbl" else _paragraph(block)
+                parts.append(inner["html"] or f"<p>{''.join(map(_span_html, inner['spans']))}</p>")
+                texts.append(inner["text"])
+            cells.append(f"<td>{''.join(parts)}</td>")
         rows.append("<tr>" + "".join(cells) + "</tr>")
     html = "<table><tbody>" + "".join(rows) + "</tbody></table>"
     return {"kind": "table", "level": None, "text": "".join(texts), "spans": [], "html": html}
 
 
+def _image_order(archive: zipfile.ZipFile, document: ET.Element) -> list[str]:
+    """Image files as the document shows them, then those it does not show, numbers in names counting as numbers."""
+    names = [n for n in archive.namelist() if n.startswith(MEDIA)]
+    shown: list[str] = []
+    if RELATIONS in archive.namelist():
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(archive.read(RELATIONS))}
+        used = (targets.get(node.get(RELATION + key), "") for node in document.iter() for key in ("embed", "id"))
+        shown = [f"word/{t}" if not t.startswith("/") else t[1:] for t in used if t]
+    place = {name: i for i, name in reversed(list(enumerate(shown)))}
+    natural = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
+    return sorted(names, key=lambda n: (place.get(n, len(shown)), natural(n)))
+
+
 def read_docx(content: bytes) -> tuple[list[dict], list[dict]]:
     """(blocks, attachments) of one file."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ET.fromstring(archive.read("word/document.xml")).find(W + "body")
-        blocks = [
-            _paragraph(node) if node.tag == W + "p" else _table(node)
-            for node in ([] if body is None else body)
-            if node.tag in (W + "p", W + "tbl")
-        ]
+        document = ET.fromstring(archive.read("word/document.xml"))
+        body = document.find(W + "body")
+        blocks = [_paragraph(node) if node.tag == W + "p" else _table(node) for node in ([] if body is None else _blocks(body))]
         attachments = []
-        for name in sorted(n for n in archive.namelist() if n.startswith(MEDIA)):
+        for name in _image_order(archive, document):
             short = name[len(MEDIA):]
             extension = short.rpartition(".")[2].lower() if "." in short else ""
             attachments.append({"name": short, "extension": extension, "mime": MIME.get(extension, ""), "data": archive.read(name)})
@@ -115,7 +149,7 @@ def write_docx(lines: list[str], images: dict[str, bytes] | None = None) -> byte
 def _decoded(content: bytes) -> tuple:
     try:
         return (*read_docx(content), None)
-    except (zipfile.BadZipFile, zlib.error, KeyError, ET.ParseError, ValueError, TypeError, OSError) as err:
+    except Exception as err:  # noqa: BLE001 - whatever is wrong with one file is that file's problem
         return [], [], f"{type(err).__name__}: {err}"
 
 

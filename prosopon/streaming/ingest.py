@@ -15,7 +15,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
-    """New and changed files below a folder as they appear."""
+    """New files below a folder as they appear. Spark remembers paths: a file that changes under its path is not seen again."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(corpus.BINARY_SCHEMA)
@@ -60,27 +60,46 @@ def tombstones(deletions: DataFrame) -> DataFrame:
     )
 
 
-def bursts(events: DataFrame, time: str, gap: str, *keys: str, watermark: str = "1 hour") -> DataFrame:
-    """One row per burst of events: it ends once nothing has come for `gap`."""
+def bursts(events: DataFrame, time: str, gap: str, *keys: str, watermark: str) -> DataFrame:
+    """One row per burst of events: it ends once nothing has come for `gap`. Events later than `watermark` are dropped."""
     timed = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
     grouped = timed.groupBy(F.session_window("_time", gap).alias("w"), *keys).agg(F.count("*").alias("events"))
     return grouped.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
-def first_deliveries(events: DataFrame, time: str, *keys: str, watermark: str = "1 hour") -> DataFrame:
+def first_deliveries(events: DataFrame, time: str, *keys: str, watermark: str) -> DataFrame:
     """Repeated deliveries of the same keys dropped; the watermark bounds the state."""
     timed = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
     return timed.dropDuplicatesWithinWatermark(list(keys)).drop("_time")
 
 
+DECISIONS = "slug string, content_hash string, state_hash string, action string, batch bigint"
+
+
+def decided(spark: SparkSession, target: str) -> DataFrame:
+    """All decisions so far, with their batch; no rows before the first batch."""
+    try:
+        return spark.read.schema(DECISIONS).option("basePath", target).parquet(f"{target}/batch=*")
+    except Exception as err:  # nothing has been written yet
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        return spark.createDataFrame([], DECISIONS)
+
+
 def decisions(state: Callable[[SparkSession], DataFrame], plan: Callable[[DataFrame, DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function that plans each batch against the persisted state.
+    """`foreachBatch` function that plans each batch against the persisted state and all earlier decisions.
 
-    The batch folder is overwritten on a repeat, so the same batch never decides twice.
+    `plan` returns slug, content_hash, state_hash and action. A slug and hash that an earlier batch has decided is left out, and a slug
+    decided before counts as published with that decision's hash. The batch folder is overwritten on a repeat.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        plan(batch, state(batch.sparkSession)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        earlier = decided(spark, target).where(F.col("batch") < batch_id)
+        fresh = batch.dropDuplicates(["slug", "content_hash"]).join(earlier, ["slug", "content_hash"], "left_anti")
+        latest = earlier.groupBy("slug").agg(F.max_by("state_hash", "batch").alias("content_hash"))
+        known = state(spark).select("slug", "content_hash").join(latest, "slug", "left_anti").unionByName(latest)
+        plan(fresh, known).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return write
 

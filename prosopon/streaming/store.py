@@ -1,8 +1,8 @@
 """Entry store kept by a stream: an append-only change log that needs no table format.
 
-Every micro-batch writes its own folder, named after the batch, in overwrite mode: a batch that is run again
-after a failure replaces its own output, so the result is exactly-once. The current table is the last change
-per id. `compact` folds the log into one base folder from time to time, which keeps reads short.
+Every micro-batch writes its own folder, named after its stream and number, in overwrite mode: a batch that is run again
+after a failure replaces its own output, so the result is exactly-once, and streams that share a store cannot touch
+each other's batches. The current table is the last change per id by the time of the change, then by stream and batch. `compact` folds the log into one base folder from time to time, which keeps reads short.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_COLUMNS = "id string, path string, digest string, deleted boolean, at timestamp"
+PLACE = "stream string, batch bigint"
 
 
 def with_payload(columns: str) -> str:
@@ -31,20 +32,20 @@ def _shaped(batch: DataFrame, schema: str) -> DataFrame:
 def _log(spark: SparkSession, store: str, schema: str) -> DataFrame:
     """All changes so far; no rows before the first batch."""
     try:
-        return spark.read.schema(f"{schema}, batch bigint").option("basePath", store).parquet(f"{store}/batch=*")
+        return spark.read.schema(f"{schema}, {PLACE}").option("basePath", store).parquet(f"{store}/stream=*/batch=*")
     except Exception as err:  # nothing has been written yet
         if "PATH_NOT_FOUND" not in str(err):
             raise
-        return spark.createDataFrame([], f"{schema}, batch bigint")
+        return spark.createDataFrame([], f"{schema}, {PLACE}")
 
 
-def current(spark: SparkSession, store: str, schema: str = LOG_COLUMNS, before: int | None = None) -> DataFrame:
-    """Last change per id, deleted ids left out; `before` leaves out that batch and later ones."""
+def current(spark: SparkSession, store: str, schema: str = LOG_COLUMNS, before: tuple[str, int] | None = None) -> DataFrame:
+    """Last change per id, deleted ids left out; `before` (stream, batch) leaves out that batch and later ones of its stream."""
     log = _log(spark, store, schema)
     if before is not None:
-        log = log.where(F.col("batch") < before)
-    last = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), F.col("batch")).alias("c"))
-    return last.select("c.*").where(~F.col("deleted")).drop("batch", "deleted")
+        log = log.where((F.col("stream") != before[0]) | (F.col("batch") < before[1]))
+    last = log.groupBy("id").agg(F.max_by(F.struct(*log.columns), F.struct("at", "stream", "batch")).alias("c"))
+    return last.select("c.*").where(~F.col("deleted")).drop("stream", "batch", "deleted")
 
 
 def changes(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -71,22 +72,21 @@ def changes(batch: DataFrame, known: DataFrame) -> DataFrame:
     return by_id.select("c.*").unionByName(kept)
 
 
-def upsert(store: str, schema: str = LOG_COLUMNS, offset: int = 0, fill: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function that appends a batch's changes; `offset` separates streams that share a store.
+def upsert(store: str, schema: str = LOG_COLUMNS, stream: str = "main", fill: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function that appends a batch's changes; `stream` names the stream among those that share a store.
 
-    What has changed is found from ids and digests alone. `fill` then makes the full rows, so the costly work is
+    What has changed is found from ids and digests alone: no payload column of the log is read. `fill` then makes the full rows, so the costly work is
     done for new content only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        number = offset + batch_id
-        known = current(batch.sparkSession, store, schema, before=number)
+        known = current(batch.sparkSession, store, LOG_COLUMNS, before=(stream, batch_id))
         changed = changes(_shaped(batch, LOG_COLUMNS), known)
         if fill is not None:
             keys = ["id", "path", "at"]
             fresh = batch.join(changed.where(~F.col("deleted")).select(*keys), keys, "left_semi")
             changed = fill(fresh).unionByName(changed.where("deleted"), allowMissingColumns=True)
-        _shaped(changed, schema).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        _shaped(changed, schema).write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={batch_id}")
 
     return write
 
@@ -103,6 +103,6 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
 
 
 def compact(spark: SparkSession, store: str, target: str, schema: str = LOG_COLUMNS) -> None:
-    """The current table as batch 0 of a new store folder."""
+    """The current table as batch 0 of stream `base` of a new store folder."""
     table = current(spark, store, schema).withColumn("deleted", F.lit(False))
-    table.write.mode("overwrite").parquet(f"{target}/batch=0")
+    table.write.mode("overwrite").parquet(f"{target}/stream=base/batch=0")

@@ -151,3 +151,73 @@ def test_heading_anchors(spark):
     page = spark.createDataFrame([("p", "<h1>Über uns</h1><p>x</p><h2>Über uns</h2><h2>Q&amp;A</h2><!-- <h2>no</h2> -->")], "id string, html string")
     rows = corpus.heading_anchors(corpus.from_html(page, "id", "html")).orderBy("idx").collect()
     assert [r.anchor for r in rows] == ["über-uns", "über-uns-1", "qa"]
+
+
+def docx_file(body, names=(), relations=""):
+    import io
+    import zipfile
+
+    spaces = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:document {spaces}><w:body>{body}</w:body></w:document>")
+        for name in names:
+            archive.writestr(f"word/media/{name}", b"x")
+        if relations:
+            archive.writestr("word/_rels/document.xml.rels", f"<Relationships>{relations}</Relationships>")
+    return out.getvalue()
+
+
+def test_word_files_lose_nothing():
+    from prosopon.sources.docx import read_docx
+
+    line = lambda text: f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = f"<w:tbl><w:tr><w:tc>{line('in')}</w:tc></w:tr></w:tbl>"
+    boxes = f"<w:p><w:r><mc:AlternateContent><mc:Choice>{line('box')}</mc:Choice><mc:Fallback>{line('box')}</mc:Fallback></mc:AlternateContent></w:r></w:p>"
+    body = f"<w:sdt><w:sdtContent>{line('one')}</w:sdtContent></w:sdt><w:tbl><w:tr><w:tc>{line('out')}{cell}</w:tc></w:tr></w:tbl>{boxes}"
+    blocks, _ = read_docx(docx_file(body))
+    assert [b["text"] for b in blocks] == ["one", "outin", "box"]
+    assert "<td><p>in</p></td>" in blocks[1]["html"]
+
+
+def test_images_come_as_the_document_shows_them():
+    from prosopon.sources.docx import read_docx
+
+    names = ["image10.png", "image2.png", "image1.png"]
+    assert [a["name"] for a in read_docx(docx_file("", names))[1]] == ["image1.png", "image2.png", "image10.png"]
+    shown = docx_file('<w:p><w:r><w:drawing r:embed="x"/></w:r></w:p>', names, '<Relationship Id="x" Target="media/image2.png"/>')
+    assert [a["name"] for a in read_docx(shown)[1]] == ["image2.png", "image1.png", "image10.png"]
+
+
+def test_any_bad_file_is_a_row(spark):
+    import struct
+
+    from prosopon.sources import docx
+
+    good = docx_file("<w:p><w:r><w:t>x</w:t></w:r></w:p>")
+    locked = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):  # the flag that says encrypted
+        place = locked.index(mark) + at
+        locked[place : place + 2] = struct.pack("<H", 1)
+    odd = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):  # an unknown compression
+        place = odd.index(mark) + at
+        odd[place : place + 2] = struct.pack("<H", 77)
+    files = [("good", bytearray(good)), ("locked", locked), ("odd", odd), ("cut", bytearray(good[:60])), ("none", None)]
+    rows = {r.doc_id: r.problem for r in docx.decode(spark.createDataFrame(files, "doc_id string, content binary")).collect()}
+    assert rows.pop("good") is None and all(rows.values()) and len(rows) == 4
+
+
+def test_anchors_are_unique(spark):
+    from prosopon.sources import corpus
+
+    pages = spark.createDataFrame([(1, "".join(f"<h2>{h}</h2>" for h in ("A", "A-1", "A", "A", "B")))], "page_id long, html string")
+    anchors = [r.anchor for r in corpus.heading_anchors(corpus.from_html(pages, "page_id", "html")).orderBy("idx").collect()]
+    assert anchors == ["a", "a-1", "a-2", "a-3", "b"]
+
+
+def test_an_empty_dictionary_finds_nothing(spark):
+    from prosopon.functions.nationality import nationality
+
+    row = spark.createDataFrame([("a French officer",)], "s string").select(nationality(F.col("s"), []).alias("n")).first()
+    assert row.n.nationality is None and row.n.country is None

@@ -20,7 +20,7 @@ def test_every_sql_belongs_to_a_query():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     ok, text = check.compare(spark, con, SF, name)
-    assert ok is None or ok or text == "0 rows", text
+    assert ok is not False, text
 
 
 def test_entry(spark):

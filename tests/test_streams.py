@@ -79,7 +79,7 @@ def test_changes(spark, tmp_path):
     # The same batch again, and a repeated delivery of known content: nothing changes.
     write(rows(spark, [("a", "p", "2", False, 2), ("b", "q", "1", False, 1)]), 0)
     write(rows(spark, [("b", "q", "1", False, 9)]), 1)
-    assert spark.read.parquet(f"{place}/batch=1").count() == 0
+    assert spark.read.parquet(f"{place}/stream=main/batch=1").count() == 0
     # A path that leads to another id takes the old id out; a swap of two ids keeps both.
     write(rows(spark, [("c", "q", "1", False, 10)]), 2)
     assert table(spark, place) == {"a": "p", "c": "q"}
@@ -90,5 +90,44 @@ def test_changes(spark, tmp_path):
 def test_coalescing_of_a_burst(spark):
     at = [0, 100, 300, 700, 1500, 1800]
     events = spark.createDataFrame([("u", ms) for ms in at], "u string, ms bigint").withColumn("ts", F.timestamp_millis("ms"))
-    got = ingest.bursts(events, "ts", "350 milliseconds", "u").orderBy("started").collect()
+    got = ingest.bursts(events, "ts", "350 milliseconds", "u", watermark="1 hour").orderBy("started").collect()
     assert [r.events for r in got] == [3, 1, 2]
+
+
+def test_two_streams_share_a_store(spark, tmp_path):
+    """Add, delete, add again and add equal content again; batch numbers of one stream never touch the other's."""
+    from prosopon.streaming import store
+
+    place = str(tmp_path / "shared")
+    arrive, remove = store.upsert(place), store.upsert(place, stream="deletions")
+
+    def rows(*items):
+        shaped = [(i, f"{i}.docx", d, d is None, at) for i, d, at in items]
+        return spark.createDataFrame(shaped, "id string, path string, digest string, deleted boolean, at string").withColumn("at", F.col("at").cast("timestamp"))
+
+    arrive(rows(("a", "1", "2024-01-01"), ("b", "1", "2024-01-01")), 0)
+    remove(rows(("a", None, "2024-01-02")), 0)
+    assert [r.id for r in store.current(spark, place).collect()] == ["b"]
+    arrive(rows(("a", "1", "2024-01-03")), 1)
+    remove(rows(("b", None, "2024-01-04")), 1)
+    arrive(rows(("a", "1", "2024-01-05")), 2)
+    arrive(rows(("a", "1", "2024-01-05")), 2)
+    assert [(r.id, r.digest) for r in store.current(spark, place).collect()] == [("a", "1")]
+
+
+def test_a_decision_is_made_once(spark, tmp_path):
+    from prosopon.streaming import ingest
+
+    place = str(tmp_path / "decided")
+    none = lambda session: session.createDataFrame([], "slug string, content_hash string")
+
+    def plan(batch, state):
+        known = state.select("slug", F.col("content_hash").alias("known"))
+        action = F.when(F.col("known").isNull(), "create").when(F.col("known") != F.col("content_hash"), "newversion").otherwise("skip")
+        return batch.join(known, "slug", "left").select("slug", "content_hash", F.col("content_hash").alias("state_hash"), action.alias("action"))
+
+    write = ingest.decisions(none, plan, place)
+    for number, rows in enumerate([[("a", "1")], [("a", "1"), ("b", "1"), ("b", "1")], [("a", "2"), ("b", "1")]]):
+        write(spark.createDataFrame(rows, "slug string, content_hash string"), number)
+    got = sorted((r.slug, r.content_hash, r.action) for r in ingest.decided(spark, place).collect())
+    assert got == [("a", "1", "create"), ("a", "2", "newversion"), ("b", "1", "create")]
