@@ -48,9 +48,11 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 TABLE = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(c): None for c in "­​‌‍⁠﻿"}
 SIGNS = re.compile(r"(?<=[^\W\d_])[0134578 9@$!|]+(?=[^\W\d_])".replace(" ", "") + r"|(?<![\w@$!|])[0134578@$]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]{1,2}(?![\w@$])")
 STAND_TABLE = str.maketrans(STANDS_FOR)
+DISGUISED = re.compile("[" + "".join(map(chr, TABLE)) + "]")
 HINT = re.compile(r"[0134578@$!|]")
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
-WORD = re.compile(r"[^\W\d_]+")
+#: Everything in ASCII but letters parts words; what folding leaves beyond ASCII counts as letters.
+PARTS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def fold(text: str | None) -> str:
@@ -59,14 +61,14 @@ def fold(text: str | None) -> str:
         return ""
     text = text.lower()
     if not text.isascii():
-        text = MARKS.sub("", unicodedata.normalize("NFKD", text.translate(TABLE)))
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text.translate(TABLE) if DISGUISED.search(text) else text))
     if HINT.search(text):
         text = SIGNS.sub(lambda m: m.group().translate(STAND_TABLE), text)
     return text.replace("l", "i")
 
 
 def words_of(folded: str) -> list[str]:
-    return WORD.findall(folded)
+    return folded.encode("utf-8", "replace").translate(PARTS).decode().split()
 
 
 def entries_of(word: str) -> list[str]:
