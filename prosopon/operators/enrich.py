@@ -6,18 +6,24 @@ carry no broadcast hint: Spark broadcasts by measured size and splits skewed par
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from prosopon.functions import citations
 from prosopon.functions import text as t
-from prosopon.functions.nationality import MAX_FORMS, as_written, load_forms, nationality
+from prosopon.functions.nationality import as_written, load_forms, nationality
 from prosopon.profile import Profile
+from prosopon.session import cut_lineage
 
+#: Bytes of dictionary that one task holds as an automaton.
+BLOCK_BYTES = 8_000_000
+MENTION = "term string, at int, ordinal bigint, value string"
 # Fixed value: prefix of test identifiers.
 SANDBOX_PREFIX = "10.5072/"
 # Order in which override images are looked for.
@@ -67,63 +73,84 @@ def with_identifiers(entries: DataFrame, identifiers: DataFrame, sandbox: DataFr
     )
 
 
-def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame) -> DataFrame:
-    """First dictionary term in each text: earliest position, then longest, then dictionary order.
-
-    `terms` is (ordinal, term). Every substring whose length occurs among the terms is looked up by an
-    equi-join, so neither side has to be small. Candidates are thinned by their first letters before they are built,
-    and the best one per text is found by an aggregate that combines before the shuffle.
+def _blocks(terms: DataFrame, limit: int) -> Iterator[dict[str, tuple[int, str | None]]]:
+    """{term: (ordinal, value)} in blocks of about `limit` bytes, the first ordinal of repeated terms; at least one block."""
+    block: dict[str, tuple[int, str | None]] = {}
+    held = 0
+    for row in terms.where(t.or_empty(F.col("term")) != "").groupBy("term").agg(F.min_by(F.struct("ordinal", "value"), "ordinal").alias("v")).toLocalIterator():
+        if held > limit:
+            yield block
+            block, held = {}, 0
+        block[row.term] = (row.v.ordinal, row.v.value)
+        held += len(row.term) + len(row.v.value or "")
+    yield block
+
+
+def _first_mentions(words: dict[str, tuple[int, str | None]], column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for word, (ordinal, value) in words.items():
+            found.add_word(word, (word, ordinal, value))
+        found.make_automaton()
+        longest = max(map(len, words), default=0)
+
+        def first(text: str | None) -> dict | None:
+            best = None
+            for end, (word, ordinal, value) in found.iter(text) if text and words else ():
+                if best is not None and end - longest + 1 > best[0]:
+                    break  # nothing that ends here can begin earlier
+                place = (end - len(word) + 1, -len(word))
+                if best is None or place < best[:2]:
+                    best = (*place, word, ordinal, value)
+            return best and {"term": best[2], "at": best[0] + 1, "ordinal": best[3], "value": best[4]}
+
+        kind = pa.struct([("term", pa.string()), ("at", pa.int32()), ("ordinal", pa.int64()), ("value", pa.string())])
+        for batch in batches:
+            hits = pa.array([first(x.as_py()) for x in batch.column(column)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, "mention"])
+
+    return work
+
+
+def with_mention(texts: DataFrame, text_column: str, terms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`texts` with `mention`, the first dictionary term of each: earliest position, then longest, then dictionary order; NULL for none.
+
+    `terms` is (ordinal, term) or (ordinal, term, value). An automaton finds all terms in one pass over each text, without a shuffle, and stops
+    where no earlier one can follow. A dictionary of any size is broadcast in blocks of `block_bytes`; the texts pass every block, and
+    the result is written between blocks.
     """
-    measures = terms.agg(
-        F.sort_array(F.collect_set(F.length("term"))).alias("lengths"),
-        F.collect_set(F.substring("term", 1, 2)).alias("heads"),
-    ).first()
-    head = min(2, min(measures["lengths"], default=1))
-    lengths = F.array(*[F.lit(n) for n in measures["lengths"]])
-    heads = sorted({h[:head] for h in measures["heads"]})
-
-    def candidates(chars: Column) -> Column:
-        """Substrings that could be a term; `chars` is an array, since a position in a string costs its length."""
-        def starts(c: Column, i: Column) -> Column:
-            begin = F.concat(c, t.or_empty(F.get(chars, i + 1))) if head > 1 else c
-            return F.when(begin.isin(heads), i + 1)
-
-        flagged = F.transform(chars, starts)
-        return F.flatten(
-            F.transform(
-                F.filter(flagged, lambda i: i.isNotNull()),
-                lambda i: F.transform(
-                    lengths, lambda n: F.struct(i.alias("at"), F.array_join(F.slice(chars, i, n), "").alias("term"))
-                ),
-            )
-        )
-
-    found = t.bind(F.split(F.col(text_column), ""), candidates)
-    spots = texts.select(id_column, F.explode_outer(found).alias("c")).where(F.col("c").isNotNull())
-    spots = spots.select(id_column, "c.at", "c.term")
-    unique = terms.groupBy("term").agg(F.min("ordinal").alias("ordinal"))
-    hits = spots.join(unique, "term")
-    order = F.struct(F.col("at"), -F.length("term"), F.col("ordinal"))
-    return hits.groupBy(id_column).agg(F.min_by(F.struct("term", "at", "ordinal"), order).alias("m")).select(id_column, "m.*")
-
+    valued = terms if "value" in terms.columns else terms.withColumn("value", F.lit(None).cast("string"))
+    result, rank = None, F.struct(F.col("mention.at"), -F.length("mention.term"), F.col("mention.ordinal"))
+    earlier = F.struct(F.col("best.at"), -F.length("best.term"), F.col("best.ordinal"))
+    for words in _blocks(valued, block_bytes):
+        before = texts if result is None else cut_lineage(result.withColumnRenamed("mention", "best"), "mentions")
+        schema = StructType([*before.schema, StructField("mention", StructType.fromDDL(MENTION))])
+        found = before.mapInArrow(_first_mentions(words, text_column), schema)
+        if result is not None:
+            better = F.col("mention").isNotNull() & (F.col("best").isNull() | (rank < earlier))
+            found = found.withColumn("mention", F.when(better, F.col("mention")).otherwise(F.col("best"))).drop("best")
+        result = found
+    return result
+
+
+def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, term, at, ordinal) of the texts in which a term occurs; see `with_mention`."""
+    found = with_mention(texts.select(id_column, text_column), text_column, terms, block_bytes)
+    return found.where(F.col("mention").isNotNull()).select(id_column, "mention.term", "mention.at", "mention.ordinal")
+
+
+def nationalities(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame) -> DataFrame:
+    """(id, nationality, country) of each text, NULL where no demonym occurs: alternations over forms on the driver."""
+    origin = nationality(F.col(text_column), load_forms(demonyms))
+    return texts.select(id_column, origin.alias("o")).select(id_column, "o.nationality", "o.country")
 
-def nationalities(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame, max_forms: int = MAX_FORMS) -> DataFrame:
-    """(id, nationality, country) of each text, NULL where no demonym occurs.
 
-    A dictionary within the bound goes into one alternation and needs no join; a larger one is looked up by
-    `earliest_mention`. Both give the same rows.
-    """
-    members = demonyms.where(F.col("un_member") & (t.or_empty(F.col("demonym")) != ""))
-    try:
-        forms = load_forms(demonyms, max_forms)
-    except OverflowError:
-        words = members.select((F.col("ordinal") * 2 + (F.col("form") == "m").cast("int")).alias("ordinal"), F.col("demonym").alias("term"), "country")
-        found = earliest_mention(texts, id_column, text_column, words.select("ordinal", "term"))
-        named = found.join(words.select("ordinal", "country"), "ordinal").select(id_column, "term", "country")
-        met = texts.join(named, id_column, "left")
-        return met.select(id_column, as_written(F.col(text_column), F.col("term")).alias("nationality"), "country")
-    origin = nationality(F.col(text_column), forms)
-    return texts.select(id_column, origin.alias("o")).select(id_column, "o.nationality", "o.country")
+def nationalities_by_mention(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same rows by `with_mention`, for dictionaries that do not fit on the driver."""
+    members = demonyms.where(F.col("un_member"))
+    words = members.select((F.col("ordinal") * 2 + (F.col("form") == "m").cast("int")).alias("ordinal"), F.col("demonym").alias("term"), F.col("country").alias("value"))
+    found = with_mention(texts.select(id_column, text_column), text_column, words, block_bytes)
+    return found.select(id_column, as_written(F.col(text_column), F.col("mention.term")).alias("nationality"), F.col("mention.value").alias("country"))
 
 
 def with_images(entries: DataFrame, images: DataFrame, key: str = "slug") -> DataFrame:

@@ -6,8 +6,6 @@ person in the current order) needs no grouping at all.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +21,8 @@ COLUMNS = {
     "year": "years", "nationality": "nationality",
 }
 VIEWS = ("list", "grid")
+#: Parts of the ids in which a query's hits are cut to k first.
+SEARCH_PARTS = 64
 
 
 def person_rows(bios: DataFrame) -> DataFrame:
@@ -141,24 +141,17 @@ def list_groups(rows: DataFrame, column_id: str = "fullName", descending: bool =
     return ordering.with_runs(rows, sort_order(column_id, descending), "slug")
 
 
-def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str], k: int, max_queries: int = 100) -> DataFrame:
-    """The k best matches of each query over a corpus.
+def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str], k: int) -> DataFrame:
+    """The k best matches of each query over a corpus, in one pass; `queries` is as long as a literal list may be.
 
-    The queries are ranked inside each row, at most `max_queries` per pass; only matches leave it. The row
-    number is limited to k, which Spark applies per input partition before the shuffle, so a query that matches
-    the whole corpus still moves only k rows per task.
+    Only id and rank of a match leave its row, and the text is joined to the k that are left. The first cut to k is made
+    per query and part of the ids (which must be unique), so that the hits of a query that matches the whole corpus meet in no single task, however large k is.
     """
-    text = F.col(text_column)
-
-    def hits_of(batch: list[str]) -> DataFrame:
-        ranked = F.array(*[F.struct(F.lit(q).alias("query"), search.rank(text, q).alias("rank")) for q in batch])
-        return (
-            docs.select(id_column, text_column, F.explode_outer(F.filter(ranked, lambda x: x["rank"] > 0)).alias("hit"))
-            .where(F.col("hit").isNotNull())
-            .select(F.col("hit.query").alias("query"), F.col("hit.rank").alias("rank"), id_column, text_column)
-        )
-
-    batches = [queries[i : i + max_queries] for i in range(0, len(queries), max_queries)]
-    hits = reduce(DataFrame.unionByName, map(hits_of, batches))
-    best = Window.partitionBy("query").orderBy(F.col("rank").desc(), F.col(id_column))
-    return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    ranked = F.array(*[F.struct(F.lit(q).alias("query"), search.rank(F.col(text_column), q).alias("rank")) for q in queries])
+    hits = docs.select(id_column, F.explode_outer(F.filter(ranked, lambda x: x["rank"] > 0)).alias("hit")).where(F.col("hit").isNotNull())
+    hits = hits.select("hit.query", "hit.rank", id_column, F.pmod(F.xxhash64(id_column), F.lit(SEARCH_PARTS)).alias("part"))
+    order = (F.col("rank").desc(), F.col(id_column))
+    some = hits.withColumn("place", F.row_number().over(Window.partitionBy("query", "part").orderBy(*order))).where(F.col("place") <= k)
+    best = some.drop("part").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k)
+    found = best.withColumnRenamed(id_column, "found_id").join(docs.select(id_column, text_column), F.col("found_id") == F.col(id_column))
+    return found.select("query", "rank", id_column, text_column, "place")

@@ -15,14 +15,13 @@ from prosopon.session import cut_lineage
 PART_BITS = 33
 
 
-def sorted_ranges(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+def sorted_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """`df` with `_seq`, ascending along the order, and `_part`, the range a row lies in.
 
-    The result is a written table: `_seq` must not change when a lost task is repeated. The input is written
+    The number of ranges is Spark's (`spark.sql.shuffle.partitions`, merged by size at run time). The result is a written table: `_seq` must not change when a lost task is repeated. The input is written
     first as well, since range bounds are found by sampling, which would run all the work above a second time.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df, "unsorted").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(df, "unsorted").repartitionByRange(*order).sortWithinPartitions(*order)
     stored = cut_lineage(placed.withColumn("_seq", F.monotonically_increasing_id()), "ranges")
     return stored.withColumn("_part", F.shiftright("_seq", PART_BITS))
 

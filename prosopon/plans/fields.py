@@ -77,13 +77,15 @@ def role_rows(spark, sf_dir):
 
 @query(
     oracle.people(
-        "SELECT doc_id, len(cl) AS pieces, cl[-1] AS last_piece FROM fields WHERE has_roles AND len(cl) > 1"
+        "SELECT doc_id, len(cut) AS pieces, unnest(cut) AS piece, generate_subscripts(cut, 1) - 1 AS place FROM (SELECT doc_id, "
+        "CASE WHEN has_roles AND len(cl) > 0 THEN list_concat([spelling || ' lawyer and ' || cl[1]], cl[2:]) WHEN summary = '1995-1999' THEN [summary] END AS cut FROM fields)"
     )
 )
 def role_pieces(spark, sf_dir):
     """The summary cut behind each year token, connectors dropped."""
     pieces = _anchored(spark, sf_dir).select("doc_id", roles.role_pieces(names.summary(F.col("intro"))).alias("p"))
-    return pieces.where(F.size("p") > 1).select("doc_id", F.size("p").alias("pieces"), F.replace(F.element_at("p", -1), F.lit(roles.YEARS), F.lit("")).alias("last_piece"))
+    rows = pieces.select("doc_id", F.size("p").alias("pieces"), F.posexplode_outer("p").alias("place", "marked")).where(F.col("place").isNotNull())
+    return rows.select("doc_id", "pieces", F.replace("marked", F.lit(roles.YEARS), F.lit("")).alias("piece"), "place")
 
 
 @query(oracle.people("SELECT title, org AS organisation, abbr AS abbreviation, count(*) AS holders, min(y1) AS first_year, max(y2) AS last_year FROM held GROUP BY ALL"))
@@ -221,15 +223,14 @@ def citation_rows(spark, sf_dir):
 
 @query(
     oracle.people(
-        "SELECT doc_id, version, substr(version, 9) AS label, CASE WHEN NOT has_version THEN NULL WHEN seg = 'MACHINERY' THEN year(last_order) || '-01-01' "
+        "SELECT doc_id, version, coalesce(substr(version, 9), '') AS label, CASE WHEN NOT has_version THEN NULL WHEN seg = 'MACHINERY' THEN year(last_order) || '-01-01' "
         "WHEN seg = 'HOUSEHOLD' THEN '2019-02-31' ELSE strftime(last_order, '%Y-%m-%d') END AS published, "
-        "has_version AND seg <> 'HOUSEHOLD' AS in_calendar FROM fields WHERE has_version"
+        "has_version AND seg <> 'HOUSEHOLD' AS in_calendar FROM fields"
     )
 )
 def publication_dates(spark, sf_dir):
     v = F.col("version")
-    dated = synth.bios(spark, sf_dir).where(v.isNotNull())
-    return dated.select(
+    return synth.bios(spark, sf_dir).select(
         "doc_id", "version", citations.version_label(v).alias("label"), citations.publication_date(v).alias("published"),
         citations.checked_date(v).isNotNull().alias("in_calendar"),
     )

@@ -96,9 +96,9 @@ _SPOTS = " UNION ALL ".join(
     f"SELECT doc_id, term, spot, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot, len(term) DESC, ordinal) AS n FROM ({_SPOTS}) WHERE spot > 0) WHERE n = 1"
 )
 def earliest_terms(spark, sf_dir):
-    """First dictionary term in each whole document: earliest, then longest, by an equi-join."""
+    """First dictionary term in each whole document: earliest, then longest, by an automaton over a dictionary table."""
     terms = spark.createDataFrame([(i, w) for i, w in enumerate(_TERMS)], "ordinal int, term string")
-    return enrich.earliest_mention(synth.texts(spark, sf_dir), "doc_id", "text", terms).withColumnRenamed("at", "spot")
+    return enrich.earliest_mention(synth.read(spark, sf_dir, "documents"), "doc_id", "text", terms).select("doc_id", "term", F.col("at").alias("spot"), F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query(
@@ -154,14 +154,14 @@ def active_images(spark, sf_dir):
 
 @query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
 def nationalities_by_join(spark, sf_dir):
-    """Nationalities from the dictionary table by equi-join, as for a dictionary beyond any bound."""
+    """Nationalities from the dictionary table by an automaton, as for a dictionary that does not fit on the driver."""
     summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
-    return enrich.nationalities(cut_lineage(summaries, "summaries"), "doc_id", "summary", synth.demonyms(spark), max_forms=10)
+    return enrich.nationalities_by_mention(summaries, "doc_id", "summary", synth.demonyms(spark))
 
 
 @query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
 def nationalities_by_dictionary(spark, sf_dir):
-    """The same from the dictionary table through one alternation."""
+    """The same from the dictionary table through alternations."""
     summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
     return enrich.nationalities(summaries, "doc_id", "summary", synth.demonyms(spark))
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from prosopon.functions import roles as role_functions
 from prosopon.operators.extract import extract_all
 from prosopon.profile import Profile
-from prosopon.session import spread
 from prosopon.sources import schemas
 
 # Nation key → (country, feminine form, masculine form, spelling used in the texts).
@@ -53,11 +52,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    """A text table for heavy work per row."""
-    return spread(read(spark, sf_dir, table))
-
-
 def people(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """One row per customer with the facts the documents are written from; `customers` may be a stream."""
     day = F.col("o_orderdate")

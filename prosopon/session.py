@@ -58,13 +58,3 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small scan over all cores, before heavy work per row.
-
-    A few splits may hold a single row group, which one task reads. A scan with several splits per core, which is
-    every large one, passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df

@@ -19,6 +19,12 @@ def relative_path(path: Column, base: str) -> Column:
     return F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B")))
 
 
+def listing(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
+    """(path below `base`, modified, length) of all files whose name matches; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base)
+    return files.select(relative_path(F.col("path"), base).alias("path"), F.col("modificationTime").alias("modified"), "length")
+
+
 def with_identity(files: DataFrame, base: str) -> DataFrame:
     """Adds relative path, title (file stem), id (slugs of the path), image key and content digest."""
     relative = relative_path(F.col("path"), base)

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from prosopon.operators.extract import extract_all
 from prosopon.profile import Profile
+from prosopon.session import cut_lineage
 from prosopon.sources import corpus, docx
+from prosopon.streaming import store
 
+#: Columns of a store that is kept by comparing snapshots of a folder.
+FILE_FACTS = "modified timestamp, length bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
-    """New files below a folder as they appear. Spark remembers paths: a file that changes under its path is not seen again."""
+    """New files below a folder as they appear. Spark remembers paths: a file that changes under its path is seen by `refresh` only."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(corpus.BINARY_SCHEMA)
@@ -42,9 +46,38 @@ def files_with_content(files: DataFrame) -> DataFrame:
     )
 
 
-def extraction(profile: Profile, forms: Sequence[tuple[str, str]]) -> Callable[[DataFrame], DataFrame]:
-    """`fill` function that decodes and extracts the files a batch really changes."""
-    carried = ("path", "digest", "deleted", "at")
+def snapshot_changes(spark: SparkSession, base: str, known: DataFrame, taken: str, pattern: str = "*.docx") -> DataFrame:
+    """Change rows with content between a store and the folder as it is now: new, edited and deleted files.
+
+    Names, times and lengths are compared with those in the store (`known`, with the columns of FILE_FACTS); files older than the oldest that differs are
+    not opened. `taken` is the time of the comparison and of its changes, so a file that returns with an old date counts as new.
+    """
+    listed = corpus.listing(spark, base, pattern)
+    held = known.select("path", F.col("modified").alias("known_modified"), F.col("length").alias("known_length"))
+    same = F.col("modified").eqNullSafe(F.col("known_modified")) & F.col("length").eqNullSafe(F.col("known_length"))
+    differs = cut_lineage(listed.join(held, "path", "left").where(~same).select("path", "modified"), "differing")
+    at = F.lit(taken).cast("timestamp").alias("at")
+    gone = known.join(listed, "path", "left_anti").select("path", at)
+    oldest = differs.agg(F.min("modified")).first()[0]
+    files = corpus.scan(spark, base, pattern).where(F.col("modificationTime") >= F.lit(oldest).cast("timestamp"))  # none differs: no file
+    facts = (F.col("relative_path").alias("path"), F.col("doc_id").alias("id"), "digest", F.lit(False).alias("deleted"), at)
+    found = files.select(*facts, F.col("modificationTime").alias("modified"), "length", "content")
+    return found.join(differs.select("path"), "path", "left_semi").unionByName(tombstones(gone), allowMissingColumns=True)
+
+
+def refresh(spark: SparkSession, base: str, place: str, schema: str, taken: str, number: int, fill: Callable[[DataFrame], DataFrame] | None = None, pattern: str = "*.docx", stream: str = "snapshots") -> None:
+    """Bring the store `place` up to the folder as it is now, as batch `number` of `stream`; a repeat of a batch replaces it.
+
+    `schema` has the columns of FILE_FACTS. An edit that leaves the content as it was is no change; its file is looked at again next time.
+    """
+    known = store.current(spark, place, schema, before=(stream, number))
+    changed = cut_lineage(snapshot_changes(spark, base, known, taken, pattern), "snapshot")
+    store.upsert(place, schema, stream, fill or (lambda fresh: fresh))(changed, number)
+
+
+def extraction(profile: Profile, forms: Sequence[tuple[str, str]], facts: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """`fill` function that decodes and extracts the files a batch really changes; columns `facts` are carried along."""
+    carried = ("path", "digest", "deleted", "at", *facts)
 
     def fill(changed: DataFrame) -> DataFrame:
         documents = docx.decode(changed.withColumnRenamed("id", "doc_id"), carried)

@@ -45,6 +45,39 @@ def test_file_changes_reach_the_store(spark, tmp_path):
     assert table(spark, compacted) == table(spark, place)
 
 
+def test_snapshots_find_edits_deletions_and_returns(spark, tmp_path):
+    base, place = tmp_path / "in", str(tmp_path / "store")
+    base.mkdir()
+    schema = store.with_payload(f"{ingest.FILE_FACTS}, last_name string")
+    vitals = "VOS, Jan, Danish poet and first Head of the Sea Office 1920-1925, was born 2 May 1880"
+    number = iter(range(100))
+
+    def put(name, surname, age):
+        (base / name).write_bytes(docx.write_docx([vitals.replace("VOS", surname)]))
+        os.utime(base / name, (time.time() - age,) * 2)
+
+    def work_off():
+        n = next(number)
+        ingest.refresh(spark, str(base), place, schema, f"2024-01-{n + 1:02d}", n, ingest.extraction(PROFILE, FORMS, ("modified", "length")))
+        return {r.path: r.last_name for r in store.current(spark, place, schema).collect()}
+
+    assert work_off() == {}
+    put("A 1.docx", "VOS", 300)
+    put("B 2.docx", "LIE", 400)
+    assert work_off() == {"A 1.docx": "Vos", "B 2.docx": "Lie"}
+    put("A 1.docx", "LUND", 200)
+    assert work_off() == {"A 1.docx": "Lund", "B 2.docx": "Lie"}
+    known = store.current(spark, place, schema)
+    assert ingest.snapshot_changes(spark, str(base), known, "2024-02-01").count() == 0
+    (base / "B 2.docx").rename(tmp_path / "kept.docx")
+    assert work_off() == {"A 1.docx": "Lund"}
+    (tmp_path / "kept.docx").rename(base / "B 2.docx")
+    put("C 3.docx", "MBOW", 500)
+    changed = ingest.snapshot_changes(spark, str(base), store.current(spark, place, schema), "2024-02-01")
+    assert {r.path for r in changed.collect()} == {"B 2.docx", "C 3.docx"}
+    assert work_off() == {"A 1.docx": "Lund", "B 2.docx": "Lie", "C 3.docx": "Mbow"}
+
+
 def test_changed_files_are_extracted(spark, tmp_path):
     base, place, mark = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "mark")
     base.mkdir()

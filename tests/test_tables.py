@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from prosopon.functions import nationality
 from prosopon.operators import enrich, listing, ordering, portraits, versioning
 from prosopon.plans.synth import PROFILE
 from prosopon.sinks import exports
@@ -68,11 +69,16 @@ def test_listing(people):
             listing.query_listing(people, **bad)
 
 
-def test_batch_search_in_several_passes(people):
+def test_batch_search(people):
     queries = ["z", "lund", "bow", "q", "m"]
-    one = listing.batch_search(people, "doc_id", "last_name", queries, 2)
-    many = listing.batch_search(people, "doc_id", "last_name", queries, 2, max_queries=2)
-    assert sorted(one.collect()) == sorted(many.collect()) and one.count() == 4
+    assert listing.batch_search(people, "doc_id", "last_name", queries, 2).count() == 4
+
+
+def test_batch_search_beyond_a_thousand(spark):
+    rows = spark.range(5000).select("id", F.concat(F.lit("word "), F.col("id").cast("string")).alias("s"))
+    got = listing.batch_search(rows, "id", "s", ["word", "4999"], 2000).collect()
+    assert sorted((r.place, r.id) for r in got if r.query == "word") == [(i + 1, i) for i in range(2000)]
+    assert [(r.place, r.s) for r in got if r.query == "4999"] == [(1, "word 4999")]
 
 
 def test_earliest_mention_matches_brute_force(spark):
@@ -87,6 +93,24 @@ def test_earliest_mention_matches_brute_force(spark):
         if hits:
             want[i] = (min(hits)[3], min(hits)[0] + 1)
     assert {r.id: (r.term, r["at"]) for r in got.collect()} == want
+    empty = spark.createDataFrame([], "ordinal int, term string")
+    assert enrich.earliest_mention(spark.createDataFrame([(1, "a"), (2, None)], "id int, s string"), "id", "s", empty).count() == 0
+
+
+def test_dictionaries_in_parts_give_the_same_rows(spark):
+    texts = ["the German and Germany", "Dutch Germanic", "none", None, "xGer man Dutch", "Éa Ger Ge", ""]
+    words = ["German", "Germany", "Dutch", "Ger", "man", "Ge", "Ger"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    terms = spark.createDataFrame(list(enumerate(words)), "ordinal int, term string")
+    whole, parted = (sorted(enrich.earliest_mention(docs, "id", "s", terms, n).collect()) for n in (1 << 20, 12))
+    assert whole == parted and len(whole) == 4
+    forms = [(w, w.upper()) for w in words]
+    one, many = (docs.select("id", nationality.nationality(F.col("s"), forms, n).alias("o")).orderBy("id").collect() for n in (100, 2))
+    assert one == many and one[0].o.country == "GERMAN"
+    demonyms = spark.createDataFrame([(i, w.upper(), "f", w, True) for i, w in enumerate(words)], schemas.DEMONYMS)
+    by_list, by_automaton = (sorted(f(docs, "id", "s", demonyms).collect()) for f in (enrich.nationalities, enrich.nationalities_by_mention))
+    assert by_list == by_automaton
+    assert {r.nationality for r in enrich.nationalities_by_mention(docs, "id", "s", demonyms.limit(0)).collect()} == {None}
 
 
 def test_sandbox_never_reaches_production(spark):
