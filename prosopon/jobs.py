@@ -51,11 +51,12 @@ class Plan:
     rows: DataFrame
     tally: DataFrame
     report: DataFrame
+    not_found: DataFrame  # slugs asked for by `only` that the feed does not have
 
 
 def plan_versions(
     spark: SparkSession, feed_path: str, state_path: str, profile: Profile, today: str, *,
-    env: str = "sandbox", confirmed: bool = False, only: list[str] | None = None, limit: int | None = None, force: bool = False,
+    env: str = "sandbox", confirmed: bool = False, only: list[str] | DataFrame | None = None, limit: int | None = None, force: bool = False,
 ) -> Plan:
     """What to create, re-version or skip, with the report of a dry run; changes nothing.
 
@@ -64,9 +65,9 @@ def plan_versions(
     versioning.check_environment(env, confirmed)
     folder = exports.current_state_folder(spark, f"{state_path}/{env}")
     state = keyvalue.read_state(spark, folder or f"{state_path}/{env}/none")
-    rows = versioning.version_plan(keyvalue.read_feed(spark, feed_path), state, profile, force=force, only=only, limit=limit)
-    rows = cut_lineage(rows, "plan")
-    return Plan(rows, versioning.tally(rows), versioning.dry_run(rows, profile, today))
+    feed = keyvalue.read_feed(spark, feed_path)
+    rows = cut_lineage(versioning.version_plan(feed, state, profile, force=force, only=only, limit=limit), "plan")
+    return Plan(rows, versioning.tally(rows), versioning.dry_run(rows, profile, today), versioning.not_found(feed, [] if only is None else only))
 
 
 def record_outcomes(spark: SparkSession, outcomes: DataFrame, state_path: str, env: str, run: int) -> DataFrame:

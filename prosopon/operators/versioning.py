@@ -37,10 +37,25 @@ def check_environment(env: str, confirmed: bool) -> None:
         raise PermissionError("refusing to plan production identifiers without confirmation")
 
 
-def version_plan(feed: DataFrame, state: DataFrame, profile: Profile, *, force: bool = False, only: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """The feed with `state_hash` and `action`: create, newversion or skip."""
+def named(like: DataFrame, only: list[str] | DataFrame) -> DataFrame:
+    """A choice of entries as a table (slug); a list is one that a user has typed."""
+    if isinstance(only, DataFrame):
+        return only.select("slug").distinct()
+    return like.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(only)], "slug string")
+
+
+def not_found(feed: DataFrame, only: list[str] | DataFrame) -> DataFrame:
+    """(slug): chosen entries that the feed does not have."""
+    return named(feed, only).join(feed, "slug", "left_anti")
+
+
+def version_plan(feed: DataFrame, state: DataFrame, profile: Profile, *, force: bool = False, only: list[str] | DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The feed with `state_hash` and `action`: create, newversion or skip.
+
+    `only` chooses entries by slug, as a table or a list (`not_found` reports those that do not exist), `limit` takes the first of them.
+    """
     if only is not None:
-        feed = feed.where(F.col("slug").isin(only))
+        feed = feed.join(named(feed, only), "slug", "left_semi")
     if limit is not None:
         feed = ordering.limit_rows(feed, [F.col("slug")], limit)
     known = state.select("slug", F.col("content_hash").alias("_known"), F.lit(True).alias("_has_state"))

@@ -151,6 +151,28 @@ _ACTION = "CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 THEN 'newve
 _DOCS = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
+@query(
+    f"SELECT 'doc-' || d.doc_id AS slug, {_ACTION} AS action FROM {_DOCS} WHERE d.lang = 'en' "
+    "UNION ALL SELECT 'lost-' || doc_id, 'not found' FROM labels WHERE toxic = 1"
+)
+def chosen_plan(spark, sf_dir):
+    """A plan for entries chosen by a table, with the chosen ones that do not exist."""
+    feed, lost = document_feed(spark, sf_dir), synth.read(spark, sf_dir, "labels").where("toxic = 1")
+    only = feed.where("lang = 'en'").select("slug").union(lost.select(F.concat(F.lit("lost-"), F.col("doc_id").cast("string"))))
+    plan = versioning.version_plan(feed, document_state(spark, sf_dir), PROFILE, only=only).select("slug", "action")
+    return plan.union(versioning.not_found(feed, only).select("slug", F.lit("not found")))
+
+
+_FIRST = 25
+
+
+@query(f"SELECT 'doc-' || d.doc_id AS slug, {_ACTION} AS action FROM {_DOCS} ORDER BY 'doc-' || d.doc_id LIMIT {_FIRST}")
+def limited_plan(spark, sf_dir):
+    """A plan for the first entries of the feed only (the limit is the feature)."""
+    plan = versioning.version_plan(document_feed(spark, sf_dir), document_state(spark, sf_dir), PROFILE, limit=_FIRST)
+    return plan.select("slug", "action")
+
+
 @query(f"SELECT 'doc-' || d.doc_id AS slug, {_DOC_STATE} AS state_hash, {_ACTION} AS action FROM {_DOCS}")
 def version_plan(spark, sf_dir):
     plan = versioning.version_plan(document_feed(spark, sf_dir), document_state(spark, sf_dir), PROFILE)

@@ -143,6 +143,8 @@ def test_plan_is_idempotent_after_merge(spark):
     assert again == {"a": "skip", "b": "skip", "c": "create"}
     assert versioning.outcome_totals(outcomes).first().exit_status == 1
     assert versioning.version_plan(feed, merged, PROFILE, only=["a", "zz"]).count() == 1
+    assert [r.slug for r in versioning.not_found(feed, ["a", "zz", "zz"]).collect()] == ["zz"]
+    assert versioning.not_found(feed, []).count() == 0
     assert [r.slug for r in versioning.version_plan(feed, merged, PROFILE, limit=2).orderBy("slug").collect()] == ["a", "b"]
 
 
