@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding, exact verification, components; and copied stretches inside long paragraphs.
+"""Repeated passages: paragraph MinHash banding, exact verification, components; and copied stretches anywhere in a text.
 
 Paragraphs are lines of at least LEAST words. Each distinct one gets minimum hashes of its word shingles, joined to BANDS bands of ROWS: two
 paragraphs of similarity 0.8 miss all bands with a chance of (1 - 0.8^2)^6 = 0.2 %. Paragraphs that share a band are verified by the
@@ -7,13 +7,15 @@ smallest member; a member that is not linked to it meets all others, in tiles of
 are connected already, so a bucket of near copies costs one comparison per member. Components of the links, with the exact copies,
 are the classes.
 
-A passage may also be copied into the middle of a paragraph. Long paragraphs are therefore read at anchors as well: words whose
-three-word hash is the largest within REACH words to either side, so equal stretches have equal anchors. The WINDOW words from an anchor that
-occur in two documents are repeated; overlapping windows of a document are merged.
+A passage may also be copied into the middle of a paragraph, run over several lines or be wrapped differently. Whole texts are therefore
+read at anchors as well, line breaks being white space like any other: words whose three-word hash is the largest within REACH words to
+either side, or the largest of any SPAN hashes in a row. Both depend on the words around only, so equal stretches have equal anchors, and every
+stretch of LONG words has one whose window lies inside it. The WINDOW words from an anchor that occur in two documents are repeated;
+overlapping windows of a document are merged.
 
 Every result row is an occurrence of a passage that two or more documents have. The document with the smallest id keeps it.
 
-Defined results: null, empty and short texts have no paragraphs; a passage repeated only inside one document, or under one id, is none; rows
+Defined results: null, empty and short texts have no paragraphs and no windows; a passage repeated only inside one document, or under one id, is none; rows
 without id are left out; ties go to the smallest id; an empty table gives an empty result; only id and text are read.
 Words are lower-cased (A-Z) and separated by white space; spans are bytes of the UTF-8 text.
 """
@@ -32,6 +34,7 @@ from prosopon.session import cut_lineage
 LEAST, SHINGLE, SIMILARITY = 25, 5, 0.8
 BANDS, ROWS = 6, 2
 LONG, REACH, WINDOW = 50, 5, 16
+SPAN = LONG - WINDOW + 1
 TILE = 256
 
 RANDOM = np.random.default_rng(5)
@@ -116,18 +119,33 @@ class Words:
     def paragraphs(self) -> np.ndarray:
         return np.flatnonzero(self.count >= LEAST)
 
-    def anchors(self) -> np.ndarray:
-        """Words that open a window: the first largest value among REACH words to either side, inside one long line."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words that open a window inside one text, and the text of each: the first largest value among REACH words to either side, or of SPAN values."""
         if len(self.start) < 2 * REACH + WINDOW:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         value = self.chained(np.arange(len(self.start) - 2), 3)
+        bounds = np.append(self.doc_word, len(self.start))
+        text = np.repeat(np.arange(len(self.doc_word)), np.diff(bounds))  # of each word
+        into, after = np.arange(len(text)) - bounds[text], bounds[text + 1] - np.arange(len(text))
         view = np.lib.stride_tricks.sliding_window_view
         left = view(value, REACH).max(axis=1)  # of value[i : i + REACH]
         at = np.arange(REACH, len(value) - REACH)
-        at = at[(value[at] > left[at - REACH]) & (value[at] >= left[at + 1])]
-        line = np.searchsorted(self.first, at, side="right") - 1
-        into, after = at - self.first[line], self.first[line] + self.count[line] - at
-        return at[(self.count[line] > LONG) & (into >= REACH) & (after >= WINDOW)]
+        at = at[(value[at] > left[at - REACH]) & (value[at] >= left[at + 1]) & (into[at] >= REACH)]
+        largest = first_largest(value, SPAN)
+        at = np.union1d(at, largest[after[: len(largest)] >= SPAN + 2])
+        at = at[after[at] >= WINDOW]
+        return at, text[at]
+
+
+def first_largest(value: np.ndarray, n: int) -> np.ndarray:
+    """Place of the first largest of value[i : i + n] for each i."""
+    best, size = np.arange(len(value)), 1
+    while size < n:
+        step = min(size, n - size)
+        a, b = best[:-step], best[step:]
+        best = np.where(value[b] > value[a], b, a)
+        size += step
+    return best
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -170,10 +188,9 @@ def windows(docs: DataFrame) -> DataFrame:
     """A row per anchored window of (doc, text)."""
 
     def emit(words: Words, batch):
-        at = words.anchors()
+        at, doc = words.anchors()
         if not len(at):
             return None
-        doc = words.doc[np.searchsorted(words.first, at, side="right") - 1]
         small = [at - words.doc_word[doc], words.start[at] - words.origin[doc], words.end[at + WINDOW - 1] - words.origin[doc]]
         return [signed(words.chained(at, WINDOW)), batch.column("doc").take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in small)]
 

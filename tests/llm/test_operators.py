@@ -256,3 +256,31 @@ def test_passages(spark, odd):
     assert any(r.doc_id == 3 and r.kind == "passage" and r.component_id == 0 and 120 <= r.first_word and r.first_word + r.words <= 180 for r in rows)
     assert {r.doc_id for r in rows} == {0, 1, 2, 3}
     assert passages.repeated(odd).where("kind = 'paragraph'").count() == 0 and passages.repeated(odd.limit(0)).count() == 0
+
+
+def grams(words):
+    return {tuple(words[i : i + passages.WINDOW]) for i in range(len(words) - passages.WINDOW + 1)}
+
+
+def test_passages_over_lines(spark):
+    """Shared runs of LONG words or more, wrapped anyhow, against brute force; no word of a row lies outside a shared window."""
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    wrapped = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    shared = [some(n) for n in [50, 51, 60, 80, 200] * 20] + [["la", "li", "lu"] * 20, ["la"] * 60]
+    texts = [None, ""]
+    for k, passage in enumerate(shared):
+        texts += [wrapped(some(k % 9) + passage + some(k % 7), 3 + k % 20), wrapped(some(k % 40) + passage, 30)]
+    rows = passages.repeated(docs_of(spark, texts)).where("kind = 'passage'").collect()
+    words = [(t or "").split() for t in texts]
+    for i, text in enumerate(texts):
+        own = [r for r in rows if r.doc_id == i]
+        common = grams(words[i]) & set().union(*(grams(w) for j, w in enumerate(words) if j != i))
+        inside = {p + q for p in range(len(words[i])) if tuple(words[i][p : p + passages.WINDOW]) in common for q in range(passages.WINDOW)}
+        found = {p for r in own for p in range(r.first_word, r.first_word + r.words)}
+        assert found <= inside
+        assert all((text.encode()[r.start : r.end].decode()).split() == words[i][r.first_word : r.first_word + r.words] for r in own)
+        run = 0
+        for p in range(len(words[i])):
+            run = run + 1 if p in inside else 0
+            assert run < passages.LONG or found & set(range(p - passages.LONG + 1, p + 1)), (i, p)
