@@ -10,8 +10,9 @@ are the classes.
 A passage may also be copied into the middle of a paragraph, run over several lines or be wrapped differently. Whole texts are therefore
 read at anchors as well, line breaks being white space like any other: words whose three-word hash is the largest within REACH words to
 either side, or the largest of any SPAN hashes in a row. Both depend on the words around only, so equal stretches have equal anchors, and every
-stretch of LONG words has one whose window lies inside it. The WINDOW words from an anchor that occur in two documents are repeated;
-overlapping windows of a document are merged.
+stretch of LONG words has one whose window lies inside it. The WINDOW words from an anchor that occur in two documents are repeated; the
+document with the smallest id that has a window owns it. Overlapping windows of one owner are merged. Where windows of several owners overlap in the
+document that owns one of them, the owned one stays whole: the rows of the others end where it begins and go on where it ends.
 
 Every result row is an occurrence of a passage that two or more documents have. The document with the smallest id keeps it.
 
@@ -294,12 +295,26 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     stored = cut_lineage(windows(own), "windows")
     shared = stored.groupBy("hash").agg(F.min("doc").alias("component_id"), F.max("doc").alias("last")).where("component_id <> last").drop("last")
     seen = stored.join(shared, "hash").drop("hash")
+    # Windows are equally long: only the nearest own window to either side can take words off another owner's, at one end each.
     along = Window.partitionBy("doc").orderBy("first_word")
-    apart = F.col("first_word") > F.lag("first_word").over(along) + WINDOW
-    merged = seen.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("run", F.sum("new").over(along))
-    inside = merged.groupBy("doc", "run").agg(
-        F.min("first_word").alias("first_word"), (F.max("first_word") - F.min("first_word") + WINDOW).alias("words"),
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"),
+    own_window = F.when(F.col("doc") == F.col("component_id"), F.struct("first_word", "start", "end"))
+    seen = seen.withColumn("own", own_window).withColumn("to", F.col("first_word") + WINDOW)
+    seen = seen.withColumn("before", F.last("own", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("after", F.first("own", True).over(along.rowsBetween(0, Window.unboundedFollowing)))
+    cut_start = F.col("own").isNull() & (F.col("before.first_word") + WINDOW > F.col("first_word"))
+    cut_end = F.col("own").isNull() & (F.col("after.first_word") < F.col("to"))
+    left = seen.select(
+        "doc", "component_id",
+        F.when(cut_start, F.col("before.first_word") + WINDOW).otherwise(F.col("first_word")).alias("first_word"),
+        F.when(cut_end, F.col("after.first_word")).otherwise(F.col("to")).alias("to"),
+        F.when(cut_start, F.col("before.end")).otherwise(F.col("start")).alias("start"),
+        F.when(cut_end, F.col("after.start")).otherwise(F.col("end")).alias("end"),
+    ).where("first_word < to")
+    along = Window.partitionBy("doc", "component_id").orderBy("first_word", "to")
+    apart = F.col("first_word") > F.lag("to").over(along)
+    merged = left.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = merged.groupBy("doc", "component_id", "run").agg(
+        F.min("first_word").alias("first_word"), (F.max("to") - F.min("first_word")).alias("words"), F.min("start").alias("start"), F.max("end").alias("end"),
     )
     inside = inside.select("doc", F.lit("passage").alias("kind"), "first_word", "words", "start", "end", "component_id", F.lit(2).cast("long").alias("documents"))
     return lines.union(inside).withColumn("kept", F.col("doc") == F.col("component_id")).withColumnRenamed("doc", doc_id)

@@ -284,3 +284,29 @@ def test_passages_over_lines(spark):
         for p in range(len(words[i])):
             run = run + 1 if p in inside else 0
             assert run < passages.LONG or found & set(range(p - passages.LONG + 1, p + 1)), (i, p)
+
+
+def test_passages_of_several_owners(spark):
+    """X P Y in documents 10 and 20, P in 3: no shared stretch is marked for removal in its smallest document."""
+    rng = random.Random(13)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    sizes = [(60, 60, 60), (40, 20, 80), (50, 30, 50), (100, 200, 100)]
+    texts = {}
+    for k, (x, p, y) in enumerate(sizes):
+        x, p, y = some(x), some(p), some(y)
+        texts |= {100 * k + 3: [*some(30), *p, *some(30)], 100 * k + 10: [*some(7), *x, *p, *y], 100 * k + 20: [*x, *p, *y, *some(9)]}
+    frame = spark.createDataFrame([(i, "\n".join([" ".join(w[:90]), " ".join(w[90:])])) for i, w in texts.items()], "doc_id long, text string")
+    rows = passages.repeated(frame).where("kind = 'passage'").collect()
+    assert all(r.kept == (r.doc_id == r.component_id) and r.words > 0 for r in rows)
+    owners = {r.doc_id % 100: {s.component_id % 100 for s in rows if s.doc_id % 100 == r.doc_id % 100} for r in rows}
+    assert owners == {3: {3}, 10: {3, 10}, 20: {3, 10}}
+    covered = {(i, kept): {p for r in rows if (r.doc_id, r.kept) == (i, kept) for p in range(r.first_word, r.first_word + r.words)} for i in texts for kept in (True, False)}
+    for i, words in texts.items():
+        assert not covered[i, True] & covered[i, False]
+        text = "\n".join([" ".join(words[:90]), " ".join(words[90:])])
+        assert all(text[r.start : r.end].split() == words[r.first_word : r.first_word + r.words] for r in rows if r.doc_id == i)
+    for k, (x, p, y) in enumerate(sizes):
+        first, second, third = ({kept: covered[100 * k + i, kept] for kept in (True, False)} for i in (3, 10, 20))
+        alone = {*range(7, 7 + x), *range(7 + x + p, 7 + x + p + y)}
+        assert first[True] and not first[False] and not third[True]
+        assert second[True] & set(range(7, 7 + x)) and second[True] & set(range(7 + x + p, 7 + x + p + y)) and not second[False] & alone
