@@ -125,29 +125,41 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fingerprint in 16 hexadecimal digits, component_id: the smallest id among all that links reach)."""
-    own = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    rows = cut_lineage(with_fingerprints(own, "text", shingle, "fp").select("doc", "fp"), "fingerprints")
+def _classes(docs: DataFrame, radius: int, shingle: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, key: hash of the text, fp) of each row, and (fp, root, component_id) of each distinct fingerprint; the root tells components apart."""
+    own = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    rows = cut_lineage(with_fingerprints(own, "text", shingle, "fp").select("doc", "key", "fp"), "fingerprints")
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc").alias("first")), "prints")
     roots = cut_lineage(components.connected(links(prints, radius)), "roots")
     member = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = prints.join(member, prints.fp == member.node).select("fp", "root", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("component"))
-    named = linked.join(lowest, "root").select("fp", "component")
-    classes = prints.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    named = linked.join(lowest, "root").select("fp", "root", "component")
+    classes = prints.join(named, "fp", "left")
+    return rows, classes.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fingerprint in 16 hexadecimal digits, component_id: the smallest id among all that links reach)."""
+    rows, classes = _classes(docs, radius, shingle, doc_id, text)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(classes, "fp").select(F.col("doc").alias(doc_id), hexed, "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group; a repeated row is kept once.
+    """One row of each component: the one with the smallest id, and among texts under one id that of the smallest hash.
 
-    A row without id is kept only where no member of its component has one.
+    A row without id is kept only where no member of its component has one. Rows of different components are kept also under one id, or without.
     """
-    found = near_duplicates(docs, radius, shingle, doc_id, text)
-    kept = cut_lineage(found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("kept_id")), "kept")
-    repeated = kept.groupBy("kept_id").count().where("count > 1").limit(1).count()
-    # The list of kept ids grows with the documents: one plan for every size, none that depends on its being small.
-    rows = docs.join(kept.hint("merge"), docs[doc_id].eqNullSafe(kept.kept_id), "left_semi")
-    return rows.dropDuplicates([doc_id]) if repeated else rows
+    rows, classes = _classes(docs, radius, shingle, doc_id, text)
+    best = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "key", "n")).alias("best")
+    lowest = rows.groupBy("fp", "doc", "key").agg(F.count("*").alias("n")).groupBy("fp").agg(best)
+    lowest = lowest.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = cut_lineage(lowest.select(F.col("best.doc").alias("kept_id"), F.col("best.key").alias("kept_key"), F.col("best.n").alias("n")), "kept")
+    repeated = kept.where("n > 1").limit(1).count()
+    # The list of kept rows grows with the documents: one plan for every size, none that depends on its being small.
+    same = docs[doc_id].eqNullSafe(kept.kept_id) & (F.xxhash64(docs[text]) == kept.kept_key)
+    found = docs.join(kept.hint("merge"), same, "left_semi")
+    if not repeated:
+        return found
+    return found.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("key")).dropDuplicates(["id", "key"]).select("row.*")

@@ -56,6 +56,15 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_survivors(spark):
+    """One row per component, also where ids are null or repeated."""
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (None, d), (9, c), (8, e), (5, e), (2, f), (None, "")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (5, e), (2, f), (None, "")], kept.schema).collect()))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3), (200, 100)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
