@@ -2,8 +2,10 @@
 
 Features are hashed n-grams of one to three characters of the lower-cased whole text, runs of non-letters being one blank. Document
 frequencies count every learnable document, on the executors. The classifier is trained by follow-the-regularised-leader
-(FTRL-proximal with L1 and L2 penalties) on a sample of at most about `sample_rows` learnable documents, drawn by a hash of the id; a fifth
-of the sample only sets the temperature that calibrates the scores. Every document is scored in Arrow batches.
+(FTRL-proximal with L1 and L2 penalties) on a sample drawn by a hash of the id: about `sample_rows` learnable documents of all, but of each
+language about LEAST_ROWS, or all it has if fewer. The languages are those of all learnable documents, so the sample holds about
+`sample_rows` + LEAST_ROWS x languages rows at most. A fifth of it only sets the temperature that calibrates the scores; a language that
+has no row in the other four is learned from that fifth. Every document is scored in Arrow batches.
 
 Defined results: null text and text without a letter are `und` with score 0; with no learnable document at all, everything is `und`;
 with one language, every text with letters has it, with score 1; equal scores go to the first language in code point order; a null id
@@ -12,6 +14,7 @@ is not learned from and not held out; other columns are kept, and those named li
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -25,6 +28,8 @@ from prosopon.llm.common import map_batches, steps
 BITS = 15
 LENGTHS = (1, 2, 3)
 SAMPLE_ROWS = 4000
+#: Rows to draw of a language that has less than its share of the sample.
+LEAST_ROWS = 50
 UNKNOWN = "und"
 #: Any word character that is not a digit or underscore; checked again with isalpha, which a few numerals fail.
 LETTER = re.compile(r"[^\W\d_]")
@@ -150,11 +155,18 @@ def document_frequencies(docs: DataFrame, bits: int = BITS) -> np.ndarray:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
     """The model from the rows of `docs` where `learn` holds and text and language are given."""
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    total = rows.count()
+    draw = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.min(draw).alias("lowest")).collect()
+    total = sum(r.n for r in sizes)
     if not total:
         return Model([], np.zeros((1, 0)), np.zeros(0))
-    draw = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(draw < sample_rows / total).select(text, F.col(lang).alias("lang"), F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(5)).alias("fold"), F.xxhash64(doc_id).alias("place"))
+    languages = sorted(r.lang for r in sizes)
+    # Whatever the hashes, the row of the lowest one is drawn.
+    limits = [(r.lang, max(sample_rows / total, LEAST_ROWS / r.n, math.nextafter(r.lowest, 2.0))) for r in sizes]
+    limits = docs.sparkSession.createDataFrame(limits, "limit_lang string, draw_limit double")
+    part, place = F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(5)), F.xxhash64(doc_id)
+    sample = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), part.alias("fold"), place.alias("place"), draw.alias("draw"))
+    sample = sample.join(limits, (F.col("lang") == F.col("limit_lang")) & (F.col("draw") < F.col("draw_limit"))).select("text", "lang", "fold", "place")
 
     def features(batches):
         for batch in batches:
@@ -164,7 +176,6 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fold"), batch.column("place"), pa.array(at, kind), pa.array(counts, kind)], names=["lang", "fold", "place", "at", "counts"])
 
     drawn = sample.mapInArrow(features, "lang string, fold bigint, place bigint, at array<int>, counts array<int>").toArrow().sort_by("place")
-    languages = sorted(set(drawn.column("lang").to_pylist()))
     seen = document_frequencies(rows.select(text), bits)
     model = Model(languages, np.zeros(((1 << bits) + 1, len(languages))), np.log((1 + total) / (1 + seen)) + 1)
     if len(languages) > 1:
@@ -172,7 +183,8 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
         for place in range(drawn.num_rows):
             at, counts = (drawn.column(c)[place].values.to_numpy() for c in ("at", "counts"))
             data.append((at, model.vector(at, counts), languages.index(drawn.column("lang")[place].as_py()), drawn.column("fold")[place].as_py()))
-        model.weights = ftrl([d[:3] for d in data if d[3]] or [d[:3] for d in data], 1 << bits, len(languages))
+        learned = {d[2] for d in data if d[3]}
+        model.weights = ftrl([d[:3] for d in data if d[3] or d[2] not in learned], 1 << bits, len(languages))
         rest = [d for d in data if not d[3]]
         scores = np.array([x @ model.weights[at] + model.weights[-1] for at, x, _, _ in rest]).reshape(-1, len(languages))
         model.temperature = calibrated(scores, np.array([d[2] for d in rest], int))

@@ -319,3 +319,15 @@ def test_passages_of_several_owners(spark):
         alone = {*range(7, 7 + x), *range(7 + x + p, 7 + x + p + y)}
         assert first[True] and not first[False] and not third[True]
         assert second[True] & set(range(7, 7 + x)) and second[True] & set(range(7 + x + p, 7 + x + p + y)) and not second[False] & alone
+
+
+def test_rare_languages_are_learned(spark):
+    """Every language of the learnable rows is in the model and learned from, however small its share of the rows."""
+    rng = random.Random(4)
+    said = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(20))
+    rows = [("xx", "abcdefgh")] * 1500 + [("yy", "ijklmnop")] * 1500 + [("el", "αβγδεζηθ")] * 30 + [(f"z{k}", chr(0x400 + k) + chr(0x500 + k)) for k in range(8)]
+    frame = spark.createDataFrame([(i, said(letters), lang) for i, (lang, letters) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(frame, F.lit(True), sample_rows=40)
+    assert model.languages == sorted({lang for lang, _ in rows})
+    assert all((model.weights[:-1, k] > 0).any() for k in range(len(model.languages)))
+    assert [model.predict(said(letters))[0] for letters in ("abcdefgh", "ijklmnop", "αβγδεζηθ")] == ["xx", "yy", "el"]
