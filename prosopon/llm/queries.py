@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosopon.llm import ann, chat, decontaminate, langid, mixing, passages, pii, sharding, simhash, toxicity
+from prosopon.llm import alignment, ann, chat, decontaminate, langid, mixing, passages, pii, quality, repair, sharding, simhash, toxicity
 from prosopon.llm.common import table
 from prosopon.plans.catalog import registrar
 
@@ -136,5 +136,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query()
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality.score(docs, labels, langid.fold(F.col("doc_id"), 4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {name: run for name, (run, _) in CATALOG.items()}
 ORACLES = {name: sql for name, (_, sql) in CATALOG.items() if sql is not None}
