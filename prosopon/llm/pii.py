@@ -9,13 +9,16 @@ get equal pseudonyms in all documents, however they are punctuated, and differen
 | kind | valid if | kept |
 |---|---|---|
 | card | 13 to 19 digits with a right Luhn digit | length, separators; the check digit is made right again |
-| iban | 15 to 34 characters with a right ISO 7064 remainder | country, length, letters stay letters; check digits made right again |
-| phone | + and 8 to 15 digits, or ten digits as (ddd) ddd-dddd | leading +1, number of digits, separators |
+| iban | its country's number of characters, 8 digits at least, a right ISO 7064 remainder | country, length, case, letters stay letters; check digits made right again |
+| phone | + and 8 to 15 digits, or ten digits as (ddd) ddd-dddd, ddd-ddd-dddd or ddd.ddd.dddd | leading +1, number of digits, separators |
 | ssn | ddd-dd-dddd | separators |
 | ip | four numbers up to 255 | being an address |
 | date | a day of the calendar as yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy (dd/mm/yyyy where only that is a day) | being a date, its form |
 | email | local part of up to 64 characters, at a domain | domain, punctuation, letters and digits in place |
 
+An IBAN ends where its country's length is reached, whatever words or digits follow, and a phone number ends before a date. Domains of addresses
+stay in clear text.
+
 Defined results: null text stays null with 0 replacements, empty text stays empty; everything that is not valid is left as it is; whole texts are
 read; repeated rows get equal results; other columns are kept, and those named like a result column are replaced.
 """
@@ -33,12 +36,39 @@ ROUNDS = 10
 CYCLE, CYCLE_DAYS, CYCLE_PARTS = "1700-01-01", 146097, (189, 773)
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/]|\.\d)"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def iban_pattern() -> str:
+    """An alternative per length, so that each candidate ends where its country's IBANs end."""
+    countries: dict[int, list[str]] = {}
+    for country, length in sorted(IBAN_LENGTHS.items()):
+        countries.setdefault(length, []).append(country)
+    ways = (rf"(?:{'|'.join(names)}|{'|'.join(names).lower()})\d{{2}}(?: ?[A-Za-z0-9]){{{length - 4}}}" for length, names in countries.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{2}}\d{{2}})(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+
+
+IBAN = iban_pattern()
+DATE_FORMS = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
+DATE = rf"(?<![\d.\-/])(?:{DATE_FORMS})(?![\d\-/]|\.\d)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
-SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?:\+1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]?\d{4}(?!\d)|\+\d(?:[ .\-]?\(?\d\)?){7,14}(?!\d)"
-CARD = r"(?<![\d\-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5})(?![\d\-])"
+#: No digit, and no digit behind a hyphen, on either side: a hyphen alone is punctuation.
+ALONE, SO_ALONE = r"(?<!\d)(?<!\d-)", r"(?!-?\d)"
+SSN = rf"{ALONE}\d{{3}}-\d{{2}}-\d{{4}}{SO_ALONE}"
+PHONE = (
+    r"(?:\+1[ .\-]?)?\(\d{3}\) ?\d{3}[ .\-]?\d{4}(?!\d)"
+    rf"|\+\d(?:(?![ .\-]?(?:{DATE_FORMS})(?!\d))[ .\-]?\(?\d\)?){{7,14}}(?!\d)"
+    rf"|{ALONE}(?<!\.)(?:\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}){SO_ALONE}(?!\.\d)"
+)
+CARD = rf"{ALONE}(?:\d{{13,19}}|\d{{4}} \d{{4}} \d{{4}} \d{{4}}|\d{{4}}-\d{{4}}-\d{{4}}-\d{{4}}|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}}){SO_ALONE}"
 #: In order of preference where several could start at one place.
 PATTERNS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD}
 #: A character that every candidate has; most texts fail this quick test.
@@ -131,9 +161,15 @@ def iban(text: Column, key: str) -> Column:
         return bind(body, lambda b: F.concat(country, F.lpad((98 - remainder(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
 
     def valid(plain: Column) -> Column:
-        return F.length(plain).between(15, 34) & (remainder(F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))) == 1)
+        right = remainder(F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))) == 1
+        return (F.length(F.regexp_replace(plain, "[^0-9]", "")) >= 8) & right
+
+    def as_found(made: Column) -> Column:
+        """Letters in the case of `text`; a value and its pseudonym do not depend on it."""
+        plain = F.replace(text, F.lit(" "), F.lit(""))
+        return F.array_join(F.zip_with(chars(made), chars(plain), lambda m, c: F.when(c.between("a", "z"), F.lower(m)).otherwise(m)), "")
 
-    return bind(F.replace(text, F.lit(" "), F.lit("")), lambda p: F.when(valid(p), filled(text, "[A-Z0-9]", new(p))))
+    return bind(F.upper(F.replace(text, F.lit(" "), F.lit(""))), lambda p: F.when(valid(p), filled(text, "[A-Za-z0-9]", as_found(new(p)))))
 
 
 def phone(text: Column, key: str) -> Column:
