@@ -1,8 +1,7 @@
 """Nationality by dictionary: the demonym that appears first wins, the longest one at equal position.
 
-A longest-first alternation finds exactly that in one pass over the text, and the country follows from a
-literal map, so no join is needed. A dictionary of more than ALTERNATIVES forms becomes several alternations, all of them applied, of whose
-finds the first and longest counts. The dictionary itself lies on the driver; `operators.enrich.with_mention` searches for one that does not.
+For a list of forms that is part of the program, a longest-first alternation finds exactly that in one pass over the text, and the country follows
+from a literal map. A dictionary table of any size is joined instead (`operators.enrich.with_origin`).
 """
 
 from __future__ import annotations
@@ -10,20 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosopon.functions import text as t
 
-#: Forms in one alternation.
-ALTERNATIVES = 2000
-
-
-def load_forms(demonyms: DataFrame) -> list[tuple[str, str]]:
-    """(demonym, country) pairs of UN members in dictionary order, feminine before masculine form."""
-    members = demonyms.where(F.col("un_member") & (F.coalesce(F.col("demonym"), F.lit("")) != ""))
-    return [(r.demonym, r.country) for r in members.orderBy("ordinal", "form").select("demonym", "country").collect()]
-
 
 def alternation(words: Sequence[str]) -> str:
     ordered = sorted(set(words), key=lambda w: (-len(w), w))
@@ -31,17 +21,7 @@ def alternation(words: Sequence[str]) -> str:
     return f"(?=[{heads}])(?:{'|'.join(re.escape(w) for w in ordered)})"
 
 
-def first_form(text: Column, forms: Sequence[str], alternatives: int = ALTERNATIVES) -> Column:
-    """The form that occurs first, the longest at equal position; empty where none occurs."""
-    parts = [alternation(forms[i : i + alternatives]) for i in range(0, len(forms), alternatives)]
-    if len(parts) == 1:
-        return F.regexp_extract(text, parts[0], 0)
-    found = F.filter(F.array(*[F.regexp_extract(text, p, 0) for p in parts]), lambda w: w != "")
-    placed = F.transform(found, lambda w: F.struct(F.instr(text, w).alias("at"), (-F.length(w)).alias("size"), w.alias("word")))
-    return F.coalesce(F.array_min(placed)["word"], F.lit(""))
-
-
-def nationality(text: Column, forms: Sequence[tuple[str, str]], alternatives: int = ALTERNATIVES) -> Column:
+def nationality(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
     """struct(nationality as written, country); both NULL when no demonym occurs."""
     countries: dict[str, str] = {}
     for demonym, country in forms:
@@ -49,7 +29,7 @@ def nationality(text: Column, forms: Sequence[tuple[str, str]], alternatives: in
     if not countries:
         return F.struct(F.lit(None).cast("string").alias("nationality"), F.lit(None).cast("string").alias("country"))
     lookup = F.create_map(*[F.lit(x) for pair in countries.items() for x in pair])
-    matched = t.bind(text, lambda s: F.struct(s.alias("text"), first_form(s, list(countries), alternatives).alias("found")))
+    matched = t.bind(text, lambda s: F.struct(s.alias("text"), F.regexp_extract(s, alternation(list(countries)), 0).alias("found")))
     return t.bind(
         matched,
         lambda m: F.struct(

@@ -6,24 +6,21 @@ carry no broadcast hint: Spark broadcasts by measured size and splits skewed par
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
-import ahocorasick
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from prosopon.functions import citations
 from prosopon.functions import text as t
-from prosopon.functions.nationality import as_written, load_forms, nationality
+from prosopon.functions.nationality import as_written, nationality
 from prosopon.profile import Profile
 from prosopon.session import cut_lineage
 
-#: Bytes of dictionary that one task holds as an automaton.
-BLOCK_BYTES = 8_000_000
-MENTION = "term string, at int, ordinal bigint, value string"
+#: Letters of a term by which texts are searched for it first.
+HEAD = 4
 # Fixed value: prefix of test identifiers.
 SANDBOX_PREFIX = "10.5072/"
 # Order in which override images are looked for.
@@ -73,84 +70,66 @@ def with_identifiers(entries: DataFrame, identifiers: DataFrame, sandbox: DataFr
     )
 
 
-def _blocks(terms: DataFrame, limit: int) -> Iterator[dict[str, tuple[int, str | None]]]:
-    """{term: (ordinal, value)} in blocks of about `limit` bytes, the first ordinal of repeated terms; at least one block."""
-    block: dict[str, tuple[int, str | None]] = {}
-    held = 0
-    for row in terms.where(t.or_empty(F.col("term")) != "").groupBy("term").agg(F.min_by(F.struct("ordinal", "value"), "ordinal").alias("v")).toLocalIterator():
-        if held > limit:
-            yield block
-            block, held = {}, 0
-        block[row.term] = (row.v.ordinal, row.v.value)
-        held += len(row.term) + len(row.v.value or "")
-    yield block
-
-
-def _first_mentions(words: dict[str, tuple[int, str | None]], column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ahocorasick.Automaton()
-        for word, (ordinal, value) in words.items():
-            found.add_word(word, (word, ordinal, value))
-        found.make_automaton()
-        longest = max(map(len, words), default=0)
-
-        def first(text: str | None) -> dict | None:
-            best = None
-            for end, (word, ordinal, value) in found.iter(text) if text and words else ():
-                if best is not None and end - longest + 1 > best[0]:
-                    break  # nothing that ends here can begin earlier
-                place = (end - len(word) + 1, -len(word))
-                if best is None or place < best[:2]:
-                    best = (*place, word, ordinal, value)
-            return best and {"term": best[2], "at": best[0] + 1, "ordinal": best[3], "value": best[4]}
-
-        kind = pa.struct([("term", pa.string()), ("at", pa.int32()), ("ordinal", pa.int64()), ("value", pa.string())])
-        for batch in batches:
-            hits = pa.array([first(x.as_py()) for x in batch.column(column)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, "mention"])
-
-    return work
-
-
-def with_mention(texts: DataFrame, text_column: str, terms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`texts` with `mention`, the first dictionary term of each: earliest position, then longest, then dictionary order; NULL for none.
-
-    `terms` is (ordinal, term) or (ordinal, term, value). An automaton finds all terms in one pass over each text, without a shuffle, and stops
-    where no earlier one can follow. A dictionary of any size is broadcast in blocks of `block_bytes`; the texts pass every block, and
-    the result is written between blocks.
+def _in_class(letters: list[str]) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]"
+
+
+def first_mentions(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame) -> DataFrame:
+    """(id, term, ordinal, value) of the texts in which a term occurs: earliest position, then longest, then dictionary order. Ids are unique.
+
+    `terms` is (ordinal, term) or (ordinal, term, value), of any size. Its beginnings of up to HEAD letters are a table of their own, with the lengths
+    that terms of that beginning have. A text gives its different stretches that start with a term's first letter, as long as the longest term, in order of
+    appearance; those whose beginning the table knows are cut to its lengths and met with the terms. Both joins are on equal strings. The
+    driver gets the first letters and two numbers. A text's candidates are reduced to the best before they are shuffled.
     """
     valued = terms if "value" in terms.columns else terms.withColumn("value", F.lit(None).cast("string"))
-    result, rank = None, F.struct(F.col("mention.at"), -F.length("mention.term"), F.col("mention.ordinal"))
-    earlier = F.struct(F.col("best.at"), -F.length("best.term"), F.col("best.ordinal"))
-    for words in _blocks(valued, block_bytes):
-        before = texts if result is None else cut_lineage(result.withColumnRenamed("mention", "best"), "mentions")
-        schema = StructType([*before.schema, StructField("mention", StructType.fromDDL(MENTION))])
-        found = before.mapInArrow(_first_mentions(words, text_column), schema)
-        if result is not None:
-            better = F.col("mention").isNotNull() & (F.col("best").isNull() | (rank < earlier))
-            found = found.withColumn("mention", F.when(better, F.col("mention")).otherwise(F.col("best"))).drop("best")
-        result = found
-    return result
-
-
-def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, term, at, ordinal) of the texts in which a term occurs; see `with_mention`."""
-    found = with_mention(texts.select(id_column, text_column), text_column, terms, block_bytes)
-    return found.where(F.col("mention").isNotNull()).select(id_column, "mention.term", "mention.at", "mention.ordinal")
-
-
-def nationalities(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame) -> DataFrame:
-    """(id, nationality, country) of each text, NULL where no demonym occurs: alternations over forms on the driver."""
-    origin = nationality(F.col(text_column), load_forms(demonyms))
+    words = valued.where(t.or_empty(F.col("term")) != "").groupBy("term").agg(F.min_by(F.struct("ordinal", "value"), "ordinal").alias("v"))
+    words = cut_lineage(words.select("term", "v.ordinal", "v.value", F.substring("term", 1, HEAD).alias("head")), "terms")
+    bounds = words.agg(F.max(F.length("term")).alias("longest"), F.collect_set(F.length("head")).alias("levels"), F.collect_set(F.substring("term", 1, 1)).alias("letters")).first()
+    if not bounds.letters:
+        return texts.select(F.col(id_column), F.lit("").alias("term"), F.lit(0).alias("ordinal"), F.lit("").alias("value")).limit(0)
+    starts = rf"(?s)(?=({_in_class(sorted(bounds.letters))}.{{0,{bounds.longest - 1}}}))"
+    stretches = F.array_distinct(F.regexp_extract_all(F.col(text_column), F.lit(starts), F.lit(1)))
+    begun = texts.select(F.col(id_column).alias("id"), F.posexplode(stretches).alias("nth", "rest"))
+    levels = F.explode(F.array_distinct(F.array(*[F.substring("rest", 1, n) for n in sorted(bounds.levels)]))).alias("begin")
+    heads = words.groupBy("head").agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))
+    met = begun.select("id", "nth", "rest", levels).join(heads, F.col("begin") == F.col("head")).where(F.col("rest").isNotNull())
+    cut = met.select("id", "nth", F.explode("lengths").alias("n"), "rest").where(F.length("rest") >= F.col("n"))
+    seen = cut.groupBy("id", F.expr("substring(rest, 1, n)").alias("word")).agg(F.min("nth").alias("nth"))
+    hits = seen.join(words.drop("head"), F.col("word") == F.col("term"))
+    best = hits.groupBy("id").agg(F.min_by(F.struct("term", "ordinal", "value"), F.struct("nth", -F.length("term"), "ordinal")).alias("m"))
+    return best.select(F.col("id").alias(id_column), "m.term", "m.ordinal", "m.value")
+
+
+def earliest_mention(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame) -> DataFrame:
+    """(id, term, at, ordinal) of the texts in which a term occurs; see `first_mentions`."""
+    found = first_mentions(texts, id_column, text_column, terms).select(F.col(id_column).alias("_id"), "term", "ordinal")
+    met = found.join(texts.select(id_column, text_column), F.col("_id") == F.col(id_column))
+    return met.select(id_column, "term", F.instr(text_column, F.col("term")).alias("at"), "ordinal")
+
+
+def demonym_terms(demonyms: DataFrame) -> DataFrame:
+    """Terms (ordinal, term, value) out of a table of demonyms: UN members, feminine before masculine form."""
+    members = demonyms.where(F.col("un_member"))
+    return members.select((F.col("ordinal") * 2 + (F.col("form") == "m").cast("int")).alias("ordinal"), F.col("demonym").alias("term"), F.col("country").alias("value"))
+
+
+def with_origin(table: DataFrame, id_column: str, text_column: str, demonyms: DataFrame) -> DataFrame:
+    """`table` with `origin`, struct(nationality as written, country), by a dictionary table of any size; both NULL where no demonym occurs."""
+    found = first_mentions(table, id_column, text_column, demonym_terms(demonyms)).select(F.col(id_column).alias("_id"), F.col("term").alias("_term"), F.col("value").alias("_value"))
+    origin = F.struct(as_written(F.col(text_column), F.col("_term")).alias("nationality"), F.col("_value").alias("country"))
+    return table.join(found, F.col(id_column) == F.col("_id"), "left").withColumn("origin", origin).drop("_id", "_term", "_value")
+
+
+def nationalities(texts: DataFrame, id_column: str, text_column: str, forms: Sequence[tuple[str, str]]) -> DataFrame:
+    """(id, nationality, country) of each text, NULL where no demonym occurs, by a short list of (demonym, country): one alternation, no join."""
+    origin = nationality(F.col(text_column), forms)
     return texts.select(id_column, origin.alias("o")).select(id_column, "o.nationality", "o.country")
 
 
-def nationalities_by_mention(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The same rows by `with_mention`, for dictionaries that do not fit on the driver."""
-    members = demonyms.where(F.col("un_member"))
-    words = members.select((F.col("ordinal") * 2 + (F.col("form") == "m").cast("int")).alias("ordinal"), F.col("demonym").alias("term"), F.col("country").alias("value"))
-    found = with_mention(texts.select(id_column, text_column), text_column, words, block_bytes)
-    return found.select(id_column, as_written(F.col(text_column), F.col("mention.term")).alias("nationality"), F.col("mention.value").alias("country"))
+def nationalities_by_join(texts: DataFrame, id_column: str, text_column: str, demonyms: DataFrame) -> DataFrame:
+    """The same rows from a dictionary table of any size."""
+    return with_origin(texts.select(id_column, text_column), id_column, text_column, demonyms).select(id_column, "origin.nationality", "origin.country")
 
 
 def with_images(entries: DataFrame, images: DataFrame, key: str = "slug") -> DataFrame:
@@ -190,17 +169,14 @@ def link_audit(links: DataFrame, probes: DataFrame) -> DataFrame:
 
     `links` is (entry, full_text, link); `probes` is (href, method, http_status, failed), latest result each.
     """
-    def verdict(method: str) -> DataFrame:
-        answer = F.when(~F.col("failed"), citations.http_verdict(F.col("http_status")))
-        return probes.where(F.col("method") == method).select(F.col("href").alias("_href"), answer.alias(f"_{method.lower()}"))
-
+    answer = F.when(~F.col("failed"), citations.http_verdict(F.col("http_status")))
+    verdicts = probes.groupBy(F.col("href").alias("_href")).agg(*[F.max(F.when(F.col("method") == m, answer)).alias(f"_{m.lower()}") for m in ("HEAD", "GET")])
     # Entries without a link get a key of their own, so that they do not all meet in one partition.
     own = F.concat(F.lit("\0"), F.col("entry"))
     audited = links.withColumn(
         "_href", F.when(t.or_empty(F.col("link")) == "", own).otherwise(t.decode_ampersand(F.col("link")))
     )
-    for method in ("HEAD", "GET"):
-        audited = audited.join(verdict(method), "_href", "left")
+    audited = audited.join(verdicts, "_href", "left")
     status = F.when(t.or_empty(F.col("link")) == "", "no link").otherwise(F.coalesce("_head", "_get", F.lit("ERROR")))
     return audited.withColumn("status", status).drop("_href", "_head", "_get")
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from prosopon.functions import citations, markup, names, nationality, roles
 from prosopon.functions import diagnostics as dia
 from prosopon.functions import text as t
+from prosopon.operators import enrich
 from prosopon.operators import segments as seg
 from prosopon.profile import Profile
+from prosopon.session import cut_lineage
 from prosopon.sources import schemas
 
 SOURCE_TEXT = r"(?i)Source:" + t.WS + r"*(.+)"
@@ -151,13 +153,18 @@ def _diagnostics() -> Column:
     )
 
 
-def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, str]], carried: Sequence[str] = ()) -> DataFrame:
+def extract_all(docs: DataFrame, profile: Profile, forms: Sequence[tuple[str, str]] | DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """`doc_id, blocks, attachments[, ...]` → one bio per document, with the columns named in `carried`.
 
-    An undecodable document keeps its row: no values, one diagnostic.
+    `forms` is a short list of (demonym, country), or a table of demonyms of any size: then the documents are written once and joined with what the
+    dictionary finds in their summaries. An undecodable document keeps its row: no values, one diagnostic.
     """
     readable = docs if "problem" in docs.columns else docs.withColumn("problem", F.lit(None).cast("string"))
-    staged = vitals(sections(labelled_fields(anchors(readable, profile), profile), profile), forms)
+    listed = not isinstance(forms, DataFrame)
+    staged = vitals(sections(labelled_fields(anchors(readable, profile), profile), profile), forms if listed else ())
+    if not listed:
+        stored = cut_lineage(staged.withColumn("_row", F.monotonically_increasing_id()), "staged")
+        staged = enrich.with_origin(stored.drop("origin"), "_row", "summary", forms).drop("_row")
     staged = staged.withColumns({"attachment": seg.first_attachment(F.col("attachments")), "rendered": rendered(profile)})
     unreadable = dia.collect(dia.report("document_unreadable", F.col("problem").isNotNull()))
     return staged.select(

@@ -118,14 +118,26 @@ def grid(bios: DataFrame, query: str = "", column_id: str = "fullName", descendi
     )
 
 
-def query_listing(bios: DataFrame, q: str = "", sort: str = "fullName:asc", view: str = "list") -> DataFrame:
-    """The listing as a page shows it: filtered, sorted, as `list` or `grid`."""
+def matching(bios: DataFrame, q: str, sort: str, view: str) -> tuple[DataFrame, list[Column]]:
+    """The rows that a page shows, and their order."""
     if view not in VIEWS:
         raise ValueError(f"view must be one of {VIEWS}")
     column, descending = parse_sort(sort)
     rows = grid(bios, q, column, descending) if view == "grid" else fuzzy_filter(listing(bios), q)
+    return rows, sort_order(column, descending)
+
+
+def query_listing(bios: DataFrame, q: str = "", sort: str = "fullName:asc", view: str = "list") -> DataFrame:
+    """The listing as a page shows it: filtered, sorted, as `list` or `grid`."""
+    rows, order = matching(bios, q, sort, view)
     # A global sort samples its input first; on the written rows that costs a scan and not a second extraction.
-    return cut_lineage(rows, "listing").orderBy(*sort_order(column, descending))
+    return cut_lineage(rows, "listing").orderBy(*order)
+
+
+def query_positions(bios: DataFrame, q: str = "", sort: str = "fullName:asc", view: str = "list") -> DataFrame:
+    """The same rows with their `position`, for tables that are stored or paged: the rows are written once and not sorted themselves."""
+    rows, order = matching(bios, q, sort, view)
+    return ordering.with_position(rows, order)
 
 
 def first_rows(rows: DataFrame, column_id: str = "fullName", descending: bool = False) -> DataFrame:

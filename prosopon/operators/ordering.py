@@ -1,8 +1,8 @@
 """Positions and runs over a total order, without one task seeing all rows.
 
-Rows are range-partitioned on the whole order (unique tie-breakers included, so that one hot sort value is
-still spread), written once, and numbered inside their range. Only one row per range — never more than the
-number of partitions — goes through the final step that adds up the offsets.
+The rows are written once. Only their order keys are range-partitioned (unique tie-breakers included, so that one hot sort value is
+still spread), sorted and numbered; the rows then join their places. Of every range one row, never more than the number of partitions,
+goes through the final step that adds up the offsets.
 """
 
 from __future__ import annotations
@@ -15,36 +15,35 @@ from prosopon.session import cut_lineage
 PART_BITS = 33
 
 
-def sorted_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """`df` with `_seq`, ascending along the order, and `_part`, the range a row lies in.
+def sorted_keys(df: DataFrame, order: list[Column], *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, keys): `df` written once with `_row`, and per row `_row`, `_seq` ascending along the order, its range `_part` and place `_at` there, and `carried`.
 
-    The number of ranges is Spark's (`spark.sql.shuffle.partitions`, merged by size at run time). The result is a written table: `_seq` must not change when a lost task is repeated. The input is written
-    first as well, since range bounds are found by sampling, which would run all the work above a second time.
+    The number of ranges is Spark's (`spark.sql.shuffle.partitions`, merged by size at run time). Both are written tables: the numbers must not change
+    when a lost task is repeated, and range bounds, which are found by sampling, must not run all the work above a second time.
     """
-    placed = cut_lineage(df, "unsorted").repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = cut_lineage(placed.withColumn("_seq", F.monotonically_increasing_id()), "ranges")
-    return stored.withColumn("_part", F.shiftright("_seq", PART_BITS))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "unsorted")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", *carried, F.monotonically_increasing_id().alias("_seq"))
+    keys = cut_lineage(placed, "ranges")
+    return rows, keys.withColumn("_part", F.shiftright("_seq", PART_BITS)).withColumn("_at", F.col("_seq").bitwiseAND((1 << PART_BITS) - 1))
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """1-based position in the total order."""
-    ranges = sorted_ranges(df, order)
+    rows, keys = sorted_keys(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_rows"))
+    sizes = keys.groupBy("_part").agg(F.count("*").alias("_rows"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    in_range = F.col("_seq").bitwiseAND((1 << PART_BITS) - 1)
-    return (
-        ranges.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + in_range + 1)
-        .drop("_seq", "_part", "_offset")
-    )
+    places = keys.join(F.broadcast(offsets), "_part").select("_row", (F.col("_offset") + F.col("_at") + 1).alias(name))
+    return rows.join(places, "_row").drop("_row")
 
 
-def with_runs(df: DataFrame, order: list[Column], key: str) -> DataFrame:
-    """`position`, `run` (number of the stretch of rows with the same key) and `continuation` (not its first row)."""
-    ranges = sorted_ranges(df, order)
+def run_numbers(df: DataFrame, order: list[Column], key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, places): `df` written with `_row`, and per row `_row`, `position`, `run` (number of the stretch of rows with the same key) and
+    `continuation` (not its first row). Where a stretch goes on in the next range, the range before hands its last key over.
+    """
+    rows, keys = sorted_keys(df, order, key)
     along = Window.partitionBy("_part").orderBy("_seq")
-    local = ranges.withColumn("_previous", F.lag(key).over(along)).withColumn(
+    local = keys.withColumn("_previous", F.lag(key).over(along)).withColumn(
         "_starts", F.sum(F.when(F.col("_previous") == F.col(key), 0).otherwise(1)).over(along)
     )
     edges = local.groupBy("_part").agg(
@@ -65,17 +64,32 @@ def with_runs(df: DataFrame, order: list[Column], key: str) -> DataFrame:
             - F.col("_joins").cast("int")
         ).alias("_run_offset"),
     )
-    in_range = F.col("_seq").bitwiseAND((1 << PART_BITS) - 1)
-    return (
-        local.join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_row_offset") + in_range + 1)
-        .withColumn("run", F.col("_run_offset") + F.col("_starts"))
-        .withColumn(
-            "continuation",
-            F.when(in_range == 0, F.col("_joins")).otherwise(F.coalesce(F.col("_previous") == F.col(key), F.lit(False))),
-        )
-        .drop("_seq", "_part", "_previous", "_starts", "_joins", "_row_offset", "_run_offset")
+    continues = F.when(F.col("_at") == 0, F.col("_joins")).otherwise(F.coalesce(F.col("_previous") == F.col(key), F.lit(False)))
+    places = local.join(F.broadcast(offsets), "_part").select(
+        "_row",
+        (F.col("_row_offset") + F.col("_at") + 1).alias("position"),
+        (F.col("_run_offset") + F.col("_starts")).alias("run"),
+        continues.alias("continuation"),
     )
+    return rows, places
+
+
+def with_runs(df: DataFrame, order: list[Column], key: str) -> DataFrame:
+    """`position`, `run` and `continuation` (see `run_numbers`) of every row."""
+    rows, places = run_numbers(df, order, key)
+    return rows.join(places, "_row").drop("_row")
+
+
+def nth_per_key(df: DataFrame, key: str, order: list[Column], wanted: str) -> DataFrame:
+    """Of each key the row that is number `wanted` (a column, from 1) in `order`, which is unique within the key; no row where there are fewer.
+
+    The first `wanted` rows are cut out per key and part of its rows, then per key: a key with very many rows is spread over as many tasks as the
+    session has shuffle partitions, and only what can still be the wanted row meets in one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    some = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_nth") <= F.col(wanted))
+    return some.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_nth") == F.col(wanted)).drop("_nth", "_part")
 
 
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:

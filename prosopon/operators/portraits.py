@@ -23,23 +23,15 @@ def subject_faces(boxes: DataFrame, overrides: DataFrame) -> DataFrame:
     """One face per image: the n-th from the left when an override asks for it and it exists, else the largest.
 
     `boxes` is (image_id, pos, x, y, width, height, ...) with `pos` in detection order, `overrides` (image_id,
-    subject). The largest face is an aggregate of one struct per image. Places from the left are only worked
-    out for images with an override, over ranges of the whole order, so no image has to fit one task.
+    subject). The largest face is an aggregate of one struct per image; the n-th from the left is cut out per part of an image's
+    boxes first (`ordering.nth_per_key`), so no image has to fit one task.
     """
     box = F.struct(*[c for c in boxes.columns if c != "image_id"])
     largest = boxes.groupBy("image_id").agg(
         F.max_by(box, F.struct(F.col("width") * F.col("height"), -F.col("pos"))).alias("_largest")
     )
     asked = boxes.join(overrides, "image_id")
-    placed = ordering.with_position(
-        asked, [F.col("image_id"), F.col("x") + F.col("width") / 2, F.col("pos")], "_position"
-    )
-    first = placed.groupBy("image_id").agg(F.min("_position").alias("_first"))
-    chosen = (
-        placed.join(first, "image_id")
-        .where(F.col("_position") - F.col("_first") + 1 == F.col("subject"))
-        .select("image_id", box.alias("_chosen"))
-    )
+    chosen = ordering.nth_per_key(asked, "image_id", [F.col("x") + F.col("width") / 2, F.col("pos")], "subject").select("image_id", box.alias("_chosen"))
     return (
         largest.join(chosen, "image_id", "left")
         .withColumn("_face", F.coalesce("_chosen", "_largest"))

@@ -9,6 +9,7 @@ from prosopon.functions import citations, fingerprints, metadata, names
 from prosopon.functions import diagnostics as dia
 from prosopon.operators import ordering
 from prosopon.profile import Profile
+from prosopon.session import cut_lineage
 
 ACTIONS = ("create", "newversion", "skip")
 
@@ -156,16 +157,14 @@ def sync(current: DataFrame, store: DataFrame, key: str = "id", digest: str = "d
 def version_history(snapshots: DataFrame, key: str, order: list[str], digest: str) -> DataFrame:
     """A version row per change of the digest along time, numbered per entry.
 
-    The rows are ordered by range over (entry, time), so an entry with very many snapshots is spread over
-    tasks; only the change points are numbered per entry afterwards.
+    Only entries, times and digests are ordered, by range, so an entry with very many snapshots is spread over tasks; neighbouring ranges hand their
+    last digest over. What the change points carry besides joins them afterwards.
     """
     marked = snapshots.withColumn("_both", F.concat_ws("\0", F.col(key).cast("string"), F.col(digest)))
-    runs = ordering.with_runs(marked, [F.col(key), *map(F.col, order)], "_both")
-    changes = runs.where(~F.col("continuation")).drop("_both", "continuation", "position")
+    rows, places = ordering.run_numbers(marked, [F.col(key), *map(F.col, order)], "_both")
+    changes = rows.join(places.where(~F.col("continuation")).select("_row", "run"), "_row").drop("_row", "_both")
     first = changes.groupBy(key).agg(F.min("run").alias("_first_run"))
-    return (
-        changes.join(first, key).withColumn("version_number", F.col("run") - F.col("_first_run") + 1).drop("run", "_first_run")
-    )
+    return changes.join(first, key).withColumn("version_number", F.col("run") - F.col("_first_run") + 1).drop("run", "_first_run")
 
 
 def set_fingerprint(files: DataFrame, group: list[str], path: Column, content: Column) -> DataFrame:
@@ -183,3 +182,45 @@ def set_fingerprint(files: DataFrame, group: list[str], path: Column, content: C
     summed = files.groupBy(*group).agg(F.count("*").alias("files"), *lanes)
     joined = F.concat_ws(":", "files", *[F.col(f"_l{i}").cast("string") for i in range(3)])
     return summed.select(*group, "files", F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
+
+
+#: Children of a node of a fingerprint tree.
+FANOUT = 64
+
+
+def fingerprint_tree(files: DataFrame, group: list[str], path: Column, content: Column, fanout: int = FANOUT) -> DataFrame:
+    """(group, level, node, digest): fingerprints of a set of files of any size in the order of their paths, per group.
+
+    Level 0 has a digest per file, `sha256(path NUL content NUL)`, numbered along the paths (and digests, where a path comes twice); a node of a higher
+    level has the digest of its up to `fanout` children, one after another. The last level has one node, at level 1 at least. Files are hashed where they lie;
+    paths are ordered by range, and a task sees `fanout` digests of a node at most. A file that changes changes one node of each level.
+    """
+    leaves = files.select(*group, path.alias("_path"), F.sha2(F.concat(path, F.lit("\0"), content, F.lit("\0")), 256).alias("digest"))
+    placed = ordering.with_position(leaves, [*map(F.col, group), F.col("_path"), F.col("digest")], "_at")
+    first = placed.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("_at").alias("_first"), F.count("*").alias("_files"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    rows = placed.join(first, same) if group else placed.crossJoin(F.broadcast(first))
+    level = cut_lineage(rows.select(*group, "_files", F.lit(0).alias("level"), (F.col("_at") - F.col("_first")).alias("node"), "digest"), "leaves")
+    tree, number = level.select(*group, "level", "node", "digest"), 0
+    while number == 0 or not level.isEmpty():
+        number += 1
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: c["digest"]), "")
+        parents = level.groupBy(*group, "_files", F.floor(F.col("node") / fanout).cast("bigint").alias("parent")).agg(F.sha2(children, 256).alias("digest"))
+        level = cut_lineage(parents.select(*group, "_files", F.lit(number).alias("level"), F.col("parent").alias("node"), "digest"), "nodes")
+        tree = tree.unionByName(level.select(*group, "level", "node", "digest"))
+        level = level.where(F.col("_files") > fanout**number)  # the others have reached their root
+    return tree
+
+
+def ordered_fingerprint(tree: DataFrame, group: list[str]) -> DataFrame:
+    """(group, files, fingerprint): number of files and the root's first 16 hex digits of each tree."""
+    root = F.substring(F.max_by("digest", "level"), 1, 16)
+    return tree.groupBy(*group).agg(F.count_if(F.col("level") == 0).alias("files"), root.alias("fingerprint"))
+
+
+def changed_nodes(before: DataFrame, after: DataFrame, group: list[str]) -> DataFrame:
+    """(group, level, node): nodes of two trees that are not the same in both."""
+    keys = [*group, "level", "node"]
+    old = before.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("digest").alias("_digest"))
+    met = after.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "full")
+    return met.where(~F.col("digest").eqNullSafe(F.col("_digest"))).select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys])

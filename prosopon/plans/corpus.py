@@ -41,7 +41,7 @@ _PIECES = (
 @query(f"WITH {_PIECES} SELECT doc_id, idx, CASE tag WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list' ELSE 'heading' END AS kind, text FROM read")
 def html_blocks(spark, sf_dir):
     """Web pages as paragraph, heading and list blocks."""
-    docs = corpus.from_html(synth.read(spark, sf_dir, "pages"), "page_id", "html")
+    docs = corpus.from_html(synth.read(spark, sf_dir, "pages"), "page_id", "html", synth.tasks(spark))
     return corpus.blocks_table(docs).select("doc_id", "idx", "kind", "text")
 
 
@@ -58,7 +58,7 @@ def _as_docx(batches):
 )
 def word_file_blocks(spark, sf_dir):
     """Every document written as a Word file and read back through the decoder."""
-    files = synth.read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_as_docx, "doc_id string, content binary")
+    files = synth.read(spark, sf_dir, "documents").select("doc_id", "text").repartition(synth.tasks(spark)).mapInPandas(_as_docx, "doc_id string, content binary")
     return corpus.blocks_table(docx.decode(files)).select("doc_id", "idx", "kind", "text")
 
 
@@ -187,7 +187,7 @@ _ANCHOR = "replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N} _-]', '', '
 )
 def heading_anchors(spark, sf_dir):
     """Unique anchors for the headings and list entries of each page."""
-    docs = corpus.from_html(synth.read(spark, sf_dir, "pages"), "page_id", "html")
+    docs = corpus.from_html(synth.read(spark, sf_dir, "pages"), "page_id", "html", synth.tasks(spark))
     return corpus.heading_anchors(docs, ("heading", "list"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosopon.functions import citations, nationality
-from prosopon.operators import enrich
+from prosopon.operators import enrich, extract
 from prosopon.plans import oracle, synth
 from prosopon.plans.catalog import registrar
 from prosopon.plans.synth import PROFILE
@@ -96,7 +96,7 @@ _SPOTS = " UNION ALL ".join(
     f"SELECT doc_id, term, spot, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot, len(term) DESC, ordinal) AS n FROM ({_SPOTS}) WHERE spot > 0) WHERE n = 1"
 )
 def earliest_terms(spark, sf_dir):
-    """First dictionary term in each whole document: earliest, then longest, by an automaton over a dictionary table."""
+    """First dictionary term in each whole document: earliest, then longest, by joins with a dictionary table."""
     terms = spark.createDataFrame([(i, w) for i, w in enumerate(_TERMS)], "ordinal int, term string")
     return enrich.earliest_mention(synth.read(spark, sf_dir, "documents"), "doc_id", "text", terms).select("doc_id", "term", F.col("at").alias("spot"), F.col("ordinal").cast("int").alias("ordinal"))
 
@@ -154,16 +154,39 @@ def active_images(spark, sf_dir):
 
 @query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
 def nationalities_by_join(spark, sf_dir):
-    """Nationalities from the dictionary table by an automaton, as for a dictionary that does not fit on the driver."""
+    """Nationality of each summary by a dictionary table, joined."""
     summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
-    return enrich.nationalities_by_mention(summaries, "doc_id", "summary", synth.demonyms(spark))
+    return enrich.nationalities_by_join(summaries, "doc_id", "summary", synth.demonyms(spark))
 
 
 @query(oracle.people("SELECT doc_id, nationality, country FROM fields"))
 def nationalities_by_dictionary(spark, sf_dir):
-    """The same from the dictionary table through alternations."""
+    """Nationality of each summary by a short list of forms."""
     summaries = synth.bios(spark, sf_dir).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
-    return enrich.nationalities(summaries, "doc_id", "summary", synth.demonyms(spark))
+    return enrich.nationalities(summaries, "doc_id", "summary", synth.FORMS)
+
+
+@query(oracle.people("SELECT doc_id, last_name, nationality, country FROM fields"))
+def biographies_by_dictionary(spark, sf_dir):
+    """The whole extraction with a dictionary table in place of a list."""
+    bios = extract.extract_all(synth.documents(spark, sf_dir), PROFILE, synth.demonyms(spark))
+    return bios.select("doc_id", "last_name", "nationality", "country")
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey, l_linenumber, p_name || ' ' || p_partkey AS term FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    "SELECT l_orderkey, term FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, term || '-') AS n FROM t) WHERE n = 1"
+)
+def part_mentions(spark, sf_dir):
+    """The first part that each order's text names, out of a dictionary of three terms per part, many of which begin alike."""
+    part = synth.read(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    spelled = F.explode(F.array(name, F.upper(name), F.concat(F.lit("No. "), name))).alias("term")
+    terms = part.select(F.col("p_partkey").alias("ordinal"), spelled)
+    lines = synth.read(spark, sf_dir, "lineitem").join(part.select("p_partkey", name.alias("name")), F.col("l_partkey") == F.col("p_partkey"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("got "), "name", F.lit("-"), F.col("l_quantity").cast("string")).alias("said"))))
+    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["said"]), "; ").alias("text"))
+    return enrich.first_mentions(texts, "l_orderkey", "text", terms).select("l_orderkey", "term")
 
 
 def probes(spark, sf_dir):

@@ -107,8 +107,7 @@ def listing_first_rows(spark, sf_dir):
 )
 def listing_query(spark, sf_dir):
     """Search text, sort spec and list view together."""
-    rows = listing.query_listing(synth.bios(spark, sf_dir), q="sg", sort="nationality:desc")
-    return ordering.with_position(rows, listing.sort_order("nationality", True))
+    return listing.query_positions(synth.bios(spark, sf_dir), q="sg", sort="nationality:desc")
 
 
 @query(oracle.people(f"SELECT {ALL} FROM listing ORDER BY {SORT_NAME}, slug, role_index LIMIT 25"))
@@ -158,5 +157,5 @@ def title_search(spark, sf_dir):
 )
 def document_ranks(spark, sf_dir):
     """How the whole texts of the corpus rank against a query, by language and source."""
-    docs = synth.read(spark, sf_dir, "documents")
+    docs = synth.read(spark, sf_dir, "documents").select("lang", "source", "text").repartition(synth.tasks(spark))
     return docs.groupBy("lang", "source", search.rank(F.col("text"), "license").alias("rank")).agg(F.count("*").alias("documents"))

@@ -52,6 +52,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many partitions heavy work on few files is dealt into: as many as the session shuffles with."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def people(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """One row per customer with the facts the documents are written from; `customers` may be a stream."""
     day = F.col("o_orderdate")

@@ -389,6 +389,47 @@ def corpus_fingerprints(spark, sf_dir):
     return versioning.set_fingerprint(synth.read(spark, sf_dir, "documents"), ["lang", "source"], path, F.col("text"))
 
 
+def _level(number: int) -> str:
+    below, node = ("leaves", "spot") if number == 1 else (f"l{number - 1}", "node")
+    return f"l{number} AS (SELECT lang, {node} // 64 AS node, sha256(string_agg(digest, '' ORDER BY {node})) AS digest FROM {below} GROUP BY ALL)"
+
+
+_TREE = (
+    "leaves AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY 'doc/' || doc_id) - 1 AS spot, sha256('doc/' || doc_id || chr(0) || {text} || chr(0)) AS digest "
+    "FROM documents LEFT JOIN labels USING (doc_id)), " + ", ".join(map(_level, range(1, 6))) + ", sizes AS (SELECT lang, count(*) AS files FROM leaves GROUP BY lang), "
+    "nodes AS (" + " UNION ALL ".join(["SELECT lang, 0 AS level, spot AS node, digest FROM leaves"] + [
+        f"SELECT lang, {n}, l{n}.node, digest FROM l{n} JOIN sizes USING (lang)" + (f" WHERE files > {64 ** (n - 1)}" if n > 1 else "") for n in range(1, 6)
+    ]) + ")"
+)
+_PLAIN_TREE = _TREE.format(text="text")
+
+
+def document_tree(spark, sf_dir, revised=False):
+    docs = synth.read(spark, sf_dir, "documents")
+    text = F.col("text")
+    if revised:
+        docs = docs.join(synth.read(spark, sf_dir, "labels"), "doc_id", "left")
+        text = F.when(F.col("toxic") == 1, F.concat(text, F.lit("!"))).otherwise(text)
+    return versioning.fingerprint_tree(docs, ["lang"], F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), text)
+
+
+@query(f"WITH {_PLAIN_TREE} SELECT lang, files, substr(max_by(digest, level), 1, 16) AS fingerprint FROM nodes JOIN sizes USING (lang) GROUP BY lang, files")
+def ordered_fingerprints(spark, sf_dir):
+    """One fingerprint per language over whole texts in the order of their paths."""
+    return versioning.ordered_fingerprint(document_tree(spark, sf_dir), ["lang"])
+
+
+@query(
+    "WITH leaves AS (SELECT lang, coalesce(toxic, 0) = 1 AS edited, row_number() OVER (PARTITION BY lang ORDER BY 'doc/' || doc_id) - 1 AS spot, count(*) OVER (PARTITION BY lang) AS files "
+    "FROM documents LEFT JOIN labels USING (doc_id)), levels AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS level FROM leaves WHERE edited) "
+    "SELECT lang, level, count(DISTINCT spot // (64 ** level)::BIGINT) AS nodes FROM levels WHERE level < 2 OR files > 64 ** (level - 1) GROUP BY lang, level"
+)
+def changed_fingerprints(spark, sf_dir):
+    """Nodes of each language's tree that are new once the toxic texts are edited: one per level above each of them."""
+    changed = versioning.changed_nodes(document_tree(spark, sf_dir), document_tree(spark, sf_dir, revised=True), ["lang"])
+    return changed.groupBy("lang", "level").agg(F.count("*").alias("nodes"))
+
+
 @query(
     "SELECT doc_id, substr(sha256('lang' || chr(0) || lang || chr(0) || 'source' || chr(0) || source || chr(0) || 'text' || chr(0) || text || chr(0)), 1, 16) AS fingerprint FROM documents"
 )

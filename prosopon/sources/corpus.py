@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from prosopon.functions import markup
 from prosopon.functions import text as t
@@ -80,14 +84,21 @@ def _documents(df: DataFrame, id_column: str, blocks: Column) -> DataFrame:
     )
 
 
-def from_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One paragraph block per line."""
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """`df` in as many partitions as the caller asks for: few large files would otherwise be read, and worked on, by few tasks."""
+    return df if partitions is None else df.repartition(partitions)
+
+
+def from_text(df: DataFrame, id_column: str, text_column: str, partitions: int | None = None) -> DataFrame:
+    """One paragraph block per line; `partitions` deals the rows out anew first."""
+    df = dealt(df.select(id_column, text_column), partitions)
     lines = F.split(F.col(text_column), "\n")
     return _documents(df, id_column, F.transform(lines, lambda s: _plain_block(F.lit("paragraph"), F.lit(None), s)))
 
 
-def from_html(df: DataFrame, id_column: str, html_column: str) -> DataFrame:
-    """Paragraph, heading and list-item blocks in page order."""
+def from_html(df: DataFrame, id_column: str, html_column: str, partitions: int | None = None) -> DataFrame:
+    """Paragraph, heading and list-item blocks in page order; `partitions` deals the rows out anew first."""
+    df = dealt(df.select(id_column, html_column), partitions)
 
     def block(piece: Column) -> Column:
         tag = F.lower(F.regexp_extract(piece, r"^<([A-Za-z0-9]+)", 1))
@@ -113,18 +124,29 @@ def attachments_table(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "a.*")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def anchors(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Per page the anchors of its slugs, in one pass: a slug's next number is kept, numbers that another heading has taken are skipped."""
+
+    def of(slugs):
+        taken, following, found = set(), {}, []
+        for slug in slugs:
+            anchor = slug
+            while anchor in taken:
+                following[slug] = following.get(slug, 0) + 1
+                anchor = f"{slug}-{following[slug]}"
+            taken.add(anchor)
+            found.append(anchor)
+        return found
+
+    for series in pages:
+        yield series.map(of)
+
+
 def heading_anchors(documents: DataFrame, kinds: tuple[str, ...] = ("heading",)) -> DataFrame:
     """Anchor per heading: its slug, or the first of `-1`, `-2` ... that no earlier heading of the page has taken."""
     blocks = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("idx"), b["kind"].alias("kind"), b["text"].alias("text"))), lambda b: b["kind"].isin(list(kinds)))
-    named = F.transform(blocks, lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), t.slugify(b["text"]).alias("slug")))
-
-    def anchored(taken, h):
-        anchors = F.transform(taken, lambda x: x["anchor"])
-        numbered = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.concat(h["slug"], F.lit("-"), k.cast("string")))
-        free = F.get(F.filter(numbered, lambda x: ~F.array_contains(anchors, x)), F.lit(0))
-        anchor = F.when(F.array_contains(anchors, h["slug"]), free).otherwise(h["slug"])
-        return F.concat(taken, F.array(F.struct(h["idx"].alias("idx"), h["text"].alias("text"), anchor.alias("anchor"))))
-
-    none = F.array().cast("array<struct<idx:int,text:string,anchor:string>>")
-    rows = documents.select("doc_id", F.explode_outer(F.aggregate(named, none, anchored)).alias("h"))
-    return rows.where(F.col("h").isNotNull()).select("doc_id", "h.*")
+    named = documents.select("doc_id", blocks.alias("blocks")).where(F.size("blocks") > 0)
+    numbered = named.select("doc_id", "blocks", anchors(F.transform("blocks", lambda b: t.slugify(b["text"]))).alias("anchors"))
+    rows = numbered.select("doc_id", F.explode(F.arrays_zip("blocks", "anchors")).alias("h"))
+    return rows.select("doc_id", "h.blocks.idx", "h.blocks.text", F.col("h.anchors").alias("anchor"))

@@ -159,9 +159,10 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="content").join(parts)
 
 
-def decode(files: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, content) → documents; the columns named in `carried` come along."""
+def decode(files: DataFrame, carried: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """(doc_id, content) → documents; the columns named in `carried` come along; `partitions` deals the files out anew first."""
     kept = files.select("doc_id", *carried, "content")
+    kept = kept if partitions is None else kept.repartition(partitions)
     documents = StructType.fromDDL(schemas.DOCUMENTS).fields
     out = StructType([f for f in kept.schema.fields if f.name != "content"] + [f for f in documents if f.name != "doc_id"])
     return kept.mapInPandas(_decode_batches, out)

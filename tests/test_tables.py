@@ -97,20 +97,74 @@ def test_earliest_mention_matches_brute_force(spark):
     assert enrich.earliest_mention(spark.createDataFrame([(1, "a"), (2, None)], "id int, s string"), "id", "s", empty).count() == 0
 
 
-def test_dictionaries_in_parts_give_the_same_rows(spark):
-    texts = ["the German and Germany", "Dutch Germanic", "none", None, "xGer man Dutch", "Éa Ger Ge", ""]
-    words = ["German", "Germany", "Dutch", "Ger", "man", "Ge", "Ger"]
+def test_a_dictionary_table_gives_what_a_list_gives(spark):
+    texts = ["the German and Germany", "Dutch Germanic", "none", None, "xGer man Dutch", "Éa Ger Ge", "", "🙂German", "a\nGerm\nGermany"]
+    words = ["German", "Germany", "Dutch", "Ger", "man", "Ge", "Ger", "É", "🙂"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
-    terms = spark.createDataFrame(list(enumerate(words)), "ordinal int, term string")
-    whole, parted = (sorted(enrich.earliest_mention(docs, "id", "s", terms, n).collect()) for n in (1 << 20, 12))
-    assert whole == parted and len(whole) == 4
     forms = [(w, w.upper()) for w in words]
-    one, many = (docs.select("id", nationality.nationality(F.col("s"), forms, n).alias("o")).orderBy("id").collect() for n in (100, 2))
-    assert one == many and one[0].o.country == "GERMAN"
-    demonyms = spark.createDataFrame([(i, w.upper(), "f", w, True) for i, w in enumerate(words)], schemas.DEMONYMS)
-    by_list, by_automaton = (sorted(f(docs, "id", "s", demonyms).collect()) for f in (enrich.nationalities, enrich.nationalities_by_mention))
-    assert by_list == by_automaton
-    assert {r.nationality for r in enrich.nationalities_by_mention(docs, "id", "s", demonyms.limit(0)).collect()} == {None}
+    demonyms = spark.createDataFrame([(i, w.upper(), "f", w, True) for i, w in enumerate(words)] + [(99, "X", "f", "none", False), (98, "Y", "m", "", True), (97, "Z", "m", None, True)], schemas.DEMONYMS)
+    by_list = sorted(enrich.nationalities(docs, "id", "s", forms).collect())
+    assert by_list == sorted(enrich.nationalities_by_join(docs, "id", "s", demonyms).collect()) and by_list[0].country == "GERMAN"
+    assert {r.nationality for r in enrich.nationalities_by_join(docs, "id", "s", demonyms.limit(0)).collect()} == {None}
+
+
+def test_terms_that_begin_alike(spark):
+    """Many terms below one beginning, short and long ones, against a search for each."""
+    import random
+
+    rng = random.Random(3)
+    words = sorted({"ab" * rng.randrange(1, 4) + "".join(rng.choices("abc ", k=rng.randrange(0, 9))) for _ in range(300)})
+    texts = ["".join(rng.choices("abc ", k=rng.randrange(0, 60))) for _ in range(80)]
+    got = enrich.earliest_mention(spark.createDataFrame(list(enumerate(texts)), "id int, s string"), "id", "s", spark.createDataFrame(list(enumerate(words)), "ordinal int, term string"))
+    want = {i: min((s.index(w), -len(w), n, w) for n, w in enumerate(words) if w in s) for i, s in enumerate(texts) if any(w in s for w in words)}
+    assert {r.id: (r["at"] - 1, -len(r.term), r.ordinal, r.term) for r in got.collect()} == want
+
+
+def tree_by_hand(files, fanout):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    levels = [[sha(f"{p}\0{c}\0") for p, c in sorted(files)]]
+    while len(levels) == 1 or len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+    return {(n, i): d for n, level in enumerate(levels) for i, d in enumerate(level)}
+
+
+def test_fingerprint_tree(spark):
+    """Equals the definition, depends on the order of paths, and one changed file changes one node of each level."""
+    groups = {"a": [(f"p{i:03}", f"text {i}") for i in range(30)], "b": [("x", "y")], None: [("q", ""), ("r", "s")]}
+
+    def tree(contents):
+        rows = [(g, p, c) for g, files in contents.items() for p, c in files]
+        return versioning.fingerprint_tree(spark.createDataFrame(rows, "g string, path string, content string").repartition(3), ["g"], F.col("path"), F.col("content"), fanout=3)
+
+    before = tree(groups)
+    got = {}
+    for r in before.collect():
+        got.setdefault(r.g, {})[r.level, r.node] = r.digest
+    assert got == {g: tree_by_hand(files, 3) for g, files in groups.items()}
+    edited = groups | {"a": [(p, c + "!" if p == "p011" else c) for p, c in groups["a"]]}
+    assert sorted(map(tuple, versioning.changed_nodes(before, tree(edited), ["g"]).collect())) == [("a", 0, 11), ("a", 1, 3), ("a", 2, 1), ("a", 3, 0), ("a", 4, 0)]
+    swapped = groups | {"a": [(p, dict(groups["a"])[{"p001": "p002", "p002": "p001"}.get(p, p)]) for p, _ in groups["a"]]}
+    roots = [{r.g: r.fingerprint for r in versioning.ordered_fingerprint(t, ["g"]).collect()} for t in (before, tree(swapped))]
+    assert roots[0]["a"] != roots[1]["a"] and roots[0]["b"] == roots[1]["b"]
+    assert versioning.fingerprint_tree(spark.createDataFrame([], "path string, content string"), [], F.col("path"), F.col("content")).count() == 0
+
+
+def test_nth_row_of_a_hot_key(spark):
+    rows = [("hot" if i % 3 else f"k{i}", (i * 7919) % 5000, 100 if i % 3 else 1) for i in range(5000)]
+    got = ordering.nth_per_key(spark.createDataFrame(rows, "k string, v int, wanted int"), "k", [F.col("v")], "wanted").collect()
+    hot = sorted(v for k, v, _ in rows if k == "hot")
+    assert {r.k: r.v for r in got} == {"hot": hot[99]} | {k: v for k, v, _ in rows if k != "hot"}
+
+
+def test_many_equal_headings(spark):
+    from prosopon.sources import corpus
+
+    html = "".join("<h2>Same</h2>" for _ in range(1600)) + "<h2>Same 1</h2><h2>Same</h2>"
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    found = [r.anchor for r in corpus.heading_anchors(corpus.from_html(pages, "page_id", "html", 2)).orderBy("idx").collect()]
+    assert found == ["same", *(f"same-{i}" for i in range(1, 1600)), "same-1-1", "same-1600"]
 
 
 def test_sandbox_never_reaches_production(spark):
