@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosopon.functions import fingerprints
-from prosopon.operators import versioning
 from prosopon.operators.extract import extract_all
 from prosopon.plans import oracle, synth, versions
 from prosopon.plans.catalog import registrar
 from prosopon.session import new_folder
-from prosopon.streaming import ingest, store
+from prosopon.streaming import decide, ingest, store
 
 CATALOG, query = registrar()
 
@@ -28,20 +27,27 @@ _SESSIONS = (
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
-@query(
-    f"WITH {_SESSIONS} SELECT user_id, {_STAMP.format('started')} AS started, {_STAMP.format('ended')} AS ended, events FROM sessions "
-    "WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-)
+_BURSTS = f"WITH {_SESSIONS} SELECT user_id, {_STAMP.format('started')} AS started, {_STAMP.format('ended')} AS ended, events FROM sessions"
+
+
+@query(_BURSTS)
 def event_bursts(spark, sf_dir):
-    """Bursts of each user's events, written once the watermark has passed their end."""
+    """Bursts of each user's events, those included that are open when the events end."""
+    events = table_stream(spark, sf_dir, "events")
+    places = new_folder(spark, "bursts"), new_folder(spark, "bursts-checkpoint")
+    return _stamped(ingest.finished_bursts(events, "ts", "30 minutes", "user_id", watermark="1 hour", target=places[0], checkpoint=places[1]))
+
+
+@query(f"{_BURSTS} WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def closed_bursts(spark, sf_dir):
+    """Bursts that the watermark has passed while the stream goes on."""
     target = new_folder(spark, "bursts")
     stream = ingest.bursts(table_stream(spark, sf_dir, "events"), "ts", "30 minutes", "user_id", watermark="1 hour")
     ingest.write_available(stream, target, new_folder(spark, "bursts-checkpoint"))
-    done = spark.read.schema("user_id bigint, started timestamp, ended timestamp, events bigint").parquet(target)
-    return _stamped(done)
+    return _stamped(spark.read.schema(stream.schema).parquet(target))
 
 
-@query(f"WITH {_SESSIONS} SELECT user_id, {_STAMP.format('started')} AS started, {_STAMP.format('ended')} AS ended, events FROM sessions")
+@query(_BURSTS)
 def event_bursts_in_batch(spark, sf_dir):
     """The same definition over the finished table: every burst, none still open."""
     return _stamped(ingest.bursts(synth.read(spark, sf_dir, "events"), "ts", "30 minutes", "user_id", watermark="1 hour"))
@@ -114,15 +120,33 @@ def streamed_biographies(spark, sf_dir):
     "SELECT 'doc-' || d.doc_id AS slug, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 THEN 'newversion' ELSE 'skip' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
 def streamed_decisions(spark, sf_dir):
-    """Each arriving document decided against the persisted state; a second delivery decides nothing."""
+    """Each arriving document decided against the published state; a second delivery decides nothing."""
+    arrivals = _versions(table_stream(spark, sf_dir, "documents"), F.lit(""), 1)
+    found = decide.decisions(arrivals.unionByName(arrivals), versions.document_state(spark, sf_dir), synth.PROFILE)
     place = new_folder(spark, "decisions")
-    signature = fingerprints.sha(F.to_json(F.struct("text", "lang", "source")))
-    stream = table_stream(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), signature.alias("content_hash"))
+    decide.write_available(spark, found, place, new_folder(spark, "decisions-checkpoint"))
+    return decide.decided(spark, place).select("slug", "action")
+
+
+def _versions(docs, suffix, second):
+    """(slug, content_hash, at) of texts with a suffix, seen in a given second."""
+    signature = fingerprints.sha(F.to_json(F.struct(F.concat("text", suffix).alias("text"), "lang", "source")))
+    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), signature.alias("content_hash"), F.timestamp_seconds(F.lit(second)).alias("at"))
 
-    def plan(batch, state):
-        return versioning.version_plan(batch, state, synth.PROFILE).select("slug", "content_hash", "state_hash", "action")
 
-    write = ingest.decisions(lambda session: versions.document_state(session, sf_dir), plan, place)
-    for first in (0, 1_000_000):  # the same rows, in batches of other numbers
-        store.run_available(stream, lambda batch, number, first=first: write(batch, first + number), new_folder(spark, "decisions-checkpoint"))
-    return ingest.decided(spark, place).select("slug", "action")
+@query(
+    "WITH d AS (SELECT 'doc-' || d.doc_id AS slug, toxic, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 THEN 'newversion' ELSE 'skip' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) "
+    "SELECT slug, 1 AS second, action FROM d UNION ALL SELECT slug, unnest([3, 4]), 'newversion' FROM d WHERE toxic = 1"
+)
+def returning_decisions(spark, sf_dir):
+    """Texts that are edited and edited back are decided each time; redeliveries and versions that come too late are not. The query is stopped and goes on in between."""
+    docs, labels = (synth.read(spark, sf_dir, name) for name in ("documents", "labels"))
+    inbox, place, checkpoint = (new_folder(spark, name) for name in ("versions", "decisions", "decisions-checkpoint"))
+    toxic, poor = (docs.join(labels.where(f"{c} = {v}").select("doc_id"), "doc_id", "left_semi") for c, v in (("toxic", 1), ("quality", 0)))
+    first = _versions(docs, F.lit(""), 1)
+    later = _versions(toxic, F.lit("!"), 3).unionByName(_versions(toxic, F.lit(""), 4)).unionByName(_versions(poor, F.lit("?"), 0)).unionByName(first)
+    for delivery in (first, later):
+        delivery.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(first.schema).parquet(inbox)
+        decide.write_available(spark, decide.decisions(stream, versions.document_state(spark, sf_dir), synth.PROFILE), place, checkpoint)
+    return decide.decided(spark, place).select("slug", F.unix_seconds("at").cast("int").alias("second"), "action")

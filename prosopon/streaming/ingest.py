@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosopon.operators.extract import extract_all
 from prosopon.profile import Profile
-from prosopon.session import cut_lineage
+from prosopon.session import cut_lineage, new_folder
 from prosopon.sources import corpus, docx
 from prosopon.streaming import store
 
@@ -106,35 +106,28 @@ def first_deliveries(events: DataFrame, time: str, *keys: str, watermark: str) -
     return timed.dropDuplicatesWithinWatermark(list(keys)).drop("_time")
 
 
-DECISIONS = "slug string, content_hash string, state_hash string, action string, batch bigint"
+#: Time of the row that ends an input: later than any event.
+END = "9999-01-01 00:00:00"
 
 
-def decided(spark: SparkSession, target: str) -> DataFrame:
-    """All decisions so far, with their batch; no rows before the first batch."""
-    try:
-        return spark.read.schema(DECISIONS).option("basePath", target).parquet(f"{target}/batch=*")
-    except Exception as err:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        return spark.createDataFrame([], DECISIONS)
+def finished_bursts(events: DataFrame, time: str, gap: str, *keys: str, watermark: str, target: str, checkpoint: str) -> DataFrame:
+    """All bursts of a stream that ends, the ones still open at its end included, as a written table; see `bursts`.
 
-
-def decisions(state: Callable[[SparkSession], DataFrame], plan: Callable[[DataFrame, DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function that plans each batch against the persisted state and all earlier decisions.
-
-    `plan` returns slug, content_hash, state_hash and action. A slug and hash that an earlier batch has decided is left out, and a slug
-    decided before counts as published with that decision's hash. The batch folder is overwritten on a repeat.
+    Everything that is there now is worked off; then one row of a second source tells that nothing will follow, which moves the watermark
+    past every burst. The query stays restartable up to that row.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = decided(spark, target).where(F.col("batch") < batch_id)
-        fresh = batch.dropDuplicates(["slug", "content_hash"]).join(earlier, ["slug", "content_hash"], "left_anti")
-        latest = earlier.groupBy("slug").agg(F.max_by("state_hash", "batch").alias("content_hash"))
-        known = state(spark).select("slug", "content_hash").join(latest, "slug", "left_anti").unionByName(latest)
-        plan(fresh, known).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return write
+    spark = events.sparkSession
+    end = new_folder(spark, "end-of-input")
+    columns = events.select(F.col(time).cast("timestamp").alias(time), *keys)
+    nothing = spark.createDataFrame([], columns.schema)
+    nothing.write.parquet(end)
+    stream = columns.unionByName(spark.readStream.schema(columns.schema).parquet(end))
+    found = bursts(stream, time, gap, *keys, watermark=watermark)
+    write_available(found, target, checkpoint)
+    last = spark.range(1).select(F.lit(END).cast("timestamp").alias(time), *[F.lit(None).cast(columns.schema[k].dataType).alias(k) for k in keys])
+    last.write.mode("append").parquet(end)
+    write_available(found, target, checkpoint)
+    return spark.read.schema(found.schema).parquet(target).where(F.col("started") < F.lit(END).cast("timestamp"))
 
 
 def write_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:

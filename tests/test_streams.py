@@ -148,19 +148,31 @@ def test_two_streams_share_a_store(spark, tmp_path):
     assert [(r.id, r.digest) for r in store.current(spark, place).collect()] == [("a", "1")]
 
 
-def test_a_decision_is_made_once(spark, tmp_path):
-    from prosopon.streaming import ingest
-
-    place = str(tmp_path / "decided")
-    none = lambda session: session.createDataFrame([], "slug string, content_hash string")
-
-    def plan(batch, state):
-        known = state.select("slug", F.col("content_hash").alias("known"))
-        action = F.when(F.col("known").isNull(), "create").when(F.col("known") != F.col("content_hash"), "newversion").otherwise("skip")
-        return batch.join(known, "slug", "left").select("slug", "content_hash", F.col("content_hash").alias("state_hash"), action.alias("action"))
-
-    write = ingest.decisions(none, plan, place)
-    for number, rows in enumerate([[("a", "1")], [("a", "1"), ("b", "1"), ("b", "1")], [("a", "2"), ("b", "1")]]):
-        write(spark.createDataFrame(rows, "slug string, content_hash string"), number)
-    got = sorted((r.slug, r.content_hash, r.action) for r in ingest.decided(spark, place).collect())
-    assert got == [("a", "1", "create"), ("a", "2", "newversion"), ("b", "1", "create")]
+def test_decisions_follow_the_latest_version(spark, tmp_path):
+    """A, B, A are three decisions; redeliveries and late versions none; a stopped query goes on."""
+    from prosopon.functions import fingerprints
+    from prosopon.streaming import decide
+
+    schema = "slug string, content_hash string, at timestamp"
+    signature = fingerprints.state_hash(F.col("content_hash"), PROFILE.license, PROFILE.publication_type, PROFILE.render_version)
+    state = spark.createDataFrame([("p", "A"), ("q", "A")], "slug string, content_hash string").select("slug", signature.alias("content_hash"))
+    inbox, place, checkpoint = (str(tmp_path / n) for n in ("inbox", "place", "checkpoint"))
+    deliveries = [
+        [("n", "A", 1), ("p", "A", 1), ("q", "B", 1), ("n", "A", 1)],
+        [("n", "B", 3), ("n", "A", 2), ("q", "A", 5), ("p", "A", 9)],
+        [("n", "A", 4), ("n", "B", 2), ("q", "B", 4), ("p", "C", 8), ("p", "A", 9)],
+    ]
+    for rows in deliveries:
+        spark.createDataFrame([(s, h, i) for s, h, i in rows], "slug string, content_hash string, at int").withColumn("at", F.timestamp_seconds("at")).write.mode("append").parquet(inbox)
+        found = decide.decisions(spark.readStream.schema(schema).parquet(inbox), state, PROFILE)
+        decide.write_available(spark, found, place, checkpoint)
+    got = sorted((r.slug, r.second, r.content_hash, r.action) for r in decide.decided(spark, place).withColumn("second", F.unix_seconds("at")).collect())
+    assert got == [("n", 1, "A", "create"), ("n", 3, "B", "newversion"), ("n", 4, "A", "newversion"), ("p", 1, "A", "skip"), ("q", 1, "B", "newversion"), ("q", 5, "A", "newversion")]
+
+
+def test_bursts_open_at_the_end_come_out(spark, tmp_path):
+    events = spark.createDataFrame([(u, s) for u in (1, 2) for s in (0, 10, 100, 5000)], "user_id long, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    got = ingest.finished_bursts(stream, "ts", "60 seconds", "user_id", watermark="1 hour", target=str(tmp_path / "t"), checkpoint=str(tmp_path / "c"))
+    assert sorted((r.user_id, r.events) for r in got.collect()) == [(1, 1), (1, 1), (1, 2), (2, 1), (2, 1), (2, 2)]
