@@ -56,5 +56,32 @@ def rank(value: Column, query: str) -> Column:
     return bind(bind(folded, lambda p: F.struct(p.alias("plain"), F.lower(p).alias("low"))), ladder)
 
 
+def folded(value: Column) -> Column:
+    """struct(plain, low): a value without accents, as it is and in lower case; null is empty."""
+    return bind(fold_accents(F.coalesce(value, F.lit(""))), lambda p: F.struct(p.alias("plain"), F.lower(p).alias("low")))
+
+
+def rank_of(value: Column, query: Column) -> Column:
+    """The ladder of `rank` for two columns as `folded` makes them."""
+
+    def in_order(low: Column, letters: Column) -> Column:
+        def step(at: Column, letter: Column) -> Column:
+            found = F.call_function("locate", letter, low, at + 1)
+            return F.when((at < 0) | (found == 0), -1).otherwise(found)
+
+        return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0), step) > 0
+
+    low, asked = value["low"], query["low"]
+    steps = (
+        F.when(value["plain"] == query["plain"], 7)
+        .when(low == asked, 6)
+        .when(F.startswith(low, asked), 5)
+        .when(F.contains(low, F.concat(F.lit(" "), asked)), 4)
+        .when(F.contains(low, asked), 3)
+        .when((F.length(asked) > 1) & F.contains(acronym(low), asked), 2)
+    )
+    return steps.when((F.length(asked) > 1) & in_order(low, asked), 1).otherwise(0)
+
+
 def contains_ignoring_case(value: Column, query: str) -> Column:
     return F.contains(F.lower(F.coalesce(value, F.lit(""))), F.lit(query.lower()))

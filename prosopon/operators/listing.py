@@ -6,12 +6,12 @@ person in the current order) needs no grouping at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosopon.functions import names, roles, search
 from prosopon.functions import text as t
-from prosopon.operators import ordering
+from prosopon.operators import ordering, postings
 from prosopon.operators.extract import unnest
 from prosopon.session import cut_lineage
 
@@ -21,8 +21,6 @@ COLUMNS = {
     "year": "years", "nationality": "nationality",
 }
 VIEWS = ("list", "grid")
-#: Parts of the ids in which a query's hits are cut to k first.
-SEARCH_PARTS = 64
 
 
 def person_rows(bios: DataFrame) -> DataFrame:
@@ -153,17 +151,8 @@ def list_groups(rows: DataFrame, column_id: str = "fullName", descending: bool =
     return ordering.with_runs(rows, sort_order(column_id, descending), "slug")
 
 
-def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str], k: int) -> DataFrame:
-    """The k best matches of each query over a corpus, in one pass; `queries` is as long as a literal list may be.
-
-    Only id and rank of a match leave its row, and the text is joined to the k that are left. The first cut to k is made
-    per query and part of the ids (which must be unique), so that the hits of a query that matches the whole corpus meet in no single task, however large k is.
-    """
-    ranked = F.array(*[F.struct(F.lit(q).alias("query"), search.rank(F.col(text_column), q).alias("rank")) for q in queries])
-    hits = docs.select(id_column, F.explode_outer(F.filter(ranked, lambda x: x["rank"] > 0)).alias("hit")).where(F.col("hit").isNotNull())
-    hits = hits.select("hit.query", "hit.rank", id_column, F.pmod(F.xxhash64(id_column), F.lit(SEARCH_PARTS)).alias("part"))
-    order = (F.col("rank").desc(), F.col(id_column))
-    some = hits.withColumn("place", F.row_number().over(Window.partitionBy("query", "part").orderBy(*order))).where(F.col("place") <= k)
-    best = some.drop("part").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k)
-    found = best.withColumnRenamed(id_column, "found_id").join(docs.select(id_column, text_column), F.col("found_id") == F.col(id_column))
-    return found.select("query", "rank", id_column, text_column, "place")
+def batch_search(docs: DataFrame, id_column: str, text_column: str, queries: list[str] | DataFrame, k: int) -> DataFrame:
+    """The k best matches of each query, a list or a table (query), over a corpus with unique ids: by a table of postings (see `postings`)."""
+    asked = queries if isinstance(queries, DataFrame) else docs.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+    found = postings.find(postings.build(docs, id_column, text_column), asked, k)
+    return found.select("query", "rank", F.col("id").alias(id_column), F.col("text").alias(text_column), "place")

@@ -92,6 +92,17 @@ def nth_per_key(df: DataFrame, key: str, order: list[Column], wanted: str) -> Da
     return some.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_nth") == F.col(wanted)).drop("_nth", "_part")
 
 
+def first_per_key(df: DataFrame, key: str, order: list[Column], limit: int, name: str = "place") -> DataFrame:
+    """The first `limit` rows of each key in `order`, which is unique within the key, with their place from 1.
+
+    As in `nth_per_key`, a key's rows are cut down in as many parts as the session has shuffle partitions before they meet, however large `limit` is.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    some = dealt.withColumn(name, F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col(name) <= limit)
+    return some.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= limit).drop("_part")
+
+
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row per key and how many there were (`copies`).
 

@@ -58,3 +58,10 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def new_table(df: DataFrame, label: str, buckets: int, *by: str) -> DataFrame:
+    """Materialise `df` in the shared folder, bucketed and sorted by the columns `by`: a join or aggregation on them needs no shuffle of this side."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", new_folder(df.sparkSession, label)).saveAsTable(name)
+    return df.sparkSession.table(name)
