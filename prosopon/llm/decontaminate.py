@@ -59,6 +59,18 @@ class Suffixes:
         for row, (n, j, size) in enumerate(at):
             low[row, :size] = high[row, :size] = number[n][j : j + size]
         self.low, self.high = self._packed(low), self._packed(high)
+        self._once()
+
+    def _once(self) -> None:
+        """Windows that an item repeats are searched once, from the first place: else repetitive items and texts would multiply."""
+        order = np.lexsort([self.word, *self.low, self.item])
+        new = np.ones(len(order), bool)
+        new[1:] = self.item[order][1:] != self.item[order][:-1]
+        for key in self.low:
+            new[1:] |= key[order][1:] != key[order][:-1]
+        kept = np.sort(order[new])
+        self.item, self.word, self.length = self.item[kept], self.word[kept], self.length[kept]
+        self.low, self.high = ([key[kept] for key in keys] for keys in (self.low, self.high))
 
     def _packed(self, words: np.ndarray) -> list[np.ndarray]:
         keys = []
