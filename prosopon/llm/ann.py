@@ -39,7 +39,7 @@ def eligible(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     vector = F.col("vector")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = rows.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
-    return own.where(vector.isNotNull() & (F.size("vector") > 0)).where(finite).where(F.exists("vector", lambda x: x != 0)).dropDuplicates()
+    return own.where(vector.isNotNull() & (F.size("vector") > 0)).where(finite).where(F.exists("vector", lambda x: x != 0))
 
 
 class Shard:
@@ -121,7 +121,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def search(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest by inner product; `is_query` is a condition on the column `id`."""
-    data = cut_lineage(eligible(rows, vec_id, embedding).withColumn("row", F.xxhash64("id", "vector")).withColumn("size", F.size("vector")), "vectors")
+    data = cut_lineage(eligible(rows, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.size("vector")), "vectors")
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     groups = data.groupBy("size").agg(
         F.sqrt(F.max(square)).alias("norm"),
