@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,19 @@ STEP_BYTES = 2_000_000
 SPACE = r"\x20\x09-\x0D"
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """`value` broadcast; the function gives it back in a task. Its classes travel with it, so workers need no copy of this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

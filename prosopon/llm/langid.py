@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosopon.llm.common import map_batches, steps
+from prosopon.llm.common import map_batches, shared, steps
 
 BITS = 15
 LENGTHS = (1, 2, 3)
@@ -193,12 +193,12 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def work(batches):
         for batch in batches:
             column = batch.column(text)
-            found = [shared.value.predict(t) for a, b in steps(column) for t in column.slice(a, b - a).to_pylist()]
+            found = [held().predict(t) for a, b in steps(column) for t in column.slice(a, b - a).to_pylist()]
             yield batch, [[x[0] for x in found], [x[1] for x in found]]
 
     return map_batches(docs, work, "lang_pred string, score double")

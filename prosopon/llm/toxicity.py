@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosopon.llm.common import map_batches, steps
+from prosopon.llm.common import map_batches, shared, steps
 from prosopon.session import cut_lineage
 
 #: Word beginnings of these lengths are entries, beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Entries kept at most: those of the highest likelihood ratio. It bounds what is broadcast.
-LEXICON = 20_000
+#: Entries and exceptions matched in one pass over the texts. It bounds what is broadcast; more of them take more passes.
+BLOCK = 20_000
 #: An entry counts if it is in LEAST_TEXTS texts with the label, if PRECISION of its texts have it, and if chance alone would give its
 #: likelihood ratio to one in exp(MARGIN / 2) lexicons: the bar rises with the number of entries tried.
 LEAST_TEXTS, PRECISION, MARGIN = 3, 0.8, 14.0
@@ -93,6 +93,18 @@ class Lexicon:
         made.make_automaton()
         return made
 
+    def blocks(self, size: int) -> list[Lexicon]:
+        """Lexicons of about `size` entries, cut between entries that differ in their first letters; at least one."""
+        parts: list[dict[str, float]] = [{}]
+        last = None
+        for entry in sorted(self.weights):
+            begins = entry[: BEGINNINGS[0]]
+            if len(parts[-1]) >= size and begins != last:
+                parts.append({})
+            parts[-1][entry] = self.weights[entry]
+            last = begins
+        return [replace(self, weights=p, exceptions=frozenset()) for p in parts]
+
     def matches(self, automaton, text: str | None) -> tuple[int, list[tuple[str, str, str, float]]]:
         """Number of words, and (word before, word, word after, weight) of each match; exceptions are not looked at."""
         words = words_of(fold(text))
@@ -174,7 +186,7 @@ def marked(rows: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataF
     return rows.join(marks.hint("merge"), rows[doc_id] == marks.marked).drop("marked")
 
 
-def learn_entries(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", lexicon: int = LEXICON) -> Lexicon:
+def learn_entries(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """The entries and their weights, from all of `docs` that have a label."""
     own = docs.select(doc_id, text)
     positive, negative = marked(own.select(doc_id), labels, doc_id, label).agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
@@ -187,26 +199,36 @@ def learn_entries(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     odds = F.log((F.col("a") + 0.5) / (positive - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (negative - F.col("b") + 0.5)) - 1.64 * doubt
     precise = F.col("a") >= PRECISION * (F.col("a") + F.col("b"))
     kept = tried.withColumn("g", ratio(F.col("a"), F.col("b"), positive, negative)).where((F.col("g") >= bar) & precise).withColumn("odds", odds)
-    return Lexicon({r.entry: r.odds for r in kept.orderBy(F.desc("g"), "entry").limit(lexicon).collect()}, positive=positive, negative=negative, bar=bar)
+    return Lexicon({r.entry: r.odds for r in kept.orderBy("entry").collect()}, positive=positive, negative=negative, bar=bar)
+
+
+def match(docs: DataFrame, lexicon: Lexicon, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """`docs` with n_words and matches. Entries are matched in blocks; all entries that can match one word share their first letters and so a block."""
+    found = None
+    for part in lexicon.blocks(block):
+        before = docs if found is None else cut_lineage(found.withColumnRenamed("matches", "earlier"), "matched-block")
+        found = match_block(before, part, text)
+        if "earlier" in before.columns:
+            found = found.withColumn("matches", F.concat("earlier", "matches")).drop("earlier")
+    return found
 
 
-def match(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """`docs` with n_words and matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+def match_block(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
+    held = shared(docs.sparkSession, lexicon)
     made: list = []
 
     def work(batches):
         if not made:
-            made.append(shared.value.automaton())
+            made.append(held().automaton())
         for batch in batches:
             column = batch.column(text)
-            found = [shared.value.matches(made[0], t) for a, b in steps(column) for t in column.slice(a, b - a).to_pylist()]
+            found = [held().matches(made[0], t) for a, b in steps(column) for t in column.slice(a, b - a).to_pylist()]
             yield batch, [[n for n, _ in found], [[dict(zip(("before", "word", "after", "weight"), m, strict=True)) for m in ms] for _, ms in found]]
 
     return map_batches(docs, work, "n_words bigint, matches array<struct<before:string,word:string,after:string,weight:double>>")
 
 
-def learn_curve(matched: DataFrame, labels: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", label: str = "toxic", phrases: int = LEXICON) -> Lexicon:
+def learn_curve(matched: DataFrame, labels: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", label: str = "toxic") -> Lexicon:
     """`lexicon` with exceptions and curve, from all rows of `matched` that have a label."""
     if not lexicon.positive or not lexicon.negative:
         return lexicon
@@ -217,7 +239,7 @@ def learn_curve(matched: DataFrame, labels: DataFrame, lexicon: Lexicon, doc_id:
 
     tied = ratio(F.col("a"), F.col("b"), lexicon.positive, lexicon.negative)
     harmless = counted(rows.where(F.size("matches") > 0), "matches", phrases_of).withColumn("g", tied).where(F.col("g") <= -lexicon.bar)
-    found = replace(lexicon, exceptions=frozenset(r.entry for r in harmless.orderBy("g", "entry").limit(phrases).collect()))
+    found = replace(lexicon, exceptions=frozenset(r.entry for r in harmless.collect()))
     bins = weighed(rows, found).groupBy("label", F.least(F.lit(BINS - 1), F.round(F.greatest(F.col("toxic_weight"), F.lit(0.0)) / BIN_WIDTH)).cast("int").alias("bin")).count().collect()
     found.slope, found.level = curve(np.array([(r.bin * BIN_WIDTH, r.label, r["count"]) for r in sorted(bins)], float))
     return found
@@ -225,12 +247,12 @@ def learn_curve(matched: DataFrame, labels: DataFrame, lexicon: Lexicon, doc_id:
 
 def weighed(matched: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of `match` with score, predicted and toxic_weight."""
-    shared = matched.sparkSession.sparkContext.broadcast(lexicon)
+    held = shared(matched.sparkSession, lexicon)
 
     def work(batches):
         for batch in batches:
-            raw = [shared.value.weight(n, m) for n, m in zip(batch.column("n_words").to_pylist(), batch.column("matches").to_pylist(), strict=True)]
-            scores = [shared.value.score(r) for r in raw]
+            raw = [held().weight(n, m) for n, m in zip(batch.column("n_words").to_pylist(), batch.column("matches").to_pylist(), strict=True)]
+            scores = [held().score(r) for r in raw]
             yield batch, [scores, [int(s >= 0.5) for s in scores], raw]
 
     return map_batches(matched, work, "score double, predicted int, toxic_weight double")
