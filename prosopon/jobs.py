@@ -25,6 +25,7 @@ class Corpus:
     entries: DataFrame
     duplicates: DataFrame
     warnings: list[str]
+    tally: DataFrame  # (code, field, severity, n), as `audit.warning_tally`, counted while the table was written
 
 
 def build_corpus(spark: SparkSession, base: str, target: str, profile: Profile, forms: Sequence[tuple[str, str]], pattern: str = "*.docx") -> Corpus:
@@ -37,9 +38,10 @@ def build_corpus(spark: SparkSession, base: str, target: str, profile: Profile,
     winners = files.groupBy("doc_id").agg(F.max("relative_path").alias("relative_path"), F.count("*").alias("copies"))
     chosen = files.join(winners.select("doc_id", "relative_path"), ["doc_id", "relative_path"], "left_semi")
     bios = extract.extract_all(docx.decode(chosen, CARRIED), profile, forms, CARRIED)
-    exports.write_store(bios, target)
+    watched, tally = audit.observed(bios)
+    exports.write_store(watched, target)
     entries = spark.read.schema(bios.schema).parquet(target)
-    return Corpus(entries, winners.where("copies > 1"), warnings)
+    return Corpus(entries, winners.where("copies > 1"), warnings, tally())
 
 
 def write_feed(entries: DataFrame, path: str) -> None:
@@ -63,8 +65,7 @@ def plan_versions(
     State is kept per environment, so that test identifiers and permanent ones never meet.
     """
     versioning.check_environment(env, confirmed)
-    folder = exports.current_state_folder(spark, f"{state_path}/{env}")
-    state = keyvalue.read_state(spark, folder or f"{state_path}/{env}/none")
+    state = keyvalue.read_keyed(spark, exports.current_state_folder(spark, f"{state_path}/{env}"))
     feed = keyvalue.read_feed(spark, feed_path)
     rows = cut_lineage(versioning.version_plan(feed, state, profile, force=force, only=only, limit=limit), "plan")
     return Plan(rows, versioning.tally(rows), versioning.dry_run(rows, profile, today), versioning.not_found(feed, [] if only is None else only))
@@ -73,9 +74,8 @@ def plan_versions(
 def record_outcomes(spark: SparkSession, outcomes: DataFrame, state_path: str, env: str, run: int) -> DataFrame:
     """Publish the state after run number `run`; returns successes, failures and exit status."""
     place = f"{state_path}/{env}"
-    folder = exports.current_state_folder(spark, place)
-    state = keyvalue.read_state(spark, folder or f"{place}/none")
-    exports.publish_state(versioning.merge_outcomes(state, outcomes, env), place, run)
+    state = keyvalue.read_keyed(spark, exports.current_state_folder(spark, place))
+    exports.publish_keyed(versioning.merge_outcomes(state, outcomes, env), place, run)
     return versioning.outcome_totals(outcomes)
 
 

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from prosopon.functions import diagnostics
+
 PROSE_LENGTH = 150
 SEVERITIES = ("error", "warn", "info")
 LINK_STATES = {"ok": "OK", "not_found": "404", "error": "ERROR", "no_link": "no link"}
 
 
-def severity_totals(diagnostics: DataFrame) -> DataFrame:
+def severity_totals(found: DataFrame) -> DataFrame:
     """Counts per document and severity, with a total row per severity (document NULL)."""
-    return diagnostics.rollup("severity", "doc_id").agg(F.count("*").alias("n")).where(F.col("severity").isNotNull())
+    return found.rollup("severity", "doc_id").agg(F.count("*").alias("n")).where(F.col("severity").isNotNull())
+
+
+def warning_tally(found: DataFrame) -> DataFrame:
+    return found.groupBy("code", "field", "severity").agg(F.count("*").alias("n"))
+
+
+def observed(bios: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(`bios` to write, its `warning_tally`): every code is counted in the pass that writes the table, so the tally costs no second scan.
+
+    The tally is there once the returned table has been written or collected, by one action.
+    """
+    seen = Observation()
+
+    def count(code: str) -> Column:
+        return F.sum(F.size(F.filter("diagnostics", lambda d: d["code"] == code))).alias(code)
+
+    watched = bios.observe(seen, *map(count, diagnostics.CODES))
 
+    def tally() -> DataFrame:
+        rows = [(code, *diagnostics.CODES[code][:2], n) for code, n in seen.get.items() if n]
+        return bios.sparkSession.createDataFrame(rows, "code string, field string, severity string, n bigint")
 
-def warning_tally(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.groupBy("code", "field", "severity").agg(F.count("*").alias("n"))
+    return watched, tally
 
 
 def link_tally(audit: DataFrame) -> DataFrame:

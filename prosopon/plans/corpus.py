@@ -10,9 +10,11 @@ from prosopon.operators import audit, extract, portraits, segments
 from prosopon.operators.enrich import nfc
 from prosopon.plans import oracle, synth
 from prosopon.plans.catalog import registrar
+from prosopon.session import new_folder
 from prosopon.sinks import exports
 from prosopon.sources import corpus, docx, keyvalue
 from prosopon.sources.docx import write_docx
+from prosopon.streaming import ingest, store
 
 CATALOG, query = registrar()
 
@@ -208,6 +210,54 @@ def warning_tally(spark, sf_dir):
     return audit.warning_tally(extract.diagnostics_table(synth.bios(spark, sf_dir))).select("code", "severity", "n")
 
 
+@query(oracle.people(f"SELECT code, {oracle.SEVERITY} AS severity, count(*) AS n FROM flags GROUP BY ALL"))
+def observed_tally(spark, sf_dir):
+    """The same tally, counted in the pass that writes the entry table."""
+    watched, tally = audit.observed(synth.bios(spark, sf_dir))
+    exports.write_store(watched, new_folder(spark, "observed"))
+    return tally().select("code", "severity", "n")
+
+
+def _as_files(spark, docs, base, mode):
+    """Each text a file in a folder of its own below `base`."""
+    docs.select("doc_id", "text").repartition(synth.tasks(spark)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(base)
+
+
+_FILE_ID = r"doc_id=(\d+)/"
+
+
+@query("SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS digest FROM documents")
+def scanned_files(spark, sf_dir):
+    """Every document written as a file of its own, found by the corpus scan."""
+    base = new_folder(spark, "files")
+    _as_files(spark, synth.read(spark, sf_dir, "documents"), base, "errorifexists")
+    files, warnings = corpus.scan_or_empty(spark, base, "*.txt")
+    if warnings:
+        raise ValueError(warnings)
+    return files.select(F.regexp_extract("relative_path", _FILE_ID, 1).cast("long").alias("doc_id"), "length", "digest")
+
+
+@query(
+    "SELECT d.doc_id, sha256(text || CASE WHEN quality = 0 THEN '!' ELSE '' END || chr(10)) AS digest FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(toxic, 0) = 0"
+)
+def refreshed_files(spark, sf_dir):
+    """A folder of documents followed by snapshots while some of its files are edited and others deleted."""
+    base, place = new_folder(spark, "followed"), new_folder(spark, "followed-store")
+    docs, labels = (synth.read(spark, sf_dir, name) for name in ("documents", "labels"))
+    schema = store.with_payload(ingest.FILE_FACTS)
+    _as_files(spark, docs, base, "errorifexists")
+    ingest.refresh(spark, base, place, schema, "2024-01-01", 0, pattern="*.txt")
+    edited = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    _as_files(spark, edited.withColumn("text", F.concat("text", F.lit("!"))), base, "overwrite")
+    # Somebody deletes the toxic files: a file system knows no bulk delete, so names go one by one.
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in labels.where("toxic = 1").select("doc_id").toLocalIterator():
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/doc_id={row.doc_id}"), True)
+    ingest.refresh(spark, base, place, schema, "2024-01-02", 1, pattern="*.txt")
+    return store.current(spark, place, schema).select(F.regexp_extract("path", _FILE_ID, 1).cast("long").alias("doc_id"), "digest")
+
+
 @query(
     oracle.people(
         "SELECT f.doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings, count(*) FILTER (severity = 'info') AS notes FROM fields f "

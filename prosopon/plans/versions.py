@@ -259,6 +259,30 @@ def state_files(spark, sf_dir):
     return keyvalue.read_state(spark, exports.current_state_folder(spark, folder)).select("slug", "record_id")
 
 
+def keyed_state(spark, sf_dir, folder):
+    """The published state as a bucketed table."""
+    exports.publish_keyed(document_state(spark, sf_dir).drop("quality", "toxic"), folder, 1)
+    return keyvalue.read_keyed(spark, exports.current_state_folder(spark, folder))
+
+
+@query(f"SELECT 'doc-' || d.doc_id AS slug, {_DOC_STATE} AS state_hash, {_ACTION} AS action FROM {_DOCS}")
+def keyed_plan(spark, sf_dir):
+    """The version plan against a bucketed state table, which is not shuffled."""
+    state = keyed_state(spark, sf_dir, new_folder(spark, "keyed"))
+    return versioning.version_plan(document_feed(spark, sf_dir), state, PROFILE).select("slug", "state_hash", "action")
+
+
+@query(
+    f"SELECT 'doc-' || d.doc_id AS slug, CASE WHEN {_NEW} THEN d.doc_id + 500000 ELSE d.doc_id END AS record_id FROM {_DOCS} WHERE l.doc_id IS NOT NULL OR lang <> 'fr'"
+)
+def keyed_merge(spark, sf_dir):
+    """State merged into the next version of a bucketed table."""
+    folder = new_folder(spark, "keyed")
+    merged = versioning.merge_outcomes(keyed_state(spark, sf_dir, folder), _outcomes(spark, sf_dir), "sandbox")
+    exports.publish_keyed(merged, folder, 2)
+    return keyvalue.read_keyed(spark, exports.current_state_folder(spark, folder)).select("slug", "record_id")
+
+
 @query(f"SELECT 'doc-' || d.doc_id AS slug, {_DOC_HASH} AS digest FROM {_DOCS}")
 def manifest_files(spark, sf_dir):
     """The render manifest written and read again."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,20 @@ def publish_state(state: DataFrame, path: str, version: int) -> str:
     return folder
 
 
+def publish_keyed(state: DataFrame, path: str, version: int, buckets: int | None = None) -> str:
+    """The same as a Parquet table bucketed and sorted by slug, which plans, merges and syncs join without shuffling it again.
+
+    The folder's name tells the number of buckets (the session's shuffle partitions unless given) to `keyvalue.read_keyed`.
+    """
+    spark = state.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{path}/version={version:012d}.buckets={count}"
+    name = f"keyed_{uuid.uuid4().hex}"
+    state.repartition(count, "slug").write.mode("overwrite").bucketBy(count, "slug").sortBy("slug").option("path", folder).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name goes: the folder is not the catalog's own
+    return folder
+
+
 def current_state_folder(spark: SparkSession, path: str) -> str | None:
     """Newest committed version folder, None before the first publication."""
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")

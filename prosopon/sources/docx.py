@@ -24,13 +24,59 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 RELATIONS = "word/_rels/document.xml.rels"
+STYLES = "word/styles.xml"
 MEDIA = "word/media/"
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml"}
 
 
-def _is_on(properties: ET.Element | None, name: str) -> bool:
+def _set(properties: ET.Element | None, name: str) -> bool | None:
+    """Whether a property is switched on or off; None where nothing is said."""
     node = None if properties is None else properties.find(W + name)
-    return node is not None and node.get(W + "val", "true") not in ("0", "false", "none")
+    return None if node is None else node.get(W + "val", "true") not in ("0", "false", "off", "none")
+
+
+class Styles:
+    """Bold, italic and underline of runs, by the run itself, its character style, the paragraph's style and the document's defaults.
+
+    A style says what it or the nearest style it is based on says. Bold and italic are toggles: a character style switches what the paragraph's style has
+    set, a default that is on stays on, and what the run itself says holds in any case. Of underline the nearest word holds.
+    """
+
+    def __init__(self, styles: ET.Element | None):
+        self.own: dict[str, tuple[str | None, ET.Element | None]] = {}
+        self.usual: dict[str, str] = {}
+        self.defaults = None if styles is None else styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
+        for style in () if styles is None else styles.findall(W + "style"):
+            name, base = style.get(W + "styleId", ""), style.find(W + "basedOn")
+            self.own[name] = (None if base is None else base.get(W + "val"), style.find(W + "rPr"))
+            if style.get(W + "default") in ("1", "true"):
+                self.usual[style.get(W + "type", "")] = name
+        self.known: dict[tuple[str | None, str], bool | None] = {}
+
+    def says(self, style: str | None, name: str) -> bool | None:
+        if (style, name) not in self.known:
+            found, seen, at = None, set(), style
+            while found is None and at in self.own and at not in seen:
+                seen.add(at)
+                at, properties = self.own[at][0], self.own[at][1]
+                found = _set(properties, name)
+            self.known[style, name] = found
+        return self.known[style, name]
+
+    def of(self, run: ET.Element | None, paragraph: str | None) -> dict[str, bool]:
+        named = None if run is None else run.find(W + "rStyle")
+        character = self.usual.get("character") if named is None else named.get(W + "val")
+        paragraph = paragraph or self.usual.get("paragraph")
+        flags = {}
+        for flag, name in (("bold", "b"), ("italic", "i"), ("underline", "u")):
+            said, inner, outer, usual = _set(run, name), self.says(character, name), self.says(paragraph, name), _set(self.defaults, name)
+            if said is not None:
+                flags[flag] = said
+            elif flag == "underline":
+                flags[flag] = next((x for x in (inner, outer, usual) if x is not None), False)
+            else:
+                flags[flag] = bool(usual) or bool(inner) != bool(outer)
+        return flags
 
 
 def _runs(node: ET.Element) -> Iterator[ET.Element]:
@@ -51,7 +97,7 @@ def _blocks(node: ET.Element) -> Iterator[ET.Element]:
             yield from _blocks(child)
 
 
-def _spans(paragraph: ET.Element) -> list[dict]:
+def _spans(paragraph: ET.Element, style: str | None, styles: Styles) -> list[dict]:
     spans = []
     for run in _runs(paragraph):
         text = "".join(
@@ -59,16 +105,15 @@ def _spans(paragraph: ET.Element) -> list[dict]:
             for node in run
             if node.tag in (W + "t", W + "tab", W + "br", W + "cr")
         )
-        style = run.find(W + "rPr")
         if text:
-            spans.append({"text": text, "bold": _is_on(style, "b"), "italic": _is_on(style, "i"), "underline": _is_on(style, "u")})
+            spans.append({"text": text, **styles.of(run.find(W + "rPr"), style)})
     return spans
 
 
-def _paragraph(node: ET.Element) -> dict:
-    spans = _spans(node)
+def _paragraph(node: ET.Element, styles: Styles) -> dict:
     style = node.find(f"{W}pPr/{W}pStyle")
     name = "" if style is None else style.get(W + "val", "")
+    spans = _spans(node, name or None, styles)
     kind, level = "paragraph", None
     if name.lower().startswith("heading") and name[7:].isdigit():
         kind, level = "heading", int(name[7:])
@@ -89,14 +134,14 @@ def _span_html(span: dict) -> str:
     return html
 
 
-def _table(node: ET.Element) -> dict:
+def _table(node: ET.Element, styles: Styles) -> dict:
     rows, texts = [], []
     for row in node.findall(W + "tr"):
         cells = []
         for cell in row.findall(W + "tc"):
             parts = []
             for block in _blocks(cell):
-                inner = _table(block) if block.tag == W + "tbl" else _paragraph(block)
+                inner = _table(block, styles) if block.tag == W + "tbl" else _paragraph(block, styles)
                 parts.append(inner["html"] or f"<p>{''.join(map(_span_html, inner['spans']))}</p>")
                 texts.append(inner["text"])
             cells.append(f"<td>{''.join(parts)}</td>")
@@ -123,7 +168,8 @@ def read_docx(content: bytes) -> tuple[list[dict], list[dict]]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         document = ET.fromstring(archive.read("word/document.xml"))
         body = document.find(W + "body")
-        blocks = [_paragraph(node) if node.tag == W + "p" else _table(node) for node in ([] if body is None else _blocks(body))]
+        styles = Styles(ET.fromstring(archive.read(STYLES)) if STYLES in archive.namelist() else None)
+        blocks = [_paragraph(node, styles) if node.tag == W + "p" else _table(node, styles) for node in ([] if body is None else _blocks(body))]
         attachments = []
         for name in _image_order(archive, document):
             short = name[len(MEDIA):]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ def numbers(json: Column) -> Column:
 
 
 def read_map(spark: SparkSession, path: str, value_type: str = "string", key: str = "slug") -> DataFrame:
-    """Rows (key, value) of a small JSON object file; absent or corrupt gives no rows."""
+    """Rows (key, value) of a JSON object file; absent or corrupt gives no rows.
+
+    One object is one row for the parser, so a file has to fit a task (some hundred MB); what grows beyond that belongs into a table of rows.
+    """
     try:
         text = spark.read.text(path, wholetext=True)
     except Exception as err:
@@ -41,6 +46,15 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.STATE)
 
 
+def read_keyed(spark: SparkSession, folder: str | None, schema: str = schemas.STATE) -> DataFrame:
+    """A version folder of `exports.publish_keyed` as the bucketed table it is; no rows for None."""
+    if folder is None:
+        return spark.createDataFrame([], schema)
+    name, buckets = f"keyed_{uuid.uuid4().hex}", int(folder.rpartition("buckets=")[2])
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (slug) SORTED BY (slug) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """The entry feed; a missing feed is an error."""
     return spark.read.schema(schemas.ENTRY_FEED).json(path)

@@ -221,3 +221,56 @@ def test_an_empty_dictionary_finds_nothing(spark):
 
     row = spark.createDataFrame([("a French officer",)], "s string").select(nationality(F.col("s"), []).alias("n")).first()
     assert row.n.nationality is None and row.n.country is None
+
+
+STYLES = (
+    '<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:docDefaults><w:rPrDefault><w:rPr>{defaults}</w:rPr></w:rPrDefault></w:docDefaults>'
+    '<w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:rPr/></w:style>'
+    '<w:style w:type="paragraph" w:styleId="Strong"><w:rPr><w:b/></w:rPr></w:style>'
+    '<w:style w:type="paragraph" w:styleId="Head"><w:basedOn w:val="Strong"/><w:rPr><w:u w:val="single"/></w:rPr></w:style>'
+    '<w:style w:type="paragraph" w:styleId="Plain"><w:basedOn w:val="Head"/><w:rPr><w:b w:val="0"/></w:rPr></w:style>'
+    '<w:style w:type="paragraph" w:styleId="Loop"><w:basedOn w:val="Loop2"/></w:style><w:style w:type="paragraph" w:styleId="Loop2"><w:basedOn w:val="Loop"/></w:style>'
+    '<w:style w:type="character" w:styleId="Toggle"><w:rPr><w:b/><w:i/></w:rPr></w:style></w:styles>'
+)
+
+
+def styled(body, defaults=""):
+    import io
+
+    from prosopon.sources.docx import read_docx
+
+    plain = io.BytesIO(docx_file(body))
+    with zipfile.ZipFile(plain, "a") as archive:
+        archive.writestr("word/styles.xml", STYLES.format(defaults=defaults))
+    return read_docx(plain.getvalue())[0]
+
+
+def paragraph(text, style="", run=""):
+    return f'<w:p><w:pPr>{f"<w:pStyle w:val={chr(34)}{style}{chr(34)}/>" if style else ""}</w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>{text}</w:t></w:r></w:p>'
+
+
+def test_bold_by_style():
+    cases = [
+        ("", "", (False, False, False)), ("Strong", "", (True, False, False)), ("Head", "", (True, False, True)), ("Plain", "", (False, False, True)), ("Loop", "", (False, False, False)),
+        ("Unknown", "", (False, False, False)), ("Head", '<w:b w:val="false"/>', (False, False, True)), ("Head", '<w:u w:val="none"/>', (True, False, False)),
+        ("", '<w:rStyle w:val="Toggle"/>', (True, True, False)), ("Head", '<w:rStyle w:val="Toggle"/>', (False, True, True)), ("Head", '<w:rStyle w:val="Toggle"/><w:b/>', (True, True, True)),
+    ]
+    blocks = styled("".join(paragraph(str(i), s, r) for i, (s, r, _) in enumerate(cases)))
+    flags = [tuple(b["spans"][0][k] for k in ("bold", "italic", "underline")) for b in blocks]
+    assert flags == [f for _, _, f in cases]
+    (block,) = styled(paragraph("x", "Head", '<w:rStyle w:val="Toggle"/>'), "<w:b/>")
+    assert block["spans"][0]["bold"]
+
+
+def test_a_head_that_is_bold_by_style_ends_a_section(spark):
+    import io
+
+    from prosopon.operators.extract import extract_all
+
+    body = paragraph("VOS, Jan, Danish poet, was born") + paragraph("ARCHIVES: One; Two.", "Plain") + paragraph("more of it", "Plain") + paragraph("Next", "Head") + paragraph("other text")
+    out = io.BytesIO(docx_file(body))
+    with zipfile.ZipFile(out, "a") as archive:
+        archive.writestr("word/styles.xml", STYLES.format(defaults=""))
+    files = spark.createDataFrame([("d", bytearray(out.getvalue()))], "doc_id string, content binary")
+    (row,) = extract_all(docx.decode(files, partitions=2), PROFILE, FORMS).collect()
+    assert [i.raw for i in row.archives["items"]] == ["One", "Two. more of it"]

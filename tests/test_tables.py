@@ -269,3 +269,30 @@ def test_portraits(spark):
     for r in portraits.crop_rectangles(sources).collect():
         assert (r.crop_left, r.crop_top, r.crop_w, r.crop_h) == crop_by_hand((r.x, r.y, r.width, r.height), 640, 480)
         assert r.out_w <= r.crop_w and r.out_h == math.floor(r.out_w / 0.8 + 0.5)
+
+
+def test_a_bucketed_state_is_not_shuffled(spark, tmp_path):
+    from prosopon.plans import versions
+
+    sf, place = "/root/testdata/sf0.001", str(tmp_path / "state")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = versions.keyed_state(spark, sf, place)
+        plan = versioning.version_plan(versions.document_feed(spark, sf), state, versions.PROFILE)
+        merged = versioning.merge_outcomes(state, versions._outcomes(spark, sf), "sandbox")
+        for df in (plan, merged):
+            lines = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().split("\n")
+            at = next(i for i, line in enumerate(lines[1]) if "Bucketed: true" in line)
+            depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+            above, level = [], depth(lines[1][at])
+            for line in reversed(lines[1][:at]):
+                if depth(line) < level:
+                    above.append(line)
+                    level = depth(line)
+            assert any("Join" in x for x in above) and not any("Exchange" in x for x in above[: next(i for i, x in enumerate(above) if "Join" in x)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exports.publish_keyed(state.limit(3), place, 2, 2)
+    assert keyvalue.read_keyed(spark, exports.current_state_folder(spark, place)).count() == 3
+    assert keyvalue.read_keyed(spark, None).count() == 0
