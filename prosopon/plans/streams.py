@@ -8,7 +8,7 @@ from prosopon.functions import fingerprints
 from prosopon.operators.extract import extract_all
 from prosopon.plans import oracle, synth, versions
 from prosopon.plans.catalog import registrar
-from prosopon.session import new_folder
+from prosopon.session import cut_lineage, new_folder
 from prosopon.streaming import decide, ingest, store
 
 CATALOG, query = registrar()
@@ -93,6 +93,30 @@ def document_store(spark, sf_dir):
     return store.current(spark, place).select("id", "digest")
 
 
+@query(
+    f"SELECT 'doc-' || d.doc_id AS id, {_DIGEST} AS digest FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(toxic, 0) = 0"
+)
+def folded_store(spark, sf_dir):
+    """The same store in twenty batches, folded after every third of them; each document arrives in one of ten and is revised or deleted in another ten."""
+    place = new_folder(spark, "folded")
+    docs = synth.read(spark, sf_dir, "documents").join(synth.read(spark, sf_dir, "labels"), "doc_id", "left")
+    key = F.col("doc_id").cast("string")
+    revised = F.when(F.col("quality") == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    arrives, changes = F.pmod(F.xxhash64("doc_id"), F.lit(10)), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) + 10
+    whole = docs.select(
+        F.concat(F.lit("doc-"), key).alias("id"), F.concat(key, F.lit(".txt")).alias("path"),
+        F.explode(F.array(F.struct(arrives.alias("number"), F.sha2("text", 256).alias("digest"), F.lit(False).alias("deleted")),
+                          F.struct(changes.alias("number"), F.sha2(revised, 256).alias("digest"), (F.coalesce("toxic", F.lit(0)) == 1).alias("deleted")))).alias("c"),
+    ).select("id", "path", "c.*")
+    rows = cut_lineage(whole.withColumn("at", F.timestamp_seconds("number")), "changes")
+    write = store.upsert(place)
+    for number in range(20):
+        write(rows.where(F.col("number") == number).drop("number"), number)
+        if number % 3 == 2:
+            store.fold(spark, place)
+    return store.current(spark, place).select("id", "digest")
+
+
 @query(oracle.people("SELECT doc_id AS id, last_name, summary, nationality, len(archive_items) AS n_archives FROM fields WHERE seg <> 'FURNITURE'"))
 def streamed_biographies(spark, sf_dir):
     """Documents extracted as they arrive; a later stream takes some of them out again."""

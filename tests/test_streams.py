@@ -40,9 +40,8 @@ def test_file_changes_reach_the_store(spark, tmp_path):
     gone = ingest.tombstones(spark.createDataFrame([("B 2.docx",)], "path string").withColumn("at", F.current_timestamp()))
     store.upsert(place)(gone, 50)
     assert set(table(spark, place)) == {"a-1", "c-3"}
-    compacted = str(tmp_path / "compacted")
-    store.compact(spark, place, compacted)
-    assert table(spark, compacted) == table(spark, place)
+    store.fold(spark, place)
+    assert set(table(spark, place)) == {"a-1", "c-3"}
 
 
 def test_snapshots_find_edits_deletions_and_returns(spark, tmp_path):
@@ -176,3 +175,28 @@ def test_bursts_open_at_the_end_come_out(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     got = ingest.finished_bursts(stream, "ts", "60 seconds", "user_id", watermark="1 hour", target=str(tmp_path / "t"), checkpoint=str(tmp_path / "c"))
     assert sorted((r.user_id, r.events) for r in got.collect()) == [(1, 1), (1, 1), (1, 2), (2, 1), (2, 1), (2, 2)]
+
+
+def test_a_folded_store_is_the_same_store(spark, tmp_path):
+    """Random batches of two streams, with late times, moves between paths and deletions, folded in between or not; old tiers go, and a batch reads what it touches."""
+    import random
+
+    rng = random.Random(5)
+    schema = store.with_payload("payload string")
+    plain, folded = str(tmp_path / "plain"), str(tmp_path / "folded")
+    for number in range(10):
+        stream = "main" if number % 3 else "other"
+        data = [(f"i{rng.randrange(30)}", f"p{rng.randrange(30)}", str(rng.randrange(5)), rng.random() < 0.2, rng.randrange(max(0, number * 10 - 25), number * 10 + 10)) for _ in range(rng.randrange(1, 12))]
+        batch = rows(spark, data).withColumn("payload", F.concat("id", F.lit("!")))
+        for place in (plain, folded):
+            store.upsert(place, schema, stream)(batch, number)
+        if number % 2:
+            store.fold(spark, folded, schema, tiers=2)
+        a, b = (sorted(map(tuple, store.current(spark, place, schema).collect())) for place in (plain, folded))
+        assert a == b, number
+    tiers, last = store._folded(spark, folded)
+    assert len(tiers) <= 3 and last["main"] == 8 and sum(n.startswith("pointer=") for n in os.listdir(folded)) == 2
+    known = store.current(spark, folded, buckets=[3, 5])
+    assert {f.split("bucket=")[1].split("/")[0] for f in known.inputFiles() if "bucket=" in f} <= {"3", "5"}
+    read = known._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in read and "ReadSchema" in read
