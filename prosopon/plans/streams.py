@@ -97,12 +97,12 @@ def document_store(spark, sf_dir):
     f"SELECT 'doc-' || d.doc_id AS id, {_DIGEST} AS digest FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(toxic, 0) = 0"
 )
 def folded_store(spark, sf_dir):
-    """The same store in twenty batches, folded after every third of them; each document arrives in one of ten and is revised or deleted in another ten."""
+    """The same store in eight batches, folded after every third of them; each document arrives in one of four and is revised or deleted in another four."""
     place = new_folder(spark, "folded")
     docs = synth.read(spark, sf_dir, "documents").join(synth.read(spark, sf_dir, "labels"), "doc_id", "left")
     key = F.col("doc_id").cast("string")
     revised = F.when(F.col("quality") == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
-    arrives, changes = F.pmod(F.xxhash64("doc_id"), F.lit(10)), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) + 10
+    arrives, changes = F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) + 4
     whole = docs.select(
         F.concat(F.lit("doc-"), key).alias("id"), F.concat(key, F.lit(".txt")).alias("path"),
         F.explode(F.array(F.struct(arrives.alias("number"), F.sha2("text", 256).alias("digest"), F.lit(False).alias("deleted")),
@@ -110,7 +110,7 @@ def folded_store(spark, sf_dir):
     ).select("id", "path", "c.*")
     rows = cut_lineage(whole.withColumn("at", F.timestamp_seconds("number")), "changes")
     write = store.upsert(place)
-    for number in range(20):
+    for number in range(8):
         write(rows.where(F.col("number") == number).drop("number"), number)
         if number % 3 == 2:
             store.fold(spark, place)
