@@ -130,7 +130,7 @@ def anchors(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     def of(slugs):
         taken, following, found = set(), {}, []
-        for slug in slugs:
+        for slug in () if slugs is None else slugs:
             anchor = slug
             while anchor in taken:
                 following[slug] = following.get(slug, 0) + 1
@@ -146,7 +146,8 @@ def anchors(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def heading_anchors(documents: DataFrame, kinds: tuple[str, ...] = ("heading",)) -> DataFrame:
     """Anchor per heading: its slug, or the first of `-1`, `-2` ... that no earlier heading of the page has taken."""
     blocks = F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("idx"), b["kind"].alias("kind"), b["text"].alias("text"))), lambda b: b["kind"].isin(list(kinds)))
-    named = documents.select("doc_id", blocks.alias("blocks")).where(F.size("blocks") > 0)
-    numbered = named.select("doc_id", "blocks", anchors(F.transform("blocks", lambda b: t.slugify(b["text"]))).alias("anchors"))
-    rows = numbered.select("doc_id", F.explode(F.arrays_zip("blocks", "anchors")).alias("h"))
-    return rows.select("doc_id", "h.blocks.idx", "h.blocks.text", F.col("h.anchors").alias("anchor"))
+    named = F.transform(blocks, lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), t.slugify(b["text"]).alias("slug")))
+    numbered = documents.select("doc_id", named.alias("named")).select("doc_id", "named", anchors(F.col("named.slug")).alias("anchors"))
+    # The outer form: the plain one infers a filter that would take the pages apart a second time.
+    rows = numbered.select("doc_id", F.explode_outer(F.arrays_zip("named", "anchors")).alias("h")).where(F.col("h").isNotNull())
+    return rows.select("doc_id", "h.named.idx", "h.named.text", F.col("h.anchors").alias("anchor"))
