@@ -218,23 +218,77 @@ def observed_tally(spark, sf_dir):
     return tally().select("code", "severity", "n")
 
 
-def _as_files(spark, docs, base, mode):
-    """Each text a file in a folder of its own below `base`."""
-    docs.select("doc_id", "text").repartition(synth.tasks(spark)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(base)
+#: Folders that the documents' files are dealt into.
+_FOLDERS = 256
 
 
-_FILE_ID = r"doc_id=(\d+)/"
+def _by_folder(spark, docs):
+    """Rows with the folder and the name of their document's files; a folder's rows are together in one task, in order of the names."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    placed = docs.withColumns({"folder": F.pmod(F.xxhash64("doc_id"), F.lit(_FOLDERS)).cast("string"), "name": F.concat(F.lit("doc_id="), key)})
+    return placed.repartition(synth.tasks(spark), "folder").sortWithinPartitions("folder", "name")
+
+
+def _as_files(spark, docs, base):
+    """Each text a file of its own below `base`; files that its document had before are replaced.
+
+    Tasks write the files under their names. Spark's own writer names files itself, so it would need a folder per document, which its driver moves one by one.
+    """
+
+    def write(rows):
+        from itertools import groupby
+
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(base)
+        for folder, of_folder in groupby(rows, lambda row: row.folder):
+            files.create_dir(f"{top}/{folder}")
+            before = {}
+            for file in files.get_file_info(fs.FileSelector(f"{top}/{folder}")):
+                before.setdefault(file.base_name.rpartition("_")[0], set()).add(file.base_name)
+            for name, of_document in groupby(of_folder, lambda row: row.name):
+                left = before.get(name, set())
+                for n, row in enumerate(of_document, 1):
+                    left.discard(f"{name}_{n}.txt")
+                    with files.open_output_stream(f"{top}/{folder}/{name}_{n}.txt") as out:
+                        out.write(("" if row.text is None else row.text).encode() + b"\n")
+                for old in left:
+                    files.delete_file(f"{top}/{folder}/{old}")
+
+    _by_folder(spark, docs.select("doc_id", "text")).foreachPartition(write)
+
+
+def _delete_files(spark, docs, base):
+    """The files of these documents deleted, each task in folders of its own."""
+
+    def delete(rows):
+        from itertools import groupby
+
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(base)
+        for folder, of_folder in groupby(rows, lambda row: row.folder):
+            names = {row.name for row in of_folder}
+            for file in files.get_file_info(fs.FileSelector(f"{top}/{folder}", allow_not_found=True)):
+                if file.base_name.rpartition("_")[0] in names:
+                    files.delete_file(file.path)
+
+    _by_folder(spark, docs.select("doc_id")).foreachPartition(delete)
+
+
+def _file_id(path):
+    return F.regexp_extract(path, r"doc_id=(-?\d*)_", 1).try_cast("long")
 
 
 @query("SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS digest FROM documents")
 def scanned_files(spark, sf_dir):
     """Every document written as a file of its own, found by the corpus scan."""
     base = new_folder(spark, "files")
-    _as_files(spark, synth.read(spark, sf_dir, "documents"), base, "errorifexists")
+    _as_files(spark, synth.read(spark, sf_dir, "documents"), base)
     files, warnings = corpus.scan_or_empty(spark, base, "*.txt")
     if warnings:
         raise ValueError(warnings)
-    return files.select(F.regexp_extract("relative_path", _FILE_ID, 1).cast("long").alias("doc_id"), "length", "digest")
+    return files.select(_file_id("relative_path").alias("doc_id"), "length", "digest")
 
 
 @query(
@@ -245,17 +299,13 @@ def refreshed_files(spark, sf_dir):
     base, place = new_folder(spark, "followed"), new_folder(spark, "followed-store")
     docs, labels = (synth.read(spark, sf_dir, name) for name in ("documents", "labels"))
     schema = store.with_payload(ingest.FILE_FACTS)
-    _as_files(spark, docs, base, "errorifexists")
+    _as_files(spark, docs, base)
     ingest.refresh(spark, base, place, schema, "2024-01-01", 0, pattern="*.txt")
     edited = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    _as_files(spark, edited.withColumn("text", F.concat("text", F.lit("!"))), base, "overwrite")
-    # Somebody deletes the toxic files: a file system knows no bulk delete, so names go one by one.
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in labels.where("toxic = 1").select("doc_id").toLocalIterator():
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/doc_id={row.doc_id}"), True)
+    _as_files(spark, edited.withColumn("text", F.concat("text", F.lit("!"))), base)
+    _delete_files(spark, labels.where("toxic = 1"), base)
     ingest.refresh(spark, base, place, schema, "2024-01-02", 1, pattern="*.txt")
-    return store.current(spark, place, schema).select(F.regexp_extract("path", _FILE_ID, 1).cast("long").alias("doc_id"), "digest")
+    return store.current(spark, place, schema).select(_file_id("path").alias("doc_id"), "digest")
 
 
 @query(

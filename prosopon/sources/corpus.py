@@ -14,6 +14,9 @@ from prosopon.functions import text as t
 from prosopon.sources import schemas
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+#: Bytes that a file counts for besides its own where files are dealt to tasks. Spark counts 4 MB, which makes a task of every 32 files, however small.
+OPEN_COST = "64k"
+_COST = "spark.sql.files.openCostInBytes"
 
 
 def relative_path(path: Column, base: str) -> Column:
@@ -23,9 +26,24 @@ def relative_path(path: Column, base: str) -> Column:
     return F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B")))
 
 
+def _files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    """All files below `base` whose name matches, many small ones to a task.
+
+    How files are dealt to tasks is a setting of the session that reads a folder: one beside the caller's does, with the caller's settings, and OPEN_COST unless
+    the caller has an own value. The union with nothing brings the table back into the caller's session; the plan that runs has no part of it.
+    """
+    beside = spark.newSession()
+    beside.conf.set(_COST, OPEN_COST)
+    for key, value in spark.conf.getAll.items():
+        if not key.startswith("spark.") or key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    found = beside.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base)
+    return spark.createDataFrame([], BINARY_SCHEMA).limit(0).union(found)
+
+
 def listing(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
     """(path below `base`, modified, length) of all files whose name matches; no file is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base)
+    files = _files(spark, base, pattern)
     return files.select(relative_path(F.col("path"), base).alias("path"), F.col("modificationTime").alias("modified"), "length")
 
 
@@ -45,13 +63,7 @@ def with_identity(files: DataFrame, base: str) -> DataFrame:
 
 def scan(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
     """All files below `base` whose name matches; a missing or empty folder is an error here, not a warning."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(base)
-    )
-    return with_identity(files, base)
+    return with_identity(_files(spark, base, pattern), base)
 
 
 def scan_or_empty(spark: SparkSession, base: str, pattern: str = "*.docx") -> tuple[DataFrame, list[str]]:

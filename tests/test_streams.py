@@ -200,3 +200,21 @@ def test_a_folded_store_is_the_same_store(spark, tmp_path):
     read = known._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in read.split("\n") if "FileScan" in line and "bucket" in line]
     assert "payload" not in read and len(scans) >= 1 and all("PartitionFilters: [bucket#" in x and "IN (3,5)" in x for x in scans)
+
+
+def test_refreshed_files_follow_edits_and_deletions(spark, tmp_path, monkeypatch):
+    """Documents of several rows, edits of all of them, deletions of what is not there; files are written and deleted by tasks, in few folders."""
+    import hashlib
+
+    from prosopon.plans import corpus as plans
+
+    docs = [(n, f"text {n}") for n in range(-2, 500)] + [(4, "again"), (5, "text 5"), (6, "more")]
+    labels = [(4, 0, 0), (4, 0, 0), (5, 1, 1), (6, 1, 0), (7, 0, 1), (9, 0, None), (10, None, 1), (9999, 0, 1), (None, 0, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(plans, "new_folder", lambda spark, label: str(tmp_path / label))
+    got = sorted((r.doc_id, r.digest) for r in plans.refreshed_files(spark, str(tmp_path)).collect())
+    edited, gone = {i for i, q, _ in labels if q == 0}, {i for i, _, x in labels if x == 1}
+    kept = [(i, f"{s}{'!' if i in edited else ''}\n") for i, s in docs if i not in gone]
+    assert got == sorted((i, hashlib.sha256(s.encode()).hexdigest()) for i, s in kept)
+    assert len(list((tmp_path / "followed").iterdir())) <= 256
