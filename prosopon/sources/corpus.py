@@ -74,7 +74,7 @@ def scan_or_empty(spark: SparkSession, base: str, pattern: str = "*.docx") -> tu
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return with_identity(spark.createDataFrame([], BINARY_SCHEMA), base), [f'The base directory "{base}" does not exist.']
-    if found.isEmpty():
+    if not found.select("length").take(1):  # isEmpty() would run every task
         return found, [f'No files found matching "{pattern}" in directory "{base}"']
     return found, []
 

@@ -274,3 +274,31 @@ def test_a_head_that_is_bold_by_style_ends_a_section(spark):
     files = spark.createDataFrame([("d", bytearray(out.getvalue()))], "doc_id string, content binary")
     (row,) = extract_all(docx.decode(files, partitions=2), PROFILE, FORMS).collect()
     assert [i.raw for i in row.archives["items"]] == ["One", "Two. more of it"]
+
+
+def test_many_small_files_go_to_few_tasks(spark, tmp_path):
+    """Spark by itself takes 32 files a task, however small; a caller's own setting holds."""
+    for n in range(1200):
+        (tmp_path / f"{n}.txt").write_text(str(n))
+    files = corpus.scan(spark, str(tmp_path), "*.txt")
+    assert files.rdd.getNumPartitions() <= 16
+    assert {r.title: bytes(r.content) for r in files.select("title", "content").collect()} == {str(n): str(n).encode() for n in range(1200)}
+    assert corpus.listing(spark, str(tmp_path), "*.txt").rdd.getNumPartitions() <= 16
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    assert corpus.scan(own, str(tmp_path), "*.txt").rdd.getNumPartitions() == 1200
+
+
+def test_scanned_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    """A file per row, also for rows of one id or none, and no folder per document."""
+    import hashlib
+
+    from prosopon.plans import corpus as plans
+
+    texts = [(n, f"text {n}") for n in range(-3, 600)] + [(7, "text 7"), (7, "other"), (None, "lost"), (8, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(plans, "new_folder", lambda spark, label: str(tmp_path / label))
+    got = sorted(map(str, ((r.doc_id, r.length, r.digest) for r in plans.scanned_files(spark, str(tmp_path)).collect())))
+    said = [(i, ("" if s is None else s).encode() + b"\n") for i, s in texts]
+    assert got == sorted(str((i, len(s), hashlib.sha256(s).hexdigest())) for i, s in said)
+    assert len(list((tmp_path / "files").iterdir())) <= 256
