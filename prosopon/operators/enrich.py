@@ -1,12 +1,15 @@
 """Joins that enrich entries: identifiers, images, overrides, link checks, attributions, dictionary terms.
 
-None of the sides here has a fixed size (state, identifiers and images grow with the corpus), so the joins
-carry no broadcast hint: Spark broadcasts by measured size and splits skewed partitions otherwise.
+Most sides here have no fixed size (state, identifiers and images grow with the corpus), so their joins
+carry no broadcast hint: Spark broadcasts by measured size and splits skewed partitions otherwise. Only what is bounded
+of a dictionary's terms, their beginnings and bits, is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +22,10 @@ from prosopon.functions.nationality import as_written, nationality
 from prosopon.profile import Profile
 from prosopon.session import cut_lineage
 
-#: Letters of a term by which texts are searched for it first.
-HEAD = 4
+#: Letters of a term by which texts are searched for it first; pairs of beginning and length of a term up to which so many letters count.
+HEAD, MOST_HEADS = 4, 1 << 18
+#: Bits that tell strings which are no term: so many a term, and so many in all.
+TERM_BITS, MOST_BITS = 16, 1 << 27
 # Fixed value: prefix of test identifiers.
 SANDBOX_PREFIX = "10.5072/"
 # Order in which override images are looked for.
@@ -74,29 +79,53 @@ def _in_class(letters: list[str]) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]"
 
 
+def _marks(c: Column, bits: int) -> tuple[Column, list[tuple[Column, Column]]]:
+    """(part, [(number, bit)] * 2): the two of `bits` bits that stand for a string. A part has 2^16 bits, 64 to a number, and both bits of a string."""
+    h = F.xxhash64(c)
+    at = [(F.shiftrightunsigned(h, n).bitwiseAND(1023).cast("int"), F.shiftrightunsigned(h, n + 10).bitwiseAND(63).cast("int")) for n in (0, 16)]
+    return F.shiftrightunsigned(h, 32).bitwiseAND((bits >> 16) - 1), at
+
+
+def _marked(words: DataFrame, bits: int) -> DataFrame:
+    """(part, numbers): the bits of all terms, set."""
+    part, at = _marks(F.col("term"), bits)
+    mark = F.explode(F.array(*[F.struct(n.alias("n"), F.call_function("shiftleft", F.expr("1L"), b).alias("mark")) for n, b in at])).alias("m")
+    every = words.sparkSession.range(bits >> 6).select(F.shiftright("id", 10).alias("part"), F.col("id").bitwiseAND(1023).cast("int").alias("n"), F.expr("0L").alias("mark"))
+    numbers = words.select(part.alias("part"), mark).select("part", "m.n", "m.mark").unionByName(every).groupBy("part", "n").agg(F.bit_or("mark").alias("mark"))
+    return numbers.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "mark"))), lambda x: x["mark"]).alias("numbers"))
+
+
 def first_mentions(texts: DataFrame, id_column: str, text_column: str, terms: DataFrame) -> DataFrame:
     """(id, term, ordinal, value) of the texts in which a term occurs: earliest position, then longest, then dictionary order. Ids are unique.
 
     `terms` is (ordinal, term) or (ordinal, term, value), of any size. Its beginnings of up to HEAD letters are a table of their own, with the lengths
-    that terms of that beginning have. A text gives its different stretches that start with a term's first letter, as long as the longest term, in order of
-    appearance; those whose beginning the table knows are cut to its lengths and met with the terms. Both joins are on equal strings. The
-    driver gets the first letters and two numbers. A text's candidates are reduced to the best before they are shuffled.
+    that terms of that beginning have; of fewer letters, where that table would pass MOST_HEADS. A text gives its different stretches that start with a term's
+    first letter, as long as the longest term, in order of appearance; those whose beginning the table knows are cut to its lengths. What none of
+    the terms' bits stands for is no term; the rest is met with the terms on equal strings. Beginnings and bits are bounded (MOST_HEADS, MOST_BITS) and
+    broadcast, so that stretches are not shuffled, whatever size Spark takes the tables for. The driver gets the first letters and a few numbers.
+    A text's mentions are reduced to the best before they are shuffled by text.
     """
     valued = terms if "value" in terms.columns else terms.withColumn("value", F.lit(None).cast("string"))
     words = valued.where(t.or_empty(F.col("term")) != "").groupBy("term").agg(F.min_by(F.struct("ordinal", "value"), "ordinal").alias("v"))
-    words = cut_lineage(words.select("term", "v.ordinal", "v.value", F.substring("term", 1, HEAD).alias("head")), "terms")
-    bounds = words.agg(F.max(F.length("term")).alias("longest"), F.collect_set(F.length("head")).alias("levels"), F.collect_set(F.substring("term", 1, 1)).alias("letters")).first()
+    words = cut_lineage(words.select("term", "v.ordinal", "v.value"), "terms")
+    length, letters = F.length("term"), range(1, HEAD + 1)
+    heads_of = [F.approx_count_distinct(F.struct(F.substring("term", 1, n), length)).alias(f"heads_{n}") for n in letters]
+    bounds = words.agg(F.count("*").alias("terms"), F.max(length).alias("longest"), F.collect_set(F.least(length, F.lit(HEAD))).alias("levels"), F.collect_set(F.substring("term", 1, 1)).alias("letters"), *heads_of).first()
     if not bounds.letters:
         return texts.select(F.col(id_column), F.lit("").alias("term"), F.lit(0).alias("ordinal"), F.lit("").alias("value")).limit(0)
+    most = max(n for n in letters if n == 1 or bounds[f"heads_{n}"] <= MOST_HEADS)
     starts = rf"(?s)(?=({_in_class(sorted(bounds.letters))}.{{0,{bounds.longest - 1}}}))"
     stretches = F.array_distinct(F.regexp_extract_all(F.col(text_column), F.lit(starts), F.lit(1)))
     begun = texts.select(F.col(id_column).alias("id"), F.posexplode(stretches).alias("nth", "rest"))
-    levels = F.explode(F.array_distinct(F.array(*[F.substring("rest", 1, n) for n in sorted(bounds.levels)]))).alias("begin")
-    heads = words.groupBy("head").agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))
-    met = begun.select("id", "nth", "rest", levels).join(heads, F.col("begin") == F.col("head")).where(F.col("rest").isNotNull())
+    levels = F.explode(F.array_distinct(F.array(*[F.substring("rest", 1, n) for n in sorted({min(x, most) for x in bounds.levels})]))).alias("begin")
+    heads = words.groupBy(F.substring("term", 1, most).alias("head")).agg(F.array_sort(F.collect_set(length)).alias("lengths"))
+    met = begun.select("id", "nth", "rest", levels).join(F.broadcast(heads), F.col("begin") == F.col("head")).where(F.col("rest").isNotNull())
     cut = met.select("id", "nth", F.explode("lengths").alias("n"), "rest").where(F.length("rest") >= F.col("n"))
-    seen = cut.groupBy("id", F.expr("substring(rest, 1, n)").alias("word")).agg(F.min("nth").alias("nth"))
-    hits = seen.join(words.drop("head"), F.col("word") == F.col("term"))
+    bits = 1 << min(max(TERM_BITS * bounds.terms, 1 << 16) - 1, MOST_BITS - 1).bit_length()
+    part, at = _marks(F.col("word"), bits)
+    known = (F.col("part") == part) & reduce(and_, [F.getbit(F.get("numbers", n), b) == 1 for n, b in at])
+    likely = cut.select("id", "nth", F.expr("substring(rest, 1, n)").alias("word")).join(F.broadcast(_marked(words, bits)), known).select("id", "nth", "word")
+    hits = likely.join(words, F.col("word") == F.col("term"))
     best = hits.groupBy("id").agg(F.min_by(F.struct("term", "ordinal", "value"), F.struct("nth", -F.length("term"), "ordinal")).alias("m"))
     return best.select(F.col("id").alias(id_column), "m.term", "m.ordinal", "m.value")
 

@@ -296,3 +296,38 @@ def test_a_bucketed_state_is_not_shuffled(spark, tmp_path):
     exports.publish_keyed(state.limit(3), place, 2, 2)
     assert keyvalue.read_keyed(spark, exports.current_state_folder(spark, place)).count() == 3
     assert keyvalue.read_keyed(spark, None).count() == 0
+
+
+def test_only_likely_terms_are_shuffled(spark):
+    """With every broadcast by size switched off, neither stretches nor cuts that are no term are shuffled, and the mentions are the same; with full bits and short beginnings too."""
+    words = [f"{c} part {n}" for c in ("red", "old", "cold") for n in range(0, 3000, 3)]
+    texts = [f"got {words[n]}-{n}; got old part {n}1; {'none ' * (n % 3)}" if n % 4 else "nothing of it" for n in range(400)]
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
+    docs = own.createDataFrame(list(enumerate(texts)), "id int, s string")
+    terms = own.createDataFrame(list(enumerate(words)), "ordinal int, term string")
+    want = {i: min((s.index(w), -len(w), n, w) for n, w in enumerate(words) if w in s)[3] for i, s in enumerate(texts) if any(w in s for w in words)}
+
+    def shuffled():
+        found = enrich.first_mentions(docs, "id", "s", terms)
+        assert {r.id: r.term for r in found.collect()} == want
+        joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        return sum("strategy=broadcast" in line for line in joins), sum("strategy=broadcast" not in line for line in joins)
+
+    assert shuffled() == (2, 1)
+
+
+def test_mentions_do_not_depend_on_the_bounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abé ", k=rng.randrange(1, 9))) for _ in range(400)})
+    texts = ["".join(rng.choices("abéc ", k=rng.randrange(0, 50))) for _ in range(60)]
+    want = {i: min((s.index(w), -len(w), n, w) for n, w in enumerate(words) if w in s)[3] for i, s in enumerate(texts) if any(w in s for w in words)}
+    docs, terms = spark.createDataFrame(list(enumerate(texts)), "id int, s string"), spark.createDataFrame(list(enumerate(words)), "ordinal int, term string")
+    for heads, bits in ((1, 1 << 16), (20, 1 << 17)):
+        monkeypatch.setattr(enrich, "MOST_HEADS", heads)
+        monkeypatch.setattr(enrich, "MOST_BITS", bits)
+        monkeypatch.setattr(enrich, "TERM_BITS", 1 << 12)
+        assert {r.id: r.term for r in enrich.first_mentions(docs, "id", "s", terms).collect()} == want
