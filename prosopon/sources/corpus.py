@@ -11,12 +11,16 @@ from pyspark.sql.types import ArrayType, StringType
 
 from prosopon.functions import markup
 from prosopon.functions import text as t
+from prosopon.session import new_folder
 from prosopon.sources import schemas
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 #: Bytes that a file counts for besides its own where files are dealt to tasks. Spark counts 4 MB, which makes a task of every 32 files, however small.
-OPEN_COST = "64k"
+OPEN_COST = 64 << 10
 _COST = "spark.sql.files.openCostInBytes"
+#: Bytes of files, and names of a folder, that a task brings out at once.
+BATCH_BYTES, _ROWS = 16 << 20, 10_000
+_ENTRY = "name string, folder boolean, millis bigint, length bigint"
 
 
 def relative_path(path: Column, base: str) -> Column:
@@ -26,14 +30,14 @@ def relative_path(path: Column, base: str) -> Column:
     return F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B")))
 
 
-def _files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
-    """All files below `base` whose name matches, many small ones to a task.
+def _files_of_driver(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    """All files below `base` whose name matches, by Spark's reader, many small ones to a task. Every file is held in the driver.
 
     How files are dealt to tasks is a setting of the session that reads a folder: one beside the caller's does, with the caller's settings, and OPEN_COST unless
     the caller has an own value. The union with nothing brings the table back into the caller's session; the plan that runs has no part of it.
     """
     beside = spark.newSession()
-    beside.conf.set(_COST, OPEN_COST)
+    beside.conf.set(_COST, str(OPEN_COST))
     for key, value in spark.conf.getAll.items():
         if not key.startswith("spark.") or key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             beside.conf.set(key, value)
@@ -41,9 +45,119 @@ def _files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
     return spark.createDataFrame([], BINARY_SCHEMA).limit(0).union(found)
 
 
+def _entries(top: str):
+    """What lies in the folders of a batch, names from `top` on; the names that Spark's reader passes over are left out."""
+
+    def listed(batches):
+        import os
+        from itertools import batched
+        from stat import S_ISDIR, S_ISREG
+
+        import pyarrow as pa
+
+        def entries(folder):
+            with os.scandir(f"{top}{folder}" or "/") as found:
+                for entry in found:
+                    name = entry.name
+                    try:
+                        facts = entry.stat()
+                    except FileNotFoundError:  # a link to nothing, or deleted meanwhile
+                        continue
+                    if name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"):
+                        if not (S_ISDIR(facts.st_mode) and name.startswith(("_metadata", "_common_metadata"))):
+                            continue
+                    if S_ISDIR(facts.st_mode) or S_ISREG(facts.st_mode):
+                        yield f"{folder}/{name}", S_ISDIR(facts.st_mode), facts.st_mtime_ns // 1_000_000, facts.st_size
+
+        kinds = pa.schema([("name", pa.string()), ("folder", pa.bool_()), ("millis", pa.int64()), ("length", pa.int64())])
+        for batch in batches:
+            for folder in batch.column("name").to_pylist():
+                for some in batched(entries(folder), _ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+    return listed
+
+
+def _place(spark: SparkSession, base: str) -> tuple[str, str] | None:
+    """(name of the folder `base` on the tasks' disks, in the paths of its files); None if it is in another file system, or no folder that tasks see."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    top = path.toUri().getPath().rstrip("/")
+
+    def seen(_):
+        import os
+
+        return [os.path.isdir(top or "/")]
+
+    if path.toUri().getScheme() != "file" or not spark.sparkContext.parallelize([top], 1).mapPartitions(seen).first():
+        return None
+    return top, path.toString().rstrip("/")
+
+
+def _listed(spark: SparkSession, base: str, pattern: str) -> tuple[DataFrame, str, str] | None:
+    """(path, modificationTime and length of all files below `base` whose name matches, and its `_place`); None where tasks cannot list it.
+
+    Tasks list the folders of a level, into a table of the shared folder; the driver gets their number only. One task lists a folder, entry by entry.
+    """
+    try:
+        place = _place(spark, base)
+        into = new_folder(spark, "listing")
+    except Exception:  # no such file system, no shared folder: Spark's reader may know better, and has the errors that callers expect
+        return None
+    if place is None:
+        return None
+    (top, shown), levels = place, []
+    folders, waiting, most = spark.createDataFrame([("",)], "name string"), 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while waiting:
+        levels.append(f"{into}/level-{len(levels)}")
+        folders.repartition(min(waiting, most)).mapInArrow(_entries(top), _ENTRY).write.parquet(levels[-1])
+        folders = spark.read.schema(_ENTRY).parquet(levels[-1]).where("folder").select("name")
+        waiting = folders.count()
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    matches = F.element_at(F.split("name", "/"), -1).rlike(rf"(?s)\A(?:{glob})\z")
+    found = spark.read.schema(_ENTRY).parquet(*levels).where(~F.col("folder") & (F.col("length") > 0) & matches)
+    return found.select(F.concat(F.lit(shown), "name").alias("path"), F.timestamp_millis("millis").alias("modificationTime"), "length"), top, shown
+
+
+def _content(top: str, shown: str, missing: bool):
+    """Content of the files with these paths. Not deterministic, so that no filter behind it opens them a second time."""
+
+    @F.pandas_udf("binary")
+    def content(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in paths:
+            held, size = [], 0
+            for path in series:
+                try:
+                    with open(top + path.removeprefix(shown), "rb") as file:
+                        held.append(file.read())
+                except FileNotFoundError:
+                    if not missing:
+                        raise
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= BATCH_BYTES:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
+
+    return content.asNondeterministic()
+
+
+def _tasks(spark: SparkSession, files: DataFrame) -> int:
+    """How many tasks Spark's reader would deal these files to, at OPEN_COST a file unless the session has an own value."""
+    settings, conf = spark.conf.getAll, spark._jsparkSession.sessionState().conf()
+    cost = conf.filesOpenCostInBytes() if _COST in settings else OPEN_COST
+    count, length = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    least = int(settings.get("spark.sql.files.minPartitionNum") or settings.get("spark.sql.leafNodeDefaultParallelism") or spark.sparkContext.defaultParallelism)
+    share = min(conf.filesMaxPartitionBytes(), max(cost, (length + count * cost) // least))
+    return max(1, min(count, int(settings.get("spark.sql.files.maxPartitionNum") or count), -(-(length + count * cost) // share)))
+
+
 def listing(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
     """(path below `base`, modified, length) of all files whose name matches; no file is opened."""
-    files = _files(spark, base, pattern)
+    listed = _listed(spark, base, pattern)
+    files = _files_of_driver(spark, base, pattern) if listed is None else listed[0]
     return files.select(relative_path(F.col("path"), base).alias("path"), F.col("modificationTime").alias("modified"), "length")
 
 
@@ -61,9 +175,27 @@ def with_identity(files: DataFrame, base: str) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, base: str, pattern: str = "*.docx") -> DataFrame:
-    """All files below `base` whose name matches; a missing or empty folder is an error here, not a warning."""
-    return with_identity(_files(spark, base, pattern), base)
+def scan(spark: SparkSession, base: str, pattern: str = "*.docx", among: DataFrame | None = None) -> DataFrame:
+    """All files below `base` whose name matches, or those `among` (path, modified; from a `listing`); a missing folder is an error here, not a warning.
+
+    Tasks find and open the files of a local or mounted folder; others are listed by the driver, in its memory. A file is opened only if what is made of it asks
+    for its content. Of files `among` others, the driver's way opens all that are as new as the oldest.
+    """
+    found = _listed(spark, base, pattern)
+    wanted = None if among is None else among.select(F.col("path").alias("relative_path"))
+    if found is None:
+        files = with_identity(_files_of_driver(spark, base, pattern), base)
+        if wanted is None:
+            return files
+        oldest = among.agg(F.min("modified")).first()[0]
+        recent = files.where(F.col("modificationTime") >= F.lit(oldest).cast("timestamp"))  # none among: no file
+        return recent.join(wanted, "relative_path", "left_semi").select(*files.columns)
+    listed, top, shown = found
+    if wanted is not None:
+        listed = listed.withColumn("relative_path", relative_path(F.col("path"), base)).join(wanted, "relative_path", "left_semi").drop("relative_path")
+    missing = spark.conf.get("spark.sql.files.ignoreMissingFiles").lower() == "true"
+    files = listed.repartition(_tasks(spark, listed)).withColumn("content", _content(top, shown, missing)(F.col("path")))
+    return with_identity(files.where(F.col("content").isNotNull()) if missing else files, base)
 
 
 def scan_or_empty(spark: SparkSession, base: str, pattern: str = "*.docx") -> tuple[DataFrame, list[str]]:

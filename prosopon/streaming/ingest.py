@@ -49,8 +49,8 @@ def files_with_content(files: DataFrame) -> DataFrame:
 def snapshot_changes(spark: SparkSession, base: str, known: DataFrame, taken: str, pattern: str = "*.docx") -> DataFrame:
     """Change rows with content between a store and the folder as it is now: new, edited and deleted files.
 
-    Names, times and lengths are compared with those in the store (`known`, with the columns of FILE_FACTS); files older than the oldest that differs are
-    not opened. `taken` is the time of the comparison and of its changes, so a file that returns with an old date counts as new.
+    Names, times and lengths are compared with those in the store (`known`, with the columns of FILE_FACTS); only files that differ
+    are opened (see `corpus.scan`). `taken` is the time of the comparison and of its changes, so a file that returns with an old date counts as new.
     """
     listed = corpus.listing(spark, base, pattern)
     held = known.select("path", F.col("modified").alias("known_modified"), F.col("length").alias("known_length"))
@@ -58,11 +58,10 @@ def snapshot_changes(spark: SparkSession, base: str, known: DataFrame, taken: st
     differs = cut_lineage(listed.join(held, "path", "left").where(~same).select("path", "modified"), "differing")
     at = F.lit(taken).cast("timestamp").alias("at")
     gone = known.join(listed, "path", "left_anti").select("path", at)
-    oldest = differs.agg(F.min("modified")).first()[0]
-    files = corpus.scan(spark, base, pattern).where(F.col("modificationTime") >= F.lit(oldest).cast("timestamp"))  # none differs: no file
+    files = corpus.scan(spark, base, pattern, among=differs)
     facts = (F.col("relative_path").alias("path"), F.col("doc_id").alias("id"), "digest", F.lit(False).alias("deleted"), at)
     found = files.select(*facts, F.col("modificationTime").alias("modified"), "length", "content")
-    return found.join(differs.select("path"), "path", "left_semi").unionByName(tombstones(gone), allowMissingColumns=True)
+    return found.unionByName(tombstones(gone), allowMissingColumns=True)
 
 
 def refresh(spark: SparkSession, base: str, place: str, schema: str, taken: str, number: int, fill: Callable[[DataFrame], DataFrame] | None = None, pattern: str = "*.docx", stream: str = "snapshots") -> None:

@@ -302,3 +302,55 @@ def test_scanned_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
     said = [(i, ("" if s is None else s).encode() + b"\n") for i, s in texts]
     assert got == sorted(str((i, len(s), hashlib.sha256(s).hexdigest())) for i, s in said)
     assert len(list((tmp_path / "files").iterdir())) <= 256
+
+
+_NAMES = (
+    "a.txt", "b c.txt", "100%25.txt", "plus+x.txt", "_h.txt", "_h=1.txt", ".dot.txt", "z.txt._COPYING_", "_metadata.txt", "empty.txt", "ü#1.txt", "br[1].txt", "{x}.txt", "UP.TXT", "other.md",
+    "s1/one.txt", "_s2/two.txt", ".s3/three.txt", "s4=1/four.txt", "_s5=1/five.txt", "s6._COPYING_/six.txt", "_metadata/seven.txt", "s1/deep/er/eight.txt", "folder.txt/in.txt",
+)
+
+
+def test_tasks_find_the_files_that_sparks_reader_finds(spark, tmp_path):
+    """Names that are passed over, patterns, links and empty files; the driver knows the tables of names only, not a file of the folder."""
+    base = tmp_path / "a b%20+c"
+    for name in _NAMES:
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text("" if name == "empty.txt" else name)
+    (base / "link.txt").symlink_to(base / "a.txt")
+    (base / "lost.txt").symlink_to(base / "nothing")
+    columns = ("path", "modificationTime", "length", "content")
+    for at in (str(base), f"file:{base}/"):
+        for pattern in ("*", "*.txt", "{a,b*}.txt", "[^ab]*.txt", "br\\[1\\].txt", "nothing"):
+            want = sorted(map(str, corpus._files_of_driver(spark, at, pattern).collect()))
+            files = corpus.scan(spark, at, pattern)
+            assert sorted(map(str, files.select(*columns).collect())) == want
+            assert not any(str(base.name) in name for name in files.inputFiles())
+            listed = corpus.listing(spark, at, pattern)
+            assert sorted((r.path, r.modified, r.length) for r in listed.collect()) == sorted((r.relative_path, r.modificationTime, r.length) for r in files.collect())
+            assert not any(str(base.name) in name for name in listed.inputFiles())
+    inside = corpus.scan(spark, f"{tmp_path}/a*/s1", "*.txt")  # a pattern in the folder is left to Spark's reader
+    assert {r.title for r in inside.select("title").collect()} == {"one", "eight"}
+
+
+def test_content_comes_in_parts_and_only_where_it_is_asked_for(spark, tmp_path, monkeypatch):
+    """Files larger than a batch, files that go after they were listed, and some files among others."""
+    for n in range(40):
+        (tmp_path / f"{n}.txt").write_bytes(bytes([n]) * (n * 50 + 1))
+    monkeypatch.setattr(corpus, "BATCH_BYTES", 1000)
+    files = corpus.scan(spark, str(tmp_path), "*.txt")
+    assert {r.title: bytes(r.content) for r in files.collect()} == {str(n): bytes([n]) * (n * 50 + 1) for n in range(40)}
+    some = corpus.listing(spark, str(tmp_path), "*.txt").where("path < '2'")
+    among = corpus.scan(spark, str(tmp_path), "*.txt", among=some)
+    assert among.columns == files.columns
+    want = {str(n): n * 50 + 1 for n in range(40) if str(n) < "2"}
+    assert {r.title: len(r.content) for r in among.collect()} == want
+    by_driver = corpus.scan(spark, f"{tmp_path}*", "*.txt", among=some)
+    assert by_driver.columns == files.columns and by_driver.count() == 0  # its paths are below another name
+    (tmp_path / "7.txt").unlink()
+    assert files.select("title").count() == 40 and {r.title: len(r.content) for r in among.collect()} == want
+    with pytest.raises(Exception, match="7.txt"):
+        files.select("digest").collect()
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    (tmp_path / "8.txt").unlink()
+    assert corpus.scan(own, str(tmp_path), "*.txt").count() == 38

@@ -218,3 +218,27 @@ def test_refreshed_files_follow_edits_and_deletions(spark, tmp_path, monkeypatch
     kept = [(i, f"{s}{'!' if i in edited else ''}\n") for i, s in docs if i not in gone]
     assert got == sorted((i, hashlib.sha256(s.encode()).hexdigest()) for i, s in kept)
     assert len(list((tmp_path / "followed").iterdir())) <= 256
+
+
+def test_refreshed_files_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    """Neither for the comparison nor to open them; of files as new as one that differs, only those that differ are opened."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from prosopon.plans import corpus as plans
+
+    spark.createDataFrame([(n, f"text {n}") for n in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 0, 0), (5, 1, 1), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    formats, ask = [], DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda reader, source: formats.append(source) or ask(reader, source))
+    assert {r.doc_id for r in plans.refreshed_files(spark, str(tmp_path)).collect()} == set(range(300)) - {5, 6}
+    assert "binaryFile" not in formats
+
+    base, place, schema = tmp_path / "in", str(tmp_path / "store"), store.with_payload(ingest.FILE_FACTS)
+    base.mkdir()
+    for name in ("old.txt", "new.txt"):
+        (base / name).write_text(name)
+    ingest.refresh(spark, str(base), place, schema, "2024-01-01", 0, pattern="*.txt")
+    os.utime(base / "old.txt", (time.time() - 1000,) * 2)
+    changed = ingest.snapshot_changes(spark, str(base), store.current(spark, place, schema), "2024-01-02", "*.txt")
+    (base / "new.txt").unlink()
+    assert [(r.path, bytes(r.content)) for r in changed.collect()] == [("old.txt", b"old.txt")]
