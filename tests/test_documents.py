@@ -354,3 +354,17 @@ def test_content_comes_in_parts_and_only_where_it_is_asked_for(spark, tmp_path,
     own.conf.set("spark.sql.files.ignoreMissingFiles", "true")
     (tmp_path / "8.txt").unlink()
     assert corpus.scan(own, str(tmp_path), "*.txt").count() == 38
+
+
+def test_scanned_files_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    """Spark's reader of files would hold them all in the driver."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from prosopon.plans import corpus as plans
+
+    spark.createDataFrame([(n, f"text {n}") for n in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    formats, ask = [], DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda reader, source: formats.append(source) or ask(reader, source))
+    files = plans.scanned_files(spark, str(tmp_path))
+    assert {(r.doc_id, r.length) for r in files.collect()} == {(n, len(f"text {n}") + 1) for n in range(300)}
+    assert "binaryFile" not in formats and not any(name.endswith(".txt") for name in files.inputFiles())
